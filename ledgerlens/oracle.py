@@ -90,3 +90,105 @@ LEFT JOIN d_costs c ON w.id = c.service_request_id
 LEFT JOIN inhouse ih ON w.id = ih.id
 LEFT JOIN d_postings p ON w.id = p.service_request_id
 GROUP BY start_interval, end_interval, order_id""")
+
+
+def _shares_sql() -> str:
+    tiers = [("(15, 27, 46, 77, 159, 163, 363)", ("0.20", "0.35", "0.45")),
+             ("(164, 383, 395)", ("0.15", "0.40", "0.45")),
+             ("(177)", ("0.23", "0.35", "0.42"))]
+
+    def tier(i):
+        whens = " ".join(f"WHEN p.id IN {ids} THEN {v[i]}" for ids, v in tiers)
+        return f"(CASE {whens} ELSE 0 END) * (1 - 0.0738)"
+
+    return f"""
+    CASE WHEN o.plan_id IN (8, 9, 10, 14, 16) THEN 1
+         WHEN o.plan_id NOT IN (40, 61) THEN 1 - coalesce(rs.value * 0.01, 0.00)
+         ELSE {tier(0)} END AS house_share,
+    CASE WHEN o.plan_id IN (8, 9, 10, 14, 16) THEN 0
+         WHEN o.plan_id NOT IN (40, 61) THEN coalesce(rs.value * 0.01, 0.00)
+         ELSE {tier(1)} END AS partner_share,
+    CASE WHEN o.plan_id NOT IN (40, 61) THEN 0
+         ELSE {tier(2)} END AS insurer_share"""
+
+
+def _div_fine(x: str, d) -> str:
+    return f"CAST(CAST({x} AS DOUBLE) / {float(d)} AS DECIMAL(28,10))"
+
+
+def revenue(spine: Spine, kind: str) -> str:
+    noun = "sale" if kind == "sales" else "revenue"
+    if kind == "sales":
+        reasons = "('subscription')"
+        value = (f"CASE WHEN o.plan_id IN (8, 10) THEN {_div_fine('so.total_price', 12)} "
+                 f"WHEN o.direct_channel THEN o.preco ELSE so.total_price END")
+    else:
+        reasons = "('subscription', 'monthly_fee', 'overdue_monthly_fee')"
+        value = (f"CASE WHEN pay.reason = 'subscription' THEN coalesce({_div_fine('so.total_price', 12)}, o.preco) "
+                 f"ELSE pay.value END")
+    sub = loc("o.subscribed_at")
+    s_plan = "CAST(SUM(plan_value) AS DOUBLE)"
+    s_adm = "CAST(SUM(admin_value) AS DOUBLE)"
+    avg = {n: f"(CAST(SUM({n}) AS DOUBLE) / COUNT({n}))" for n in ("house_share", "partner_share", "insurer_share")}
+    cols = []
+    if kind == "sales":
+        cols += [f"{avg[n]} AS {n}" for n in avg]
+    cols += [
+        f"COUNT(id) AS {noun}_count",
+        "CAST(SUM(CASE WHEN plan_value > 0 THEN 1 ELSE 0 END) AS BIGINT) AS plan_count",
+        "CAST(SUM(CASE WHEN admin_value > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rfq_count",
+        f"CAST(- SUM(CASE WHEN withdrawn THEN 1 ELSE 0 END) AS BIGINT) AS withdrawn_{noun}_count",
+        f"CAST(SUM(value) AS DOUBLE) AS total_{noun}",
+        f"{s_plan} AS plan_{noun}",
+        f"{s_plan} * {avg['house_share']} AS house_plan_{noun}",
+        f"{s_plan} * {avg['partner_share']} AS partner_plan_{noun}",
+        f"{s_adm} AS rfq_{noun}",
+        f"{s_adm} * 0.0738 AS iof_rfq_{noun}",
+        f"{s_adm} * {avg['house_share']} AS house_rfq_{noun}",
+        f"{s_adm} * {avg['partner_share']} AS partner_rfq_{noun}",
+        f"{s_adm} * {avg['insurer_share']} AS insurer_rfq_{noun}",
+        f"- {s_plan} * 9.25 / 100.00 AS plan_{noun}_pis_cofins",
+        f"- {s_plan} * {avg['house_share']} * 9.25 / 100.00 AS house_plan_{noun}_pis_cofins",
+        f"- {s_plan} * {avg['partner_share']} * 9.25 / 100.00 AS partner_plan_{noun}_pis_cofins",
+        f"- {s_adm} * (1 - 0.0738) * 9.25 / 100.00 AS rfq_{noun}_pis_cofins",
+        f"- {s_adm} * {avg['house_share']} * 9.25 / 100.00 AS house_rfq_{noun}_pis_cofins",
+        f"- {s_adm} * {avg['partner_share']} * 9.25 / 100.00 AS partner_rfq_{noun}_pis_cofins",
+        f"- {s_adm} * {avg['insurer_share']} * 9.25 / 100.00 AS insurer_rfq_{noun}_pis_cofins",
+        f"- {s_adm} * (1 - 0.0738) * 5.00 / 100.00 AS rfq_{noun}_iss",
+        f"- {s_adm} * {avg['house_share']} * 5.00 / 100.00 AS house_rfq_{noun}_iss",
+        f"- {s_adm} * {avg['partner_share']} * 5.00 / 100.00 AS partner_rfq_{noun}_iss",
+        f"- {s_adm} * {avg['insurer_share']} * 5.00 / 100.00 AS insurer_rfq_{noun}_iss",
+    ]
+    body = ",\n  ".join(cols)
+    return with_domain(f"""
+WITH {spine_cte(spine)},
+adj AS (
+  SELECT pay.id, pay.order_id, o.plan_id, o.direct_channel, p.id AS partner_id,
+    {sub} AS subscribed_at, {loc('o.canceled_at')} AS canceled_at, {loc('pay.created_at')} AS created_at,
+    CASE WHEN o.direct_channel
+         THEN o.subscribed_at + INTERVAL 15 DAY > o.canceled_at AND o.subscribed_at <= o.canceled_at
+         ELSE o.subscribed_at + INTERVAL 8 DAY > o.canceled_at AND o.subscribed_at <= o.canceled_at END AS withdrawn,
+    CAST({value} AS DECIMAL(28,10)) AS value,
+    {_shares_sql()}
+  FROM d_payments pay
+  LEFT JOIN d_orders o ON o.id = pay.order_id
+  LEFT JOIN d_store_orders so ON so.order_id = o.id
+  LEFT JOIN d_stores st ON st.id = so.store_id
+  LEFT JOIN d_partners p ON st.partner_id = p.id
+  LEFT JOIN d_revenue_shares rs ON p.id = rs.partner_id
+    AND {sub} >= coalesce(rs.begin_at, {sub})
+    AND {sub} < coalesce(rs.finish_at + INTERVAL 1 DAY - INTERVAL 1 SECOND, {sub} + INTERVAL 1 SECOND)
+  WHERE pay.reason IN {reasons}),
+by_period AS (
+  SELECT start_interval, end_interval, id, plan_id, direct_channel, subscribed_at, canceled_at, order_id,
+    created_at, partner_id, house_share, partner_share, insurer_share, coalesce(withdrawn, false) AS withdrawn, value,
+    CAST(CASE WHEN plan_id NOT IN (40, 61) THEN value ELSE 0 END AS DECIMAL(28,10)) AS plan_value,
+    CAST(CASE WHEN plan_id IN (40, 61) THEN value ELSE 0 END AS DECIMAL(28,10)) AS admin_value
+  FROM adj CROSS JOIN date_intervals
+  GROUP BY start_interval, end_interval, id, plan_id, direct_channel, subscribed_at, canceled_at, order_id,
+    created_at, partner_id, house_share, partner_share, insurer_share, withdrawn, value, plan_value, admin_value
+  HAVING min(created_at) < end_interval AND min(created_at) >= start_interval)
+SELECT CAST(start_interval AS DATE) AS start_interval, CAST(end_interval AS DATE) AS end_interval, order_id,
+  {body}
+FROM by_period
+GROUP BY start_interval, end_interval, order_id""")

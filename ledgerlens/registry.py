@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .operators.spine import Spine
-from .plans import service
+from .plans import sales_revenue, service
 from .sources.fixtures import AS_OF_TPC, Domain
 
 # Fixed parameters of the fixture queries.
@@ -51,6 +51,16 @@ def _q_severity(dom):
     return service.mart_severity(dom, MONTHS)
 
 
+@register("mart_sales", oracle.revenue(MONTHS, "sales"))
+def _q_sales(dom):
+    return sales_revenue.mart_sales(dom, MONTHS)
+
+
+@register("mart_plan_revenue", oracle.revenue(MONTHS, "revenue"))
+def _q_plan_revenue(dom):
+    return sales_revenue.mart_plan_revenue(dom, MONTHS)
+
+
 def queries() -> dict[str, Builder]:
     return dict(_QUERIES)
 
