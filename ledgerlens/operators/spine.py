@@ -21,7 +21,10 @@ MONTHS_PER_UNIT = {"year": 12, "semester": 6, "month": 1}
 DAYS_PER_UNIT = {"week": 7, "day": 1}
 UNITS = tuple(MONTHS_PER_UNIT) + tuple(DAYS_PER_UNIT)
 
-ONE_SECOND = F.expr("INTERVAL 1 SECOND")
+
+
+def one_second() -> Column:
+    return F.expr("INTERVAL 1 SECOND")
 
 
 def _as_date(v) -> dt.date:
@@ -109,7 +112,7 @@ class Spine:
 
     def end_of(self, k: Column) -> Column:
         """End (timestamp_ntz) of period ``k``: next start minus one second."""
-        return self.start_of(k + 1) - ONE_SECOND
+        return self.start_of(k + 1) - one_second()
 
     # ---- DataFrames ----------------------------------------------------------------
     def frame(self, spark: SparkSession) -> DataFrame:
@@ -130,15 +133,26 @@ def bucket_point(df: DataFrame, ts: Column | str, spine: Spine, keep_index: bool
     Adds ``start_interval`` / ``end_interval``.  Rows in the last second of
     a period (``end <= ts < next start``) and rows outside the spine belong
     to no period and are dropped — the same rows the cross join + range
-    predicate form drops.  A pure projection + filter: no join, no shuffle.
+    predicate form drops.  No join and no shuffle: the period index is
+    computed per row.
+
+    The test is written as ``explode`` of a 0-or-1 element array rather than
+    a ``filter``: Catalyst pushes filters below projections by inlining the
+    projected expression into every reference, which would evaluate an
+    expensive ``ts`` (a time-zone conversion) once per comparison.  A
+    generator is a barrier to that rewrite, so ``ts`` is evaluated once.
     """
     t = F.col(ts) if isinstance(ts, str) else ts
-    k = spine.index_of(t)
-    out = (df.withColumn("_k", k)
-             .filter((F.col("_k") >= 0) & (F.col("_k") <= spine.last_index))
+
+    def in_period(x: Column) -> Column:
+        k = spine.index_of(x)
+        return (k >= 0) & (k <= spine.last_index) & (x < spine.end_of(k))
+
+    out = (df.withColumn("_t", F.explode(F.filter(F.array(t), in_period)))
+             .withColumn("_k", spine.index_of(F.col("_t")))
              .withColumn("start_interval", spine.start_of(F.col("_k")))
              .withColumn("end_interval", spine.end_of(F.col("_k")))
-             .filter((t >= F.col("start_interval")) & (t < F.col("end_interval"))))
+             .drop("_t"))
     return out if keep_index else out.drop("_k")
 
 
@@ -148,18 +162,27 @@ def explode_overlap(df: DataFrame, lo: Column | str, hi: Column | str, spine: Sp
     Overlap is ``lo <= end_interval and hi >= start_interval`` (both
     inclusive).  Rows with a NULL bound, a reversed span or a span outside
     the spine produce no rows.  Output grows by at most ``spine.periods``
-    per input row, computed per row — no join with the spine.
+    per input row, computed per row — no join with the spine.  Bounds are
+    evaluated once per row inside the generator (see :func:`bucket_point`).
     """
     lo_c = F.col(lo) if isinstance(lo, str) else lo
     hi_c = F.col(hi) if isinstance(hi, str) else hi
-    k_lo = spine.index_of(lo_c)
-    # a span starting inside the last second of its period starts in the next one
-    k_lo = k_lo + F.when(lo_c > spine.end_of(k_lo), 1).otherwise(0)
-    k_lo = F.greatest(k_lo, F.lit(0).cast("long"))
-    k_hi = F.least(spine.index_of(hi_c), F.lit(spine.last_index).cast("long"))
-    return (df.withColumn("_klo", k_lo).withColumn("_khi", k_hi)
-              .filter(F.col("_klo") <= F.col("_khi"))
-              .withColumn("_k", F.explode(F.sequence(F.col("_klo"), F.col("_khi"))))
+
+    def k_lo(x: Column) -> Column:
+        k = spine.index_of(x)
+        # a span starting inside the last second of its period starts in the next one
+        k = k + F.when(x > spine.end_of(k), 1).otherwise(0)
+        return F.greatest(k, F.lit(0).cast("long"))
+
+    def k_hi(x: Column) -> Column:
+        return F.least(spine.index_of(x), F.lit(spine.last_index).cast("long"))
+
+    def periods(s: Column) -> Column:
+        a, b = k_lo(s["lo"]), k_hi(s["hi"])
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
+
+    bounds = F.array(F.struct(lo_c.alias("lo"), hi_c.alias("hi")))
+    return (df.withColumn("_k", F.explode(F.flatten(F.transform(bounds, periods))))
               .withColumn("start_interval", spine.start_of(F.col("_k")))
               .withColumn("end_interval", spine.end_of(F.col("_k")))
-              .drop("_klo", "_khi", "_k"))
+              .drop("_k"))

@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-END_OF_DAY = F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 SECOND")
-
 
 def window_contains(probe: Column, begin: Column, finish: Column) -> Column:
     return ((probe >= F.coalesce(begin, probe))
