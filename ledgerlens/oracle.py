@@ -192,3 +192,87 @@ SELECT CAST(start_interval AS DATE) AS start_interval, CAST(end_interval AS DATE
   {body}
 FROM by_period
 GROUP BY start_interval, end_interval, order_id""")
+
+
+def fee_revenue(spine: Spine) -> str:
+    price = "ph.price"
+    rfq = "o.plan_id IN (40, 61) AND value > 0"
+
+    def r(k):
+        return "0.70" if k == 4 else "0.55"
+
+    cols = [f"CAST(SUM(CASE WHEN {rfq} THEN CASE WHEN sr.issue_id = 4 THEN {price} * 0.70 ELSE {price} * 0.55 END "
+            f"ELSE value END) AS DOUBLE) AS fee_rev"]
+    for n, k in ISSUE_NAMES.items():
+        cols.append(f"CAST(SUM(CASE WHEN sr.issue_id <> {k} THEN 0 ELSE CASE WHEN {rfq} THEN {price} * {r(k)} "
+                    f"ELSE value END END) AS DOUBLE) AS fee_rev_{n}")
+    cols += [
+        f"CAST(SUM(CASE WHEN {rfq} THEN CASE WHEN sr.issue_id = 4 THEN {price} * 0.70 ELSE {price} * 0.55 END - value "
+        f"ELSE 0 END) AS DOUBLE) AS insurer_fee_cost",
+        f"CAST(SUM(CASE WHEN sr.issue_id <> 4 AND value > 0 THEN CASE WHEN o.plan_id IN (40, 61) THEN {price} * 0.55 - value "
+        f"ELSE 0 END ELSE 0 END) AS DOUBLE) AS q_insurer_fee_cost",
+        f"CAST(SUM(CASE WHEN sr.issue_id = 4 AND value > 0 THEN CASE WHEN o.plan_id IN (40, 61) THEN {price} * 0.70 - value "
+        f"ELSE 0 END ELSE 0 END) AS DOUBLE) AS rf_insurer_fee_cost",
+        f"- CAST(SUM(CASE WHEN {rfq} THEN CASE WHEN sr.issue_id = 4 THEN {price} * 0.70 ELSE {price} * 0.55 END * 0.1225 "
+        f"ELSE value * 0.0925 END) AS DOUBLE) AS fee_tax",
+    ]
+    for n, k in ISSUE_NAMES.items():
+        cols.append(f"- CAST(SUM(CASE WHEN sr.issue_id <> {k} THEN 0 ELSE CASE WHEN {rfq} THEN ({price} * {r(k)}) * 0.1225 "
+                    f"ELSE value * 0.0925 END END) AS DOUBLE) AS fee_tax_{n}")
+    body = ",\n  ".join(cols)
+    return with_domain(f"""
+WITH {spine_cte(spine)},
+fee_by_period AS (
+  SELECT start_interval, end_interval, p.order_id, p.value, p.id, any_value(p.psp_reference) AS psp_reference
+  FROM date_intervals CROSS JOIN d_payments p
+  LEFT JOIN d_service_requests sr ON p.psp_reference = sr.payment_reference
+  WHERE p.reason = 'repair_fee'
+  GROUP BY start_interval, end_interval, p.order_id, p.value, p.id
+  HAVING {loc('min(sr.swapped_at)')} < end_interval AND {loc('min(sr.swapped_at)')} >= start_interval),
+phone_price AS (SELECT order_id, {_div_fine('total_price', 0.33)} AS price FROM d_store_orders)
+SELECT CAST(start_interval AS DATE) AS start_interval, CAST(end_interval AS DATE) AS end_interval, f.order_id,
+  {body}
+FROM fee_by_period f
+LEFT JOIN d_service_requests sr ON f.psp_reference = sr.payment_reference
+LEFT JOIN d_orders o ON f.order_id = o.id
+LEFT JOIN phone_price ph ON o.id = ph.order_id
+GROUP BY start_interval, end_interval, f.order_id""")
+
+
+def _card_cost_sql(value="p.value", inst="p.installments") -> str:
+    return (f"CASE WHEN {inst} = 1 THEN 0.0187 * {value} WHEN {inst} <= 3 THEN 0.0221 * {value} "
+            f"WHEN {inst} <= 6 THEN 0.0232 * {value} WHEN {inst} > 6 THEN 0.0255 * {value} ELSE 0.0255 * {value} END")
+
+
+def fee_txn_cost() -> str:
+    cost = f"CASE WHEN t.payment_method = 'boletobancario_santander' THEN 2.90 ELSE {_card_cost_sql()} + 0.27 END"
+    cols = [f"- CAST(SUM({cost}) AS DOUBLE) AS fee_transaction_cost"]
+    for n, k in ISSUE_NAMES.items():
+        cols.append(f"- CAST(SUM(CASE WHEN sr.issue_id = {k} THEN ({cost}) ELSE 0 END) AS DOUBLE) AS fee_transaction_cost_{n}")
+    body = ",\n  ".join(cols)
+    return with_domain(f"""
+SELECT p.order_id AS order_id, CAST(date_trunc('month', {loc('p.created_at')}) AS DATE) AS creation_month,
+  {body}
+FROM d_payments p
+LEFT JOIN d_trackings t ON p.psp_reference = t.psp_reference
+LEFT JOIN d_service_requests sr ON p.psp_reference = sr.payment_reference
+WHERE p.reason LIKE '%repair_fee%'
+GROUP BY p.order_id, creation_month""")
+
+
+def plan_txn_cost() -> str:
+    card = _card_cost_sql()
+    return with_domain(f"""
+SELECT p.order_id AS order_id, CAST(date_trunc('month', {loc('p.created_at')}) AS DATE) AS creation_month,
+  - CAST(SUM(CASE WHEN pk.description = 'Venda externa' THEN 0
+      ELSE CASE WHEN t.payment_method = 'boletobancario_santander' OR p.psp_reference LIKE '%boleto%' THEN 2.90
+           ELSE 0.27 + CASE WHEN p.reason = 'subscription' THEN {_div_fine(f'({card})', 12)} ELSE ({card}) END
+           END END) AS DOUBLE) AS plan_transaction_cost
+FROM d_payments p
+LEFT JOIN d_trackings t ON p.psp_reference = t.psp_reference
+LEFT JOIN d_store_orders so ON p.order_id = so.order_id
+LEFT JOIN d_stores st ON so.store_id = st.id
+LEFT JOIN d_partners pa ON st.partner_id = pa.id
+LEFT JOIN d_partner_kinds pk ON pa.partner_kind_id = pk.id
+WHERE p.reason NOT LIKE '%repair_fee%'
+GROUP BY p.order_id, creation_month""")

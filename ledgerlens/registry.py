@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .operators.spine import Spine
-from .plans import sales_revenue, service
+from .plans import fees, sales_revenue, service
 from .sources.fixtures import AS_OF_TPC, Domain
 
 # Fixed parameters of the fixture queries.
@@ -61,6 +61,21 @@ def _q_plan_revenue(dom):
     return sales_revenue.mart_plan_revenue(dom, MONTHS)
 
 
+@register("mart_fee_revenue", oracle.fee_revenue(MONTHS))
+def _q_fee_revenue(dom):
+    return fees.mart_fee_revenue(dom, MONTHS)
+
+
+@register("mart_fee_txn_cost", oracle.fee_txn_cost())
+def _q_fee_txn_cost(dom):
+    return fees.mart_fee_txn_cost(dom)
+
+
+@register("mart_plan_txn_cost", oracle.plan_txn_cost())
+def _q_plan_txn_cost(dom):
+    return fees.mart_plan_txn_cost(dom)
+
+
 def queries() -> dict[str, Builder]:
     return dict(_QUERIES)
 
