@@ -172,10 +172,12 @@ def explode_overlap(df: DataFrame, lo: Column | str, hi: Column | str, spine: Sp
         k = spine.index_of(x)
         # a span starting inside the last second of its period starts in the next one
         k = k + F.when(x > spine.end_of(k), 1).otherwise(0)
-        return F.greatest(k, F.lit(0).cast("long"))
+        # clamp with CASE, not greatest(): a NULL bound must stay NULL
+        return F.when(k < 0, F.lit(0).cast("long")).otherwise(k)
 
     def k_hi(x: Column) -> Column:
-        return F.least(spine.index_of(x), F.lit(spine.last_index).cast("long"))
+        k = spine.index_of(x)
+        return F.when(k > spine.last_index, F.lit(spine.last_index).cast("long")).otherwise(k)
 
     def periods(s: Column) -> Column:
         a, b = k_lo(s["lo"]), k_hi(s["hi"])

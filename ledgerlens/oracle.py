@@ -276,3 +276,40 @@ LEFT JOIN d_partners pa ON st.partner_id = pa.id
 LEFT JOIN d_partner_kinds pk ON pa.partner_kind_id = pk.id
 WHERE p.reason NOT LIKE '%repair_fee%'
 GROUP BY p.order_id, creation_month""")
+
+
+def active_device_product(spine: Spine) -> str:
+    now = f"TIMESTAMP '{spine.as_of.isoformat(sep=' ')}'"
+    return with_domain(f"""
+WITH {spine_cte(spine)},
+select_orders AS (
+  SELECT start_interval, end_interval, o.id AS o_id,
+    ({loc('min(least(o.subscribed_at, sr.arrived_at))')} <= end_interval AND
+     {loc(f'coalesce(max(greatest(coalesce(o.canceled_at, {now}), coalesce(coalesce(sr.closed_at, sr.tracked_at), sr.arrived_at))), {now})')} >= start_interval) AS active
+  FROM d_orders o CROSS JOIN date_intervals
+  LEFT JOIN d_service_requests sr ON o.id = sr.order_id
+  GROUP BY start_interval, end_interval, o_id),
+selected_device_swaps AS (
+  SELECT o.id AS o_id, {loc('ds.created_at')} AS c_at, ds.id AS dswap_id
+  FROM d_orders o LEFT JOIN d_service_requests sr ON o.id = sr.order_id
+  JOIN d_device_swaps ds ON ds.service_request_id = sr.id),
+orders_with_product AS (
+  SELECT start_interval, end_interval, so.o_id,
+    CASE WHEN min(c_at) < end_interval AND min(c_at) >= start_interval THEN min(dswap_id)
+         WHEN min(c_at) < end_interval THEN max(dswap_id)
+         ELSE min(dswap_id) END AS dswap_id
+  FROM select_orders so LEFT JOIN selected_device_swaps sds ON so.o_id = sds.o_id
+  WHERE active
+  GROUP BY start_interval, end_interval, so.o_id)
+SELECT CAST(start_interval AS DATE) AS start_interval, CAST(end_interval AS DATE) AS end_interval, owp.o_id,
+  CASE WHEN {loc('ds.created_at')} > start_interval AND {loc('ds.created_at')} < end_interval THEN old_product.id
+       WHEN {loc('ds.created_at')} > start_interval THEN old_product.id
+       WHEN {loc('ds.created_at')} < start_interval THEN new_product.id
+       ELSE o.produto_id END AS product_id
+FROM orders_with_product owp
+LEFT JOIN d_orders o ON owp.o_id = o.id
+LEFT JOIN d_device_swaps ds ON owp.dswap_id = ds.id
+LEFT JOIN d_devices old_device ON ds.old_device_id = old_device.id
+LEFT JOIN d_produtos old_product ON old_device.product_id = old_product.id
+LEFT JOIN d_devices new_device ON ds.new_device_id = new_device.id
+LEFT JOIN d_produtos new_product ON new_device.product_id = new_product.id""")

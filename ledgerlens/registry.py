@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .operators.spine import Spine
-from .plans import fees, sales_revenue, service
+from .plans import device, fees, sales_revenue, service
 from .sources.fixtures import AS_OF_TPC, Domain
 
 # Fixed parameters of the fixture queries.
@@ -76,6 +76,11 @@ def _q_plan_txn_cost(dom):
     return fees.mart_plan_txn_cost(dom)
 
 
+@register("mart_active_device_product", oracle.active_device_product(MONTHS))
+def _q_device(dom):
+    return device.mart_active_device_product(dom, MONTHS)
+
+
 def queries() -> dict[str, Builder]:
     return dict(_QUERIES)
 
