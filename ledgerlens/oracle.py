@@ -313,3 +313,57 @@ LEFT JOIN d_devices old_device ON ds.old_device_id = old_device.id
 LEFT JOIN d_produtos old_product ON old_device.product_id = old_product.id
 LEFT JOIN d_devices new_device ON ds.new_device_id = new_device.id
 LEFT JOIN d_produtos new_product ON new_device.product_id = new_product.id""")
+
+
+def dims() -> dict[str, str]:
+    text = ", ".join(f"coalesce({c}, '') AS {c}" for c in
+                     ("address", "number", "neighborhood", "city", "state", "zipcode", "region"))
+    sub = loc("o.subscribed_at")
+    return {
+        "dim_products": with_domain("SELECT id, modelo, marca_id FROM d_produtos"),
+        "dim_brands": with_domain("SELECT id, marca_nome FROM d_marcas"),
+        "dim_plans": with_domain("SELECT id, name, number_of_months, price_factor, partner_price_factor, "
+                                 "fixed_product_price, percentage_value, use_price_table, min_value, max_value FROM d_plans"),
+        "dim_stores": with_domain(f"SELECT id, name, partner_id, {text}, regional_manager_id FROM d_stores"),
+        "dim_partners": with_domain("""
+SELECT p.id, p.name, account_manager_id, retail, s.size, g.name AS group_name
+FROM d_partners p
+LEFT JOIN d_partner_groups g ON p.partner_group_id = g.id
+LEFT JOIN d_partner_sizes s ON p.partner_size_id = s.id"""),
+        "extract_store_orders": with_domain("""
+SELECT so.id, order_id, installments, total_price, payment_method, seller_identifier, so.store_id, seller_id,
+  se.name, plan_type, device_value_paid, device_value_without_discount, bought_type, price_label, sales_kind_id,
+  sk.description
+FROM d_store_orders so
+LEFT JOIN d_sales_kinds sk ON sk.id = so.sales_kind_id
+LEFT JOIN d_sellers se ON se.id = so.seller_id"""),
+        "extract_orders_priced": with_domain(f"""
+SELECT o.id, {loc('o.created_at')} AS created_at, user_id, preco, produto_id, {loc('o.canceled_at')} AS canceled_at,
+  plan_id, {sub} AS subscribed_at, cancellation_reason_id, direct_channel, skip_auto_renewal, order_parent_id,
+  old_price, disable_service_request_fee, pp.device_price, source, app_verification_status
+FROM d_orders o
+LEFT JOIN d_product_prices pp ON o.produto_id = pp.product_id
+  AND {sub} >= coalesce(pp.created_at, {sub})
+  AND {sub} < coalesce(pp.expired_at + INTERVAL 1 DAY - INTERVAL 1 SECOND, {sub} + INTERVAL 1 SECOND)"""),
+        "lookup_payment_360": with_domain("""
+SELECT users.name AS user_name, users.email, o.source, marcas.marca_nome, produtos.modelo, sellers.name AS seller_name,
+  o.canceled, sr.user_service_requests_count, sr.order_service_requests_count, p.installments, o.user_id, o.user_cpf,
+  o.plan_id, plans.name AS plan_name, stores.state, stores.city, p.order_id, so.seller_identifier, so.seller_id,
+  so.imei, so.plan_type, so.bought_type, so.sales_kind_id, sk.identifier, so.invoice_number, users.phonenumber,
+  users.address_street, users.address_zipcode, users.address_number, users.address_neighborhood,
+  users.address_complement, users.address_city, users.address_state, users.orders_count, users.sign_in_count,
+  users.cellphone_number
+FROM d_payments p
+LEFT JOIN d_orders o ON p.order_id = o.id
+LEFT JOIN d_users users ON o.user_id = users.id
+LEFT JOIN d_store_orders so ON so.order_id = o.id
+LEFT JOIN d_stores stores ON so.store_id = stores.id
+LEFT JOIN d_partners partners ON stores.partner_id = partners.id
+LEFT JOIN d_sales_kinds sk ON so.sales_kind_id = sk.id
+LEFT JOIN d_plans plans ON o.plan_id = plans.id
+LEFT JOIN d_service_requests sr ON o.id = sr.order_id
+LEFT JOIN d_produtos produtos ON o.produto_id = produtos.id
+LEFT JOIN d_marcas marcas ON produtos.marca_id = marcas.id
+LEFT JOIN d_sellers sellers ON so.seller_id = sellers.id"""),
+        "scan_preview": with_domain("SELECT * FROM d_orders ORDER BY id LIMIT 10"),
+    }

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .operators.spine import Spine
-from .plans import device, fees, sales_revenue, service
+from .plans import device, dims, fees, sales_revenue, service
 from .sources.fixtures import AS_OF_TPC, Domain
 
 # Fixed parameters of the fixture queries.
@@ -81,6 +81,12 @@ def _q_device(dom):
     return device.mart_active_device_product(dom, MONTHS)
 
 
+_DIM_SQL = oracle.dims()
+for _name in ("dim_products", "dim_brands", "dim_plans", "dim_stores", "dim_partners", "extract_store_orders",
+              "extract_orders_priced", "lookup_payment_360", "scan_preview"):
+    register(_name, _DIM_SQL[_name])(getattr(dims, _name))
+
+
 def queries() -> dict[str, Builder]:
     return dict(_QUERIES)
 
