@@ -367,3 +367,103 @@ LEFT JOIN d_marcas marcas ON produtos.marca_id = marcas.id
 LEFT JOIN d_sellers sellers ON so.seller_id = sellers.id"""),
         "scan_preview": with_domain("SELECT * FROM d_orders ORDER BY id LIMIT 10"),
     }
+
+
+def spine_counts(spine: Spine, facts_sql: str) -> str:
+    return with_domain(f"""
+WITH {spine_cte(spine)},
+facts AS ({facts_sql})
+SELECT d.start_interval, d.end_interval, COUNT(f.ts) AS n_items
+FROM date_intervals d LEFT JOIN facts f ON f.ts >= d.start_interval AND f.ts < d.end_interval
+GROUP BY d.start_interval, d.end_interval""")
+
+
+def micro(months: Spine) -> dict[str, str]:
+    sub = loc("o.subscribed_at")
+    enriched = f"""
+  FROM d_payments pay
+  LEFT JOIN d_orders o ON o.id = pay.order_id
+  LEFT JOIN d_store_orders so ON so.order_id = o.id
+  LEFT JOIN d_stores st ON st.id = so.store_id
+  LEFT JOIN d_partners p ON st.partner_id = p.id
+  LEFT JOIN d_revenue_shares rs ON p.id = rs.partner_id
+    AND {sub} >= coalesce(rs.begin_at, {sub})
+    AND {sub} < coalesce(rs.finish_at + INTERVAL 1 DAY - INTERVAL 1 SECOND, {sub} + INTERVAL 1 SECOND)
+  WHERE pay.reason IN ('subscription')"""
+    shares_d = _shares_sql().replace(" AS house_share", "").replace(" AS partner_share", "").replace(" AS insurer_share", "")
+    parts = [p.strip() for p in shares_d.split(",\n")]
+    shares_cols = ", ".join(f"CAST({p} AS DOUBLE) AS {n}" for p, n in
+                            zip(parts, ("house_share", "partner_share", "insurer_share")))
+    now = f"TIMESTAMP '{months.as_of.isoformat(sep=' ')}'"
+    pivot = ", ".join(f"CAST(SUM(CASE WHEN issue_id = {k} THEN 1 ELSE 0 END) AS BIGINT) AS n_{n}"
+                      for n, k in ISSUE_NAMES.items())
+    card = _card_cost_sql("value", "installments")
+    pct = ("CASE WHEN installments = 1 THEN 1.87 WHEN installments <= 3 THEN 2.21 WHEN installments <= 6 THEN 2.32 "
+           "ELSE 2.55 END")
+    return {
+        "op_plan_class": with_domain("""
+SELECT id, plan_id, plan_id IN (8, 9, 10, 14, 16) AS is_house_only, plan_id IN (40, 61) AS is_rfq,
+  plan_id NOT IN (40, 61) AS is_not_rfq FROM d_orders"""),
+        "op_reason_like": with_domain("""
+SELECT reason, COUNT(*) AS n_payments, CAST(SUM(CASE WHEN psp_reference LIKE '%boleto%' THEN 1 ELSE 0 END) AS BIGINT) AS n_boleto_refs,
+  reason LIKE '%repair_fee%' AS is_repair_like, reason NOT LIKE '%repair_fee%' AS is_not_repair_like
+FROM d_payments GROUP BY reason"""),
+        "op_to_local_time": with_domain(f"SELECT id, created_at, {loc('created_at')} AS created_local FROM d_payments"),
+        "op_withdrawal_flag": with_domain("""
+SELECT id, direct_channel, coalesce(CASE WHEN direct_channel
+    THEN subscribed_at + INTERVAL 15 DAY > canceled_at AND subscribed_at <= canceled_at
+    ELSE subscribed_at + INTERVAL 8 DAY > canceled_at AND subscribed_at <= canceled_at END, false) AS withdrawn
+FROM d_orders"""),
+        "op_event_month": with_domain(f"""
+SELECT id, CAST(date_trunc('month', {loc('created_at')}) AS DATE) AS creation_month,
+  CAST(date_trunc('month', created_at) AS DATE) AS creation_month_utc FROM d_payments"""),
+        "op_validity_join_share": with_domain(f"""
+SELECT pay.id, p.id AS partner_id, {sub} AS subscribed_at, CAST(rs.value AS DOUBLE) AS share_pct {enriched}"""),
+        "op_revenue_split": with_domain(f"SELECT pay.id, o.plan_id, p.id AS partner_id, {shares_cols} {enriched}"),
+        "op_card_fee_brackets": with_domain(f"""
+SELECT id, installments, CAST({pct} AS DOUBLE) AS card_fee_pct, CAST({card} + 0.27 AS DOUBLE) AS card_cost
+FROM d_payments"""),
+        "op_bucket_point_in_period": with_domain(f"""
+WITH {spine_cte(months)}
+SELECT CAST(start_interval AS DATE) AS start_interval, CAST(end_interval AS DATE) AS end_interval, p.id, p.order_id
+FROM d_payments p JOIN date_intervals d
+  ON {loc('p.created_at')} >= d.start_interval AND {loc('p.created_at')} < d.end_interval"""),
+        "op_in_period_flag": with_domain(f"""
+WITH {spine_cte(months)},
+by_period AS (
+  SELECT start_interval, end_interval, order_id, issue_id, sr.id,
+    ({loc('sr.swapped_at')} < end_interval AND {loc('sr.swapped_at')} >= start_interval) AS swapped
+  FROM date_intervals CROSS JOIN d_service_requests sr)
+SELECT CAST(start_interval AS DATE) AS start_interval, CAST(end_interval AS DATE) AS end_interval, order_id, id, issue_id
+FROM by_period WHERE swapped"""),
+        "op_explode_overlap_periods": with_domain(f"""
+WITH {spine_cte(months)},
+select_orders AS (
+  SELECT start_interval, end_interval, o.id AS o_id,
+    ({loc('min(least(o.subscribed_at, sr.arrived_at))')} <= end_interval AND
+     {loc(f'max(greatest(coalesce(o.canceled_at, {now}), coalesce(coalesce(sr.closed_at, sr.tracked_at), sr.arrived_at)))')} >= start_interval) AS active
+  FROM d_orders o CROSS JOIN date_intervals
+  LEFT JOIN d_service_requests sr ON o.id = sr.order_id
+  GROUP BY start_interval, end_interval, o_id)
+SELECT CAST(start_interval AS DATE) AS start_interval, CAST(end_interval AS DATE) AS end_interval, o_id
+FROM select_orders WHERE active"""),
+        "op_semi_inhouse": with_domain("""
+SELECT sr.id, sr.issue_id FROM d_service_requests sr JOIN d_repairs r ON sr.id = r.service_request_id
+WHERE r.repair_shop_id = 28 GROUP BY sr.id, sr.issue_id"""),
+        "op_left_join_chain": with_domain("""
+SELECT pay.id, pay.order_id, o.plan_id, so.store_id, p.id AS partner_id
+FROM d_payments pay
+LEFT JOIN d_orders o ON o.id = pay.order_id
+LEFT JOIN d_store_orders so ON so.order_id = o.id
+LEFT JOIN d_stores st ON st.id = so.store_id
+LEFT JOIN d_partners p ON st.partner_id = p.id"""),
+        "op_device_swap_history": with_domain(f"""
+SELECT o.id AS o_id, {loc('ds.created_at')} AS c_at, ds.id AS dswap_id
+FROM d_orders o LEFT JOIN d_service_requests sr ON o.id = sr.order_id
+JOIN d_device_swaps ds ON ds.service_request_id = sr.id"""),
+        "op_count_nonnull": with_domain("""
+SELECT order_id, COUNT(*) AS n_requests, COUNT(issue_id) AS n_with_issue, COUNT(swapped_at) AS n_swapped,
+  COUNT(closed_at) AS n_closed FROM d_service_requests GROUP BY order_id"""),
+        "op_issue_pivot": with_domain(f"SELECT order_id, {pivot} FROM d_service_requests GROUP BY order_id"),
+        "op_distinct_rows": with_domain("SELECT order_id, issue_id FROM d_service_requests GROUP BY order_id, issue_id"),
+    }

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .operators.spine import Spine
-from .plans import device, dims, fees, sales_revenue, service
-from .sources.fixtures import AS_OF_TPC, Domain
+from .plans import device, dims, fees, micro, sales_revenue, service, spines
+from .sources.fixtures import AS_OF_EVENTS, AS_OF_TPC, Domain
 
 # Fixed parameters of the fixture queries.
 AS_OF = dt.datetime.fromisoformat(AS_OF_TPC)
@@ -87,6 +87,30 @@ for _name in ("dim_products", "dim_brands", "dim_plans", "dim_stores", "dim_part
     register(_name, _DIM_SQL[_name])(getattr(dims, _name))
 
 
+_MICRO_SQL = oracle.micro(MONTHS)
+for _name in ("op_plan_class", "op_reason_like", "op_to_local_time", "op_withdrawal_flag", "op_event_month",
+              "op_validity_join_share", "op_revenue_split", "op_card_fee_brackets", "op_semi_inhouse",
+              "op_left_join_chain", "op_device_swap_history", "op_count_nonnull", "op_issue_pivot",
+              "op_distinct_rows"):
+    register(_name, _MICRO_SQL[_name])(getattr(micro, _name))
+for _name in ("op_bucket_point_in_period", "op_in_period_flag", "op_explode_overlap_periods"):
+    register(_name, _MICRO_SQL[_name])(lambda dom, _f=getattr(micro, _name): _f(dom, MONTHS))
+
+EVENTS_AS_OF = dt.datetime.fromisoformat(AS_OF_EVENTS)
+SPINES = {
+    "time_spine_year": (Spine(dt.date(1995, 1, 1), AS_OF, "year", 1), "orders"),
+    "time_spine_semester": (Spine(dt.date(1995, 1, 1), AS_OF, "semester", 1), "orders"),
+    "time_spine_month": (MONTHS, "orders"),
+    "time_spine_week": (Spine(dt.date(2024, 1, 1), EVENTS_AS_OF, "week", 1), "events"),
+    "time_spine_day": (Spine(dt.date(2024, 1, 1), EVENTS_AS_OF, "day", 1), "events"),
+}
+for _name, (_spine, _facts) in SPINES.items():
+    _sql = oracle.spine_counts(_spine, f"SELECT {oracle.loc('subscribed_at')} AS ts FROM d_orders"
+                               if _facts == "orders" else "SELECT ts FROM events")
+    _fn = spines.order_spine if _facts == "orders" else spines.event_spine
+    register(_name, _sql)(lambda dom, _f=_fn, _s=_spine: _f(dom, _s))
+
+
 def queries() -> dict[str, Builder]:
     return dict(_QUERIES)
 
