@@ -467,3 +467,53 @@ SELECT order_id, COUNT(*) AS n_requests, COUNT(issue_id) AS n_with_issue, COUNT(
         "op_issue_pivot": with_domain(f"SELECT order_id, {pivot} FROM d_service_requests GROUP BY order_id"),
         "op_distinct_rows": with_domain("SELECT order_id, issue_id FROM d_service_requests GROUP BY order_id, issue_id"),
     }
+
+
+def bi(spine: Spine, single_order: int) -> dict[str, str]:
+    now = f"TIMESTAMP '{spine.as_of.isoformat(sep=' ')}'"
+    selected = f"""selected AS (
+  SELECT o.id AS order_id, min(least(o.subscribed_at, sr.arrived_at)) AS order_subscribed_at,
+    max(greatest(coalesce(o.canceled_at, {now}), coalesce(coalesce(sr.closed_at, sr.tracked_at), sr.arrived_at))) AS order_canceled_at
+  FROM d_orders o LEFT JOIN d_service_requests sr ON o.id = sr.order_id
+  WHERE o.payment_confirmed GROUP BY o.id)"""
+    fee = """fee AS (
+  SELECT p.order_id, CAST(date_trunc('month', created_at) AS TIMESTAMP) AS start_month,
+    CAST(CAST(SUM(p.value) AS DECIMAL(28,2)) AS DOUBLE) AS fee_rev,
+    CAST(- CAST(SUM(p.value) AS DECIMAL(28,2)) * 0.0925 AS DOUBLE) AS fee_rev_taxes,
+    CAST(CAST(SUM(p.value) AS DECIMAL(28,2)) - CAST(SUM(p.value) AS DECIMAL(28,2)) * 0.0925 AS DOUBLE) AS net_fee_rev,
+    min(p.created_at) AS min
+  FROM d_payments p WHERE p.reason = 'repair_fee' GROUP BY order_id, start_month)"""
+    tree = f"""WITH {spine_cte(spine)}, {selected}, {fee},
+tree AS (
+  SELECT d.start_interval, d.end_interval, s.order_id, s.order_subscribed_at, s.order_canceled_at,
+    o.subscribed_at, o.canceled_at, o.plan_id, pl.name AS plan_name, f.fee_rev, f.fee_rev_taxes, f.net_fee_rev
+  FROM date_intervals d CROSS JOIN selected s
+  LEFT JOIN d_orders o ON o.id = s.order_id
+  LEFT JOIN d_plans pl ON o.plan_id = pl.id
+  LEFT JOIN fee f ON d.end_interval > f.min AND d.start_interval <= f.min AND s.order_id = f.order_id)"""
+    active = ("CAST(SUM(CASE WHEN end_interval >= subscribed_at AND end_interval <= coalesce(canceled_at, end_interval) "
+              "THEN 1 ELSE 0 END) AS BIGINT) AS active_orders")
+    return {
+        "bi_selected_orders": with_domain(f"WITH {selected} SELECT * FROM selected"),
+        "bi_fee_rev_draft": with_domain(f"WITH {fee} SELECT * FROM fee"),
+        "bi_plans": with_domain("""
+SELECT id AS id_plans, name AS plan_name, number_of_months, price_factor, partner_price_factor, fixed_product_price,
+  percentage_value, use_price_table, min_value, max_value FROM d_plans"""),
+        "bi_orders": with_domain("""
+SELECT id, created_at, user_id, preco, produto_id, canceled_at, plan_id, subscribed_at, cancellation_reason_id,
+  direct_channel, skip_auto_renewal, order_parent_id, old_price, disable_service_request_fee, device_price FROM d_orders"""),
+        "bi_order_months": with_domain(f"{tree} SELECT * FROM tree"),
+        "bi_fee_rev_in_period": with_domain(f"""
+WITH {spine_cte(spine)}, {selected}, {fee}
+SELECT d.start_interval, d.end_interval, s.order_id, f.start_month, f.fee_rev, f.fee_rev_taxes, f.net_fee_rev, f.min
+FROM date_intervals d CROSS JOIN selected s
+JOIN fee f ON d.end_interval > f.min AND d.start_interval <= f.min AND s.order_id = f.order_id"""),
+        "bi_active_orders_by_month": with_domain(f"""{tree}
+SELECT CAST(date_trunc('month', start_interval) AS DATE) AS start_month, {active}
+FROM tree WHERE plan_name NOT IN ('CORPORATIVE_2', 'CORPORATIVE_3', 'QBE_DEFAULT') OR plan_name IS NULL
+GROUP BY 1"""),
+        "bi_active_orders_single": with_domain(f"""{tree}
+SELECT CAST(date_trunc('month', start_interval) AS DATE) AS start_month, {active}
+FROM tree WHERE order_id = {single_order} GROUP BY 1"""),
+        "bi_record_count": with_domain(f"{tree} SELECT COUNT(*) AS number_of_records FROM tree"),
+    }

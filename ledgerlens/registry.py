@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .operators.spine import Spine
-from .plans import device, dims, fees, micro, sales_revenue, service, spines
+from .plans import bi, device, dims, fees, micro, sales_revenue, service, spines
 from .sources.fixtures import AS_OF_EVENTS, AS_OF_TPC, Domain
 
 # Fixed parameters of the fixture queries.
@@ -111,6 +111,19 @@ for _name, (_spine, _facts) in SPINES.items():
     register(_name, _sql)(lambda dom, _f=_fn, _s=_spine: _f(dom, _s))
 
 
+# Workbook parameters: kind of period, window size, start date; Sheet 3's member.
+WORKBOOK = Spine(dt.date(1995, 1, 1), AS_OF, "month", 1)
+SINGLE_ORDER = 7
+_BI_SQL = oracle.bi(WORKBOOK, SINGLE_ORDER)
+register("bi_selected_orders", _BI_SQL["bi_selected_orders"])(lambda dom: bi.bi_selected_orders(dom, AS_OF))
+for _name in ("bi_fee_rev_draft", "bi_plans", "bi_orders"):
+    register(_name, _BI_SQL[_name])(getattr(bi, _name))
+for _name in ("bi_order_months", "bi_fee_rev_in_period", "bi_active_orders_by_month", "bi_record_count"):
+    register(_name, _BI_SQL[_name])(lambda dom, _f=getattr(bi, _name): _f(dom, WORKBOOK))
+register("bi_active_orders_single", _BI_SQL["bi_active_orders_single"])(
+    lambda dom: bi.bi_active_orders_single(dom, WORKBOOK, SINGLE_ORDER))
+
+
 def queries() -> dict[str, Builder]:
     return dict(_QUERIES)
 
