@@ -517,3 +517,30 @@ SELECT CAST(date_trunc('month', start_interval) AS DATE) AS start_month, {active
 FROM tree WHERE order_id = {single_order} GROUP BY 1"""),
         "bi_record_count": with_domain(f"{tree} SELECT COUNT(*) AS number_of_records FROM tree"),
     }
+
+
+def contribution_margin(spine: Spine) -> str:
+    from .plans.margin import MEASURES, SOURCES
+
+    last = spine.as_of.date().replace(day=1).isoformat()
+    window = f"WHERE creation_month >= DATE '{spine.start.isoformat()}' AND creation_month <= DATE '{last}'"
+    sources = {
+        "plan_revenue": (revenue(spine, "revenue"), "start_interval", ""),
+        "fee_revenue": (fee_revenue(spine), "start_interval", ""),
+        "severity": (severity(spine), "start_interval", ""),
+        "fee_txn_cost": (fee_txn_cost(), "creation_month", window),
+        "plan_txn_cost": (plan_txn_cost(), "creation_month", window),
+    }
+    parts = []
+    for name, cols in SOURCES.items():
+        sql, month, where = sources[name]
+        parts.append(f"(SELECT {month} AS start_interval, order_id, {', '.join(cols)} FROM ({sql}) AS s_{name} {where}) AS {name}")
+    joined = parts[0] + "".join(f"\nFULL OUTER JOIN {p} USING (start_interval, order_id)" for p in parts[1:])
+
+    def ordered(cols):
+        return " + ".join(f"coalesce({c}, 0.0)" for c in cols)
+
+    cats = ", ".join(f"{ordered(cols)} AS {cat}" for cat, cols in MEASURES.items())
+    return f"""
+SELECT start_interval, order_id, revenue, taxes, costs, (revenue + taxes) + costs AS contribution_margin
+FROM (SELECT start_interval, order_id, {cats} FROM {joined}) AS m"""
