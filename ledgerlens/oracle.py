@@ -544,3 +544,30 @@ def contribution_margin(spine: Spine) -> str:
     return f"""
 SELECT start_interval, order_id, revenue, taxes, costs, (revenue + taxes) + costs AS contribution_margin
 FROM (SELECT start_interval, order_id, {cats} FROM {joined}) AS m"""
+
+
+def geo_zone_join() -> str:
+    from .plans.geo import ZONES
+
+    edges = []
+    for zid, name, ring in ZONES:
+        for i in range(len(ring) - 1):
+            (x1, y1), (x2, y2) = ring[i], ring[i + 1]
+            edges.append(f"({zid}, '{name}', {x1!r}, {y1!r}, {x2!r}, {y2!r})")
+    bbox = []
+    for zid, name, ring in ZONES:
+        xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+        bbox.append(f"({zid}, {min(xs)!r}, {max(xs)!r}, {min(ys)!r}, {max(ys)!r})")
+    return f"""
+WITH edges(zone_id, zone_name, x1, y1, x2, y2) AS (VALUES {', '.join(edges)}),
+bbox(zone_id, min_x, max_x, min_y, max_y) AS (VALUES {', '.join(bbox)}),
+pts AS (SELECT event_id AS point_id, (event_id * 7919) % 1000 / 100.0 AS x, (event_id * 104729) % 1000 / 100.0 AS y FROM events),
+cand AS (SELECT p.point_id, p.x, p.y, b.zone_id FROM pts p JOIN bbox b
+         ON p.x >= b.min_x AND p.x <= b.max_x AND p.y >= b.min_y AND p.y <= b.max_y),
+hits AS (
+  SELECT c.point_id, c.zone_id, e.zone_name,
+    SUM(CASE WHEN ((e.y1 > c.y) <> (e.y2 > c.y)) AND (c.x < (e.x2 - e.x1) * (c.y - e.y1) / (e.y2 - e.y1) + e.x1)
+        THEN 1 ELSE 0 END) AS crossings
+  FROM cand c JOIN edges e ON c.zone_id = e.zone_id
+  GROUP BY c.point_id, c.zone_id, e.zone_name)
+SELECT zone_id, zone_name, COUNT(*) AS n_points FROM hits WHERE crossings % 2 = 1 GROUP BY zone_id, zone_name"""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .operators.spine import Spine
-from .plans import bi, device, dims, fees, margin, micro, sales_revenue, service, spines
+from .plans import bi, device, dims, fees, geo, margin, micro, sales_revenue, service, spines
 from .sources.fixtures import AS_OF_EVENTS, AS_OF_TPC, Domain
 
 # Fixed parameters of the fixture queries.
@@ -116,6 +116,9 @@ def _q_margin(dom):
     return margin.mart_contribution_margin(dom, MONTHS)
 
 
+register("geo_zone_join", oracle.geo_zone_join())(geo.geo_zone_join)
+
+
 # Workbook parameters: kind of period, window size, start date; Sheet 3's member.
 WORKBOOK = Spine(dt.date(1995, 1, 1), AS_OF, "month", 1)
 SINGLE_ORDER = 7
