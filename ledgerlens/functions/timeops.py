@@ -24,11 +24,18 @@ def col_(c) -> Column:
 _UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00", "Etc/GMT", "UCT"}
 
 
+_UTC_CHECKED: dict[int, bool] = {}
+
+
 def _session_is_utc() -> bool:
+    """Whether the active session's zone is UTC (looked up once per session)."""
     spark = SparkSession.getActiveSession()
     if spark is None:
         return False
-    return spark.conf.get("spark.sql.session.timeZone", "") in _UTC_NAMES
+    key = id(spark)
+    if key not in _UTC_CHECKED:
+        _UTC_CHECKED[key] = spark.conf.get("spark.sql.session.timeZone", "") in _UTC_NAMES
+    return _UTC_CHECKED[key]
 
 
 def to_local(ts) -> Column:

@@ -148,12 +148,12 @@ def bucket_point(df: DataFrame, ts: Column | str, spine: Spine, keep_index: bool
         k = spine.index_of(x)
         return (k >= 0) & (k <= spine.last_index) & (x < spine.end_of(k))
 
-    out = (df.withColumn("_t", F.explode(F.filter(F.array(t), in_period)))
-             .withColumn("_k", spine.index_of(F.col("_t")))
-             .withColumn("start_interval", spine.start_of(F.col("_k")))
-             .withColumn("end_interval", spine.end_of(F.col("_k")))
-             .drop("_t"))
-    return out if keep_index else out.drop("_k")
+    keep = [c for c in df.columns if c not in ("_t", "_k", "start_interval", "end_interval")]
+    exploded = df.select(*keep, F.explode(F.filter(F.array(t), in_period)).alias("_t"))
+    k = spine.index_of(F.col("_t"))
+    out = exploded.select(*keep, *([k.alias("_k")] if keep_index else []),
+                          spine.start_of(k).alias("start_interval"), spine.end_of(k).alias("end_interval"))
+    return out
 
 
 def explode_overlap(df: DataFrame, lo: Column | str, hi: Column | str, spine: Spine) -> DataFrame:
@@ -184,7 +184,7 @@ def explode_overlap(df: DataFrame, lo: Column | str, hi: Column | str, spine: Sp
         return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
 
     bounds = F.array(F.struct(lo_c.alias("lo"), hi_c.alias("hi")))
-    return (df.withColumn("_k", F.explode(F.flatten(F.transform(bounds, periods))))
-              .withColumn("start_interval", spine.start_of(F.col("_k")))
-              .withColumn("end_interval", spine.end_of(F.col("_k")))
-              .drop("_k"))
+    keep = [c for c in df.columns if c not in ("_k", "start_interval", "end_interval")]
+    exploded = df.select(*keep, F.explode(F.flatten(F.transform(bounds, periods))).alias("_k"))
+    k = F.col("_k")
+    return exploded.select(*keep, spine.start_of(k).alias("start_interval"), spine.end_of(k).alias("end_interval"))

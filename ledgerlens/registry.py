@@ -26,10 +26,22 @@ _QUERIES: dict[str, Builder] = {}
 _ORACLE: dict[str, str] = {}
 
 
+_DOMAINS: dict[tuple[int, str], Domain] = {}
+
+
+def domain_for(spark: SparkSession, sf_dir: str) -> Domain:
+    """One Domain (lazy DataFrame definitions, no data) per session and folder,
+    shared by every query so the adapters are defined and analysed once."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _DOMAINS:
+        _DOMAINS[key] = Domain(spark, sf_dir)
+    return _DOMAINS[key]
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[Domain], DataFrame]):
         def builder(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Domain(spark, sf_dir))
+            return fn(domain_for(spark, sf_dir))
 
         builder.__name__ = name
         builder.__doc__ = fn.__doc__

@@ -39,6 +39,36 @@ TABLES = (
 )
 
 
+# Tables that grow with the data, with their unique key; the rest are dimensions.
+FACT_TABLES = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"),
+    "orders": ("o_orderkey",),
+    "events": ("event_id",),
+    "customer": ("c_custkey",),
+    "part": ("p_partkey",),
+}
+import os as _os
+SPREAD_MODE = _os.environ.get("LEDGERLENS_SPREAD", "hash")
+
+
+def spread_scan(df: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A parquet file is split by row group; a file written as one row group
+    is read by one task, and every narrow operator after it (the fixture
+    derivation, time-zone conversion, map-side joins) then runs on one
+    core.  When the scan has fewer partitions than the default parallelism
+    it is re-spread round-robin (a skew-free shuffle of a small input).  A
+    large input has many more splits than cores and is left untouched.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if SPREAD_MODE == "none" or df.rdd.getNumPartitions() >= target:
+        return df
+    if SPREAD_MODE == "hash" and key:
+        return df.repartition(target, *key)
+    return df.repartition(target)
+
+
 def _pick(values: list, idx0: Column) -> Column:
     """values[idx0] for a 0-based integer column (NULL entries allowed)."""
     arr = F.array(*[F.lit(v) for v in values])
@@ -80,7 +110,8 @@ class Domain:
     def raw(self, name: str) -> DataFrame:
         if self.sf_dir is None:
             raise KeyError(f"no source for raw table {name}")
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread_scan(df, FACT_TABLES[name]) if name in FACT_TABLES else df
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
