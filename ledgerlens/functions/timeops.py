@@ -34,7 +34,7 @@ def _session_is_utc() -> bool:
         return False
     key = id(spark)
     if key not in _UTC_CHECKED:
-        _UTC_CHECKED[key] = spark.conf.get("spark.sql.session.timeZone", "") in _UTC_NAMES
+        _UTC_CHECKED[key] = spark.conf.get("spark.sql.session.timeZone") in _UTC_NAMES
     return _UTC_CHECKED[key]
 
 
