@@ -1,0 +1,7 @@
+"""Incremental refresh of the month-partitioned marts.
+
+The reference has no streaming operators (all inputs are static tables), and
+calendar months are not a legal ``window`` duration, so the marts stay batch
+jobs.  This package only re-runs them for the months touched by new payment
+files, using Structured Streaming as the change feed.
+"""
