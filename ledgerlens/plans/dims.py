@@ -106,8 +106,10 @@ def lookup_payment_360(dom: Domain, psp_reference: str | None = None) -> DataFra
     br = dom.marcas.select(F.col("id").alias("br_id"), "marca_nome")
     se = dom.sellers.select(F.col("id").alias("se_id"), F.col("name").alias("seller_name"))
     j = (pay.join(o, pay["order_id"] == o["o_id"], "left")
-         .join(so, F.col("o_id") == so["so_order_id"], "left")
-         .join(sr, F.col("o_id") == sr["sr_order_id"], "left")
+         # order-keyed joins use the payment's order_id (guarded by a matched
+         # order) so they share one partitioning
+         .join(so, (F.col("order_id") == so["so_order_id"]) & F.col("o_id").isNotNull(), "left")
+         .join(sr, (F.col("order_id") == sr["sr_order_id"]) & F.col("o_id").isNotNull(), "left")
          .join(users, F.col("user_id") == users["u_id"], "left")
          .join(st, F.col("so_store_id") == st["st_id"], "left")
          .join(sk, F.col("sales_kind_id") == sk["sk_id"], "left")

@@ -54,7 +54,7 @@ def mart_fee_revenue(dom: Domain, spine: Spine) -> DataFrame:
                                     div_fine(F.col("total_price"), PHONE_PRICE_RATIO).alias("price"))
     j = (p.join(sr, p["psp_reference"] == sr["sr_ref"], "left")
          .join(orders, p["order_id"] == orders["o_id"], "left")
-         .join(phone, F.col("o_id") == phone["ph_order_id"], "left"))
+         .join(phone, (F.col("order_id") == phone["ph_order_id"]) & F.col("o_id").isNotNull(), "left"))
 
     value, price, issue = F.col("value"), F.col("price"), F.col("issue_id")
     rfq_paid = is_rfq(F.col("plan_id")) & (value > 0)

@@ -95,7 +95,7 @@ def op_left_join_chain(dom: Domain) -> DataFrame:
     st = dom.stores.select(F.col("id").alias("st_id"), F.col("partner_id").alias("st_partner_id"))
     pa = dom.partners.select(F.col("id").alias("partner_id"))
     return (pay.join(o, pay["order_id"] == o["o_id"], "left")
-            .join(so, F.col("o_id") == so["so_order_id"], "left")
+            .join(so, (F.col("order_id") == so["so_order_id"]) & F.col("o_id").isNotNull(), "left")
             .join(st, F.col("store_id") == st["st_id"], "left")
             .join(pa, F.col("st_partner_id") == pa["partner_id"], "left")
             .select("id", "order_id", "plan_id", "store_id", "partner_id"))

@@ -53,7 +53,9 @@ def enriched_payments(dom: Domain, reasons: tuple[str, ...]) -> DataFrame:
                                    F.col("begin_at").alias("rs_begin"), F.col("finish_at").alias("rs_finish"))
 
     j = (pay.join(orders, pay["order_id"] == orders["o_id"], "left")
-         .join(so, F.col("o_id") == so["so_order_id"], "left")
+         # keyed on the payment's order_id (guarded by a matched order, i.e.
+         # orders.id = order_id) so the join reuses the payments' partitioning
+         .join(so, (F.col("order_id") == so["so_order_id"]) & F.col("o_id").isNotNull(), "left")
          .join(stores, F.col("so_store_id") == stores["st_id"], "left")
          .join(partners, F.col("st_partner_id") == partners["partner_id"], "left")
          .withColumn("subscribed_at", to_local("o_subscribed_at")))
