@@ -46,37 +46,41 @@ def order_activity_span(dom: Domain, as_of: dt.datetime) -> DataFrame:
 
 
 def swap_products(dom: Domain) -> DataFrame:
-    """Per swap: local swap time, product of the old and of the new device."""
-    ds = dom.device_swaps.select(F.col("id").alias("swap_id"), "created_at", "old_device_id", "new_device_id")
+    """Per swap: its request, local swap time, product of the old and of the new device."""
+    ds = dom.device_swaps.select(F.col("id").alias("swap_id"), "service_request_id", "created_at",
+                                 "old_device_id", "new_device_id")
     dev = dom.devices
     prod = dom.produtos.select(F.col("id").alias("prod_id"))
-    old = (dev.join(prod, dev["product_id"] == prod["prod_id"], "left")
-           .select(F.col("id").alias("old_dev"), F.col("prod_id").alias("old_product_id")))
-    new = (dev.join(prod, dev["product_id"] == prod["prod_id"], "left")
-           .select(F.col("id").alias("new_dev"), F.col("prod_id").alias("new_product_id")))
+    device_product = (dev.join(prod, dev["product_id"] == prod["prod_id"], "left")
+                      .select(F.col("id").alias("dev_id"), F.col("prod_id")))
+    old = device_product.select(F.col("dev_id").alias("old_dev"), F.col("prod_id").alias("old_product_id"))
+    new = device_product.select(F.col("dev_id").alias("new_dev"), F.col("prod_id").alias("new_product_id"))
     return (ds.join(old, ds["old_device_id"] == old["old_dev"], "left")
             .join(new, ds["new_device_id"] == new["new_dev"], "left")
-            .select("swap_id", to_local("created_at").alias("swap_local"), "old_product_id", "new_product_id"))
+            .select("swap_id", "service_request_id", to_local("created_at").alias("swap_local"),
+                    "old_product_id", "new_product_id"))
 
 
 def order_swaps(dom: Domain) -> DataFrame:
-    """Per order: first swap time, smallest and largest swap id with their products."""
+    """Per order: first swap time and the smallest / largest swap id with their products.
+
+    ``min`` / ``max`` of a struct led by the swap id pick the whole row of
+    the smallest / largest swap in the same aggregation (partial + final, so
+    an order with very many swaps costs one row per task), instead of
+    joining the swap table back twice.
+    """
     sr = dom.service_requests.select(F.col("id").alias("sr_id"), F.col("order_id").alias("sw_order_id"))
     info = swap_products(dom)
-    ds = dom.device_swaps.select(F.col("id").alias("ds_id"), "service_request_id")
-    per_swap = (ds.join(sr, ds["service_request_id"] == sr["sr_id"], "inner")
-                .join(info, F.col("ds_id") == info["swap_id"], "inner"))
+    per_swap = info.join(sr, info["service_request_id"] == sr["sr_id"], "inner")
+    row = F.struct("swap_id", "swap_local", "old_product_id", "new_product_id")
     agg = per_swap.groupBy("sw_order_id").agg(
-        F.min("swap_local").alias("first_swap"), F.min("swap_id").alias("min_id"), F.max("swap_id").alias("max_id"))
-
-    def side(tag: str) -> DataFrame:
-        return info.select(F.col("swap_id").alias(f"{tag}_id_"), F.col("swap_local").alias(f"{tag}_at"),
-                           F.col("old_product_id").alias(f"{tag}_old"), F.col("new_product_id").alias(f"{tag}_new"))
-
-    lo, hi = side("min"), side("max")
-    return (agg.join(lo, agg["min_id"] == lo["min_id_"], "left")
-            .join(hi, agg["max_id"] == hi["max_id_"], "left")
-            .drop("min_id_", "max_id_"))
+        F.min("swap_local").alias("first_swap"), F.min(row).alias("lo"), F.max(row).alias("hi"))
+    return agg.select(
+        "sw_order_id", "first_swap",
+        F.col("lo.swap_local").alias("min_at"), F.col("lo.old_product_id").alias("min_old"),
+        F.col("lo.new_product_id").alias("min_new"),
+        F.col("hi.swap_local").alias("max_at"), F.col("hi.old_product_id").alias("max_old"),
+        F.col("hi.new_product_id").alias("max_new"))
 
 
 def mart_active_device_product(dom: Domain, spine: Spine) -> DataFrame:
