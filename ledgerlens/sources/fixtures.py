@@ -198,50 +198,50 @@ class Domain:
 
     @cached_property
     def _sr_full(self) -> DataFrame:
+        """Requests of returned lines; every 17th part key opens a second request
+        (negative id) on the same payment reference.  One pass: each line
+        explodes into one or two request rows."""
         s = self._sr_lines
         pk, ln = F.col("_pk"), F.col("_ln")
         swapped = F.when(pk % 4 != 0, _days(pk % 45, F.col("created_at")))
-        cols = [
-            F.col("order_id"),
-            F.col("created_at").alias("arrived_at"),
-            _days(F.lit(1), F.col("created_at")).alias("tracked_at"),
-            F.col("psp_reference").alias("payment_reference"),
-            ln.alias("user_service_requests_count"),
-            (pk % 3).cast("int").alias("order_service_requests_count"),
-            pk.alias("_pk"),
-        ]
-        first = s.select(
-            F.col("id"), F.when(ln % 5 != 0, ln % 5).alias("issue_id"),
-            swapped.alias("swapped_at"), _days(F.lit(2), swapped).alias("closed_at"), *cols)
         swapped2 = _days(F.lit(1), swapped)
-        second = s.filter(pk % 17 == 0).select(
-            (-F.col("id")).alias("id"), F.when((ln + 1) % 5 != 0, (ln + 1) % 5).alias("issue_id"),
-            swapped2.alias("swapped_at"), _days(F.lit(2), swapped2).alias("closed_at"), *cols)
-        order = ["id", "order_id", "issue_id", "arrived_at", "swapped_at", "closed_at",
-                 "tracked_at", "payment_reference", "user_service_requests_count",
-                 "order_service_requests_count", "_pk"]
-        return first.select(order).unionByName(second.select(order))
+
+        def req(id_col, issue, sw):
+            return F.struct(id_col.alias("id"), issue.alias("issue_id"), sw.alias("swapped_at"),
+                            _days(F.lit(2), sw).alias("closed_at"))
+
+        first = req(F.col("id"), F.when(ln % 5 != 0, ln % 5), swapped)
+        second = F.when(pk % 17 == 0, req(-F.col("id"), F.when((ln + 1) % 5 != 0, (ln + 1) % 5), swapped2))
+        rows = s.select(F.explode(F.array_compact(F.array(first, second))).alias("r"), "order_id", "created_at",
+                        "psp_reference", "_ln", "_pk")
+        return rows.select(
+            "r.id", "order_id", "r.issue_id", F.col("created_at").alias("arrived_at"), "r.swapped_at", "r.closed_at",
+            _days(F.lit(1), F.col("created_at")).alias("tracked_at"), F.col("psp_reference").alias("payment_reference"),
+            F.col("_ln").alias("user_service_requests_count"), (pk % 3).cast("int").alias("order_service_requests_count"),
+            "_pk")
 
     @cached_property
     def repairs(self) -> DataFrame:
         s = self._sr_lines.filter(F.col("id") % 3 == 0)
-        row = [F.col("id").alias("service_request_id"),
-               F.when(F.col("_sk") % 2 == 0, F.lit(28)).otherwise(F.lit(5)).alias("repair_shop_id")]
-        return s.select(row).unionByName(s.filter(F.col("_pk") % 13 == 0).select(row))
+        row = F.struct(F.col("id").alias("service_request_id"),
+                       F.when(F.col("_sk") % 2 == 0, F.lit(28)).otherwise(F.lit(5)).alias("repair_shop_id"))
+        copies = F.when(F.col("_pk") % 13 == 0, F.lit(2)).otherwise(F.lit(1))
+        return s.select(F.explode(F.array_repeat(row, copies)).alias("r")).select("r.*")
 
     @cached_property
     def rel_service_request_costs(self) -> DataFrame:
         s = self._sr_lines
         pk = F.col("_pk")
         inv = F.col("_price").cast(DEC)
-        first = s.filter(pk % 5 != 0).select(
-            F.col("id").alias("service_request_id"),
+        first = F.when(pk % 5 != 0, F.struct(
             F.when(pk % 23 != 0, (F.col("_qty") * 10).cast(DEC)).alias("repair_cost"),
-            inv.alias("invoice_in_value"), (inv - 50).cast(DEC).alias("invoice_out_value"))
-        second = s.filter(pk % 19 == 0).select(
-            F.col("id").alias("service_request_id"), F.lit(5).cast(DEC).alias("repair_cost"),
-            F.lit(0).cast(DEC).alias("invoice_in_value"), F.lit(0).cast(DEC).alias("invoice_out_value"))
-        return first.unionByName(second)
+            inv.alias("invoice_in_value"), (inv - 50).cast(DEC).alias("invoice_out_value")))
+        second = F.when(pk % 19 == 0, F.struct(
+            F.lit(5).cast(DEC).alias("repair_cost"), F.lit(0).cast(DEC).alias("invoice_in_value"),
+            F.lit(0).cast(DEC).alias("invoice_out_value")))
+        return (s.select(F.col("id").alias("service_request_id"),
+                         F.explode(F.array_compact(F.array(first, second))).alias("c"))
+                .select("service_request_id", "c.repair_cost", "c.invoice_in_value", "c.invoice_out_value"))
 
     @cached_property
     def service_request_postings(self) -> DataFrame:
@@ -272,30 +272,31 @@ class Domain:
     # -- store side ------------------------------------------------------------
     @cached_property
     def store_orders(self) -> DataFrame:
+        """Store sales of every order not divisible by 11; every 53rd order also
+        has a second sale at the next store.  One pass over orders."""
         o = self.raw("orders").filter(F.col("o_orderkey") % 11 != 0)
         k, c = F.col("o_orderkey"), F.col("o_custkey")
-
-        def rows(o_df: DataFrame, suffix: int, store_shift: int) -> DataFrame:
-            paid = F.col("o_totalprice").cast(DEC)
-            return o_df.select(
-                (k * 10 + suffix).alias("id"), k.alias("order_id"),
-                (k % 12 + 1).cast("int").alias("installments"),
-                (c.cast(DEC) + F.lit(99.90).cast("decimal(4,2)")).cast(DEC).alias("total_price"),
-                _pick(["credit_card", "boleto", "debit"], k % 3).alias("payment_method"),
-                F.concat(F.lit("S"), (c % 50).cast("string")).alias("seller_identifier"),
-                (c % 120 + store_shift).alias("store_id"),
-                (c % 50).alias("seller_id"),
-                F.when(k % 2 == 0, F.lit("monthly")).otherwise(F.lit("annual")).alias("plan_type"),
-                paid.alias("device_value_paid"),
-                (paid + 100).cast(DEC).alias("device_value_without_discount"),
-                F.col("o_orderpriority").alias("bought_type"),
-                F.concat(F.lit("P"), (k % 5).cast("string")).alias("price_label"),
-                (k % 4).cast("int").alias("sales_kind_id"),
-                F.lpad(k.cast("string"), 15, "0").alias("imei"),
-                F.concat(F.lit("INV-"), k.cast("string")).alias("invoice_number"),
-            )
-
-        return rows(o, 1, 0).unionByName(rows(o.filter(k % 53 == 0), 2, 1))
+        first = F.struct(F.lit(1).alias("suffix"), F.lit(0).alias("shift"))
+        second = F.when(k % 53 == 0, F.struct(F.lit(2).alias("suffix"), F.lit(1).alias("shift")))
+        rows = o.select("*", F.explode(F.array_compact(F.array(first, second))).alias("v"))
+        paid = F.col("o_totalprice").cast(DEC)
+        return rows.select(
+            (k * 10 + F.col("v.suffix")).alias("id"), k.alias("order_id"),
+            (k % 12 + 1).cast("int").alias("installments"),
+            (c.cast(DEC) + F.lit(99.90).cast("decimal(4,2)")).cast(DEC).alias("total_price"),
+            _pick(["credit_card", "boleto", "debit"], k % 3).alias("payment_method"),
+            F.concat(F.lit("S"), (c % 50).cast("string")).alias("seller_identifier"),
+            (c % 120 + F.col("v.shift")).alias("store_id"),
+            (c % 50).alias("seller_id"),
+            F.when(k % 2 == 0, F.lit("monthly")).otherwise(F.lit("annual")).alias("plan_type"),
+            paid.alias("device_value_paid"),
+            (paid + 100).cast(DEC).alias("device_value_without_discount"),
+            F.col("o_orderpriority").alias("bought_type"),
+            F.concat(F.lit("P"), (k % 5).cast("string")).alias("price_label"),
+            (k % 4).cast("int").alias("sales_kind_id"),
+            F.lpad(k.cast("string"), 15, "0").alias("imei"),
+            F.concat(F.lit("INV-"), k.cast("string")).alias("invoice_number"),
+        )
 
     @cached_property
     def stores(self) -> DataFrame:
