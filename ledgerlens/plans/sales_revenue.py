@@ -35,6 +35,10 @@ from .common import count_if, period_dates
 SALES = "sales"
 REVENUE = "revenue"
 SHARES = ("house_share", "partner_share", "insurer_share")
+# Row amounts: ten decimals keep the /12 rule exact to the oracle's digits;
+# 18 digits keep the value in a long-backed (compact) decimal, which hashes
+# and compares much faster than the wide form.  Bounds one payment to < 1e8.
+ROW_VALUE = "decimal(18,10)"
 
 
 def enriched_payments(dom: Domain, reasons: tuple[str, ...]) -> DataFrame:
@@ -76,7 +80,7 @@ def payments_by_period(dom: Domain, spine: Spine, kind: str) -> DataFrame:
     reasons = ("subscription",) if kind == SALES else ("subscription", "monthly_fee", "overdue_monthly_fee")
     e = enriched_payments(dom, reasons)
     split = shares(F.col("plan_id"), F.col("partner_id"), F.col("rs_value"))
-    value = value_rule(kind).cast("decimal(28,10)")
+    value = value_rule(kind).cast(ROW_VALUE)
     rfq = F.col("plan_id").isin(*PLANS_RFQ)
     rows = e.select(
         "id", "plan_id", "direct_channel", "order_id", "partner_id", "subscribed_at",
@@ -86,12 +90,18 @@ def payments_by_period(dom: Domain, spine: Spine, kind: str) -> DataFrame:
         F.coalesce(withdrawal_flag("o_subscribed_at", "o_canceled_at", "direct_channel"), F.lit(False))
         .alias("withdrawn"),
         value.alias("value"),
-    ).withColumn("plan_value", F.when(~rfq, F.col("value")).otherwise(F.lit(0)).cast("decimal(28,10)")) \
-     .withColumn("admin_value", F.when(rfq, F.col("value")).otherwise(F.lit(0)).cast("decimal(28,10)"))
+    )
     bucketed = bucket_point(rows, "created_at", spine)
-    # the source groups by every column: exact duplicates (fan-out through
-    # identical store orders / share windows) collapse to one row
-    return bucketed.dropDuplicates()
+    # The source groups by every column, so exact duplicate rows (fan-out
+    # through identical store orders / share windows) collapse to one.  Only
+    # the columns that can differ between fan-out rows of one payment need
+    # to be compared: the rest are functions of the payment id or of the
+    # order id (both primary keys).
+    distinct = bucketed.dropDuplicates(["start_interval", "end_interval", "id", "order_id", "partner_id",
+                                        *SHARES, "value"])
+    return distinct.select(
+        "*", F.when(~rfq, F.col("value")).otherwise(F.lit(0)).cast(ROW_VALUE).alias("plan_value"),
+        F.when(rfq, F.col("value")).otherwise(F.lit(0)).cast(ROW_VALUE).alias("admin_value"))
 
 
 def revenue_mart(dom: Domain, spine: Spine, kind: str = SALES) -> DataFrame:
