@@ -10,7 +10,7 @@ from ..functions.timeops import to_local
 from ..operators.pivot import code_cases
 from ..operators.spine import Spine, bucket_point
 from ..sources.fixtures import Domain
-from .common import count_if, dsum, pct, period_dates
+from .common import count_if, lsum, pct, period_dates
 
 
 def mart_sr_monthly_count(dom: Domain, spine: Spine) -> DataFrame:
@@ -73,12 +73,14 @@ def mart_severity(dom: Domain, spine: Spine) -> DataFrame:
         "severity_tax_credit": (F.col("repair_cost") + F.col("invoice_out_value") - F.col("invoice_in_value"))
         * pct(PIS_COFINS_PCT),
     }
+    # amounts have 2 decimals; the tax credit (x 0.0925) has 6
+    scales = {fam: (6 if fam == "severity_tax_credit" else 2) for fam in families}
     aggs, names = [], []
     for fam, expr in families.items():
-        aggs.append(dsum(expr).alias(fam))
+        aggs.append(lsum(expr, scales[fam]).alias(fam))
         names.append(fam)
         for n, c in code_cases(issue, expr, ISSUES).items():
-            aggs.append(dsum(c).alias(f"{fam}_{n}"))
+            aggs.append(lsum(c, scales[fam]).alias(f"{fam}_{n}"))
             names.append(f"{fam}_{n}")
     aggs.append(F.count("id").alias("swapped_sr"))
     names.append("swapped_sr")
