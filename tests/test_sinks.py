@@ -47,3 +47,15 @@ def test_streaming_refresh(spark):
     q.awaitTermination(120)
     got = sorted((r.start_interval, r.order_id) for r in read_mart(spark, out).collect())
     assert got == [(dt.date(2000, 3, 1), 2)]      # only the touched month was written
+
+
+def test_domain_from_parquet(spark):
+    import os
+
+    from ledgerlens.sources.tables import domain_from_parquet
+
+    root = tempfile.mkdtemp(prefix="lake-")
+    rows = [sr_row(1, 1, 1, arrived="2000-02-10 12:00:00"), sr_row(2, 2, 2, arrived="2000-03-10 12:00:00")]
+    spark.createDataFrame(rows, SR).write.parquet(os.path.join(root, "service_requests"))
+    dom = domain_from_parquet(spark, root, ("service_requests",))
+    assert service.mart_sr_monthly_count(dom, SPINE).count() == 2
