@@ -108,10 +108,14 @@ class Domain:
 
     # -- raw driver tables -------------------------------------------------
     def raw(self, name: str) -> DataFrame:
-        if self.sf_dir is None:
-            raise KeyError(f"no source for raw table {name}")
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread_scan(df, FACT_TABLES[name]) if name in FACT_TABLES else df
+        """A driver table (read, schema and split count resolved once per domain)."""
+        cache = self.__dict__.setdefault("_raw_cache", {})
+        if name not in cache:
+            if self.sf_dir is None:
+                raise KeyError(f"no source for raw table {name}")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            cache[name] = spread_scan(df, FACT_TABLES[name]) if name in FACT_TABLES else df
+        return cache[name]
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
