@@ -41,6 +41,10 @@ def repair_fee_payments_by_period(dom: Domain, spine: Spine) -> DataFrame:
 
 
 def mart_fee_revenue(dom: Domain, spine: Spine) -> DataFrame:
+    return dom.memo(("mart_fee_revenue", spine), lambda: _mart_fee_revenue(dom, spine))
+
+
+def _mart_fee_revenue(dom: Domain, spine: Spine) -> DataFrame:
     """Repair-fee revenue, insurer cost and taxes per (local swap month, order).
 
     Each bucketed payment is re-joined to *all* requests sharing its
@@ -91,6 +95,10 @@ def card_cost(value: Column, installments: Column) -> Column:
 
 
 def mart_fee_txn_cost(dom: Domain) -> DataFrame:
+    return dom.memo(("mart_fee_txn_cost",), lambda: _mart_fee_txn_cost(dom))
+
+
+def _mart_fee_txn_cost(dom: Domain) -> DataFrame:
     """Transaction cost of repair-fee payments per (order, local month)."""
     pay = dom.payments.filter(F.col("reason").like("%repair_fee%"))
     tr = dom.trackings.select(F.col("psp_reference").alias("tr_ref"), "payment_method")
@@ -107,6 +115,10 @@ def mart_fee_txn_cost(dom: Domain) -> DataFrame:
 
 
 def mart_plan_txn_cost(dom: Domain) -> DataFrame:
+    return dom.memo(("mart_plan_txn_cost",), lambda: _mart_plan_txn_cost(dom))
+
+
+def _mart_plan_txn_cost(dom: Domain) -> DataFrame:
     """Transaction cost of every non-repair payment per (order, local month)."""
     pay = dom.payments.filter(~F.col("reason").like("%repair_fee%"))
     tr = dom.trackings.select(F.col("psp_reference").alias("tr_ref"), "payment_method")

@@ -105,6 +105,10 @@ def payments_by_period(dom: Domain, spine: Spine, kind: str) -> DataFrame:
 
 
 def revenue_mart(dom: Domain, spine: Spine, kind: str = SALES) -> DataFrame:
+    return dom.memo(("revenue_mart", spine, kind), lambda: _revenue_mart(dom, spine, kind))
+
+
+def _revenue_mart(dom: Domain, spine: Spine, kind: str = SALES) -> DataFrame:
     noun = "sale" if kind == SALES else "revenue"
     p = payments_by_period(dom, spine, kind)
     s_plan = F.sum("plan_value").cast("double")

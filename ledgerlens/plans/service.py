@@ -14,6 +14,10 @@ from .common import count_if, lsum, pct, period_dates
 
 
 def mart_sr_monthly_count(dom: Domain, spine: Spine) -> DataFrame:
+    return dom.memo(("mart_sr_monthly_count", spine), lambda: _mart_sr_monthly_count(dom, spine))
+
+
+def _mart_sr_monthly_count(dom: Domain, spine: Spine) -> DataFrame:
     """Service requests arrived per (local month, order), split by issue.
 
     ``id`` is the service request's primary key, so the source's
@@ -46,6 +50,10 @@ def swapped_requests(dom: Domain, spine: Spine) -> DataFrame:
 
 
 def mart_severity(dom: Domain, spine: Spine) -> DataFrame:
+    return dom.memo(("mart_severity", spine), lambda: _mart_severity(dom, spine))
+
+
+def _mart_severity(dom: Domain, spine: Spine) -> DataFrame:
     """Repair, swap and logistic costs of swapped requests per (month, order).
 
     Cost and posting rows fan out: several rows per request multiply every

@@ -120,6 +120,14 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def memo(self, key, build):
+        """Build a derived plan once per domain (a DataFrame is an immutable
+        plan, so marts reused by other marts are analysed only once)."""
+        cache = self.__dict__.setdefault("_plan_cache", {})
+        if key not in cache:
+            cache[key] = build()
+        return cache[key]
+
     # -- orders --------------------------------------------------------------
     @cached_property
     def orders(self) -> DataFrame:
