@@ -30,3 +30,10 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert "order_id" in df.columns
+
+
+def test_oracle_column_types_match(spark):
+    """Column names and types of every query equal its oracle's (schema part of the driver check)."""
+    from tools.oracle_check import type_differences
+
+    assert type_differences(spark, "/root/testdata/sf0.001") == {}
