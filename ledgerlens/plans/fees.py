@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import div_fine
+from ..functions.money import dec, div_fine
 from ..functions.rates import (BOLETO_FEE, BOLETO_METHOD, CARD_FIXED_FEE, EXTERNAL_SALE_KIND,
                                ICMS_PROVISION_PCT, ISSUES, PHONE_PRICE_RATIO, PIS_COFINS_PCT, RFQ_FEE_RATE,
                                RFQ_THEFT_FEE_RATE, THEFT_ISSUE, card_fee_pct, is_rfq)
 from ..functions.timeops import local_month, to_local
-from ..functions.money import dec
 from ..operators.pivot import code_cases
 from ..operators.spine import Spine, bucket_point
 from ..sources.fixtures import Domain

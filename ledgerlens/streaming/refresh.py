@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timeops import local_month
@@ -38,4 +37,4 @@ def refresh_on_new_files(spark: SparkSession, source_dir: str, schema: T.StructT
     return writer.start()
 
 
-__all__ = ["refresh_on_new_files", "F"]
+__all__ = ["refresh_on_new_files"]

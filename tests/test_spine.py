@@ -8,7 +8,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators.spine import Spine, bucket_point, explode_overlap
