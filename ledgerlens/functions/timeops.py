@@ -24,7 +24,7 @@ def col_(c) -> Column:
 _UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00", "Etc/GMT", "UCT"}
 
 
-_UTC_CHECKED: dict[int, bool] = {}
+_UTC_CHECKED: dict[int, tuple[SparkSession, bool]] = {}
 
 
 def _session_is_utc() -> bool:
@@ -32,10 +32,10 @@ def _session_is_utc() -> bool:
     spark = SparkSession.getActiveSession()
     if spark is None:
         return False
-    key = id(spark)
-    if key not in _UTC_CHECKED:
-        _UTC_CHECKED[key] = spark.conf.get("spark.sql.session.timeZone") in _UTC_NAMES
-    return _UTC_CHECKED[key]
+    hit = _UTC_CHECKED.get(id(spark))
+    if hit is None or hit[0] is not spark:
+        hit = _UTC_CHECKED[id(spark)] = (spark, spark.conf.get("spark.sql.session.timeZone") in _UTC_NAMES)
+    return hit[1]
 
 
 def to_local(ts) -> Column:

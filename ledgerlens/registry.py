@@ -33,9 +33,12 @@ def domain_for(spark: SparkSession, sf_dir: str) -> Domain:
     """One Domain (lazy DataFrame definitions, no data) per session and folder,
     shared by every query so the adapters are defined and analysed once."""
     key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _DOMAINS:
-        _DOMAINS[key] = Domain(spark, sf_dir)
-    return _DOMAINS[key]
+    dom = _DOMAINS.get(key)
+    # the cached domain holds its session, so the id cannot be recycled while
+    # cached; still drop it if that session's context has been stopped
+    if dom is None or dom.spark is not spark or spark.sparkContext._jsc is None:
+        dom = _DOMAINS[key] = Domain(spark, sf_dir)
+    return dom
 
 
 def register(name: str, sql: str | None = None):
