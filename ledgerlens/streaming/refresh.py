@@ -1,35 +1,51 @@
 """Re-compute the months touched by newly arrived fact files.
 
-``readStream`` over a folder of payment files is the change feed; each
-micro-batch finds the local months it touches (a tiny distinct), then
-re-runs the mart on the full tables restricted to those months and
-overwrites exactly those month partitions (dynamic partition overwrite).
-Progress lives in the streaming checkpoint inside the cluster's shared
-checkpoint folder, so a lost driver resumes where it stopped.
+``readStream`` over a folder of fact files is the change feed.  Each
+micro-batch finds the local months it touches (one tiny aggregate), builds
+the mart over a spine restricted to that window — so every bucketing step
+drops rows outside it before the joins and aggregates — keeps the touched
+months (a semi-join on a handful of month rows) and overwrites exactly those
+month partitions (dynamic partition overwrite).  Progress lives in the
+streaming checkpoint inside the cluster's shared checkpoint folder, so a
+restarted driver resumes where it stopped.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timeops import local_month
+from ..operators.spine import Spine
 from ..session import ensure_checkpoint_dir
 from ..sources.sinks import write_mart
 
 
+def touched_window(batch: DataFrame, ts_col: str) -> tuple[DataFrame, Spine | None]:
+    """Distinct touched months and the monthly spine spanning them."""
+    touched = batch.select(local_month(ts_col).alias("m")).filter(F.col("m").isNotNull()).distinct()
+    lo, hi = touched.agg(F.min("m"), F.max("m")).first()
+    if lo is None:
+        return touched, None
+    return touched, Spine(lo, dt.datetime.combine(hi, dt.time()), "month", 1)
+
+
 def refresh_on_new_files(spark: SparkSession, source_dir: str, schema: T.StructType,
-                         build_mart: Callable[[], DataFrame], mart_path: str, ts_col: str = "created_at",
+                         build_mart: Callable[[Spine], DataFrame], mart_path: str, ts_col: str = "created_at",
                          name: str = "mart-refresh", trigger_once: bool = True):
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-streams/{name}"
     stream = spark.readStream.schema(schema).parquet(source_dir)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(local_month(ts_col).alias("m")).distinct()
-        mart = build_mart()
-        affected = mart.join(touched, mart["start_interval"] == touched["m"], "left_semi")
+        touched, spine = touched_window(batch, ts_col)
+        if spine is None:
+            return
+        mart = build_mart(spine)
+        affected = mart.join(F.broadcast(touched), mart["start_interval"] == touched["m"], "left_semi")
         write_mart(affected, mart_path)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt)
@@ -37,4 +53,4 @@ def refresh_on_new_files(spark: SparkSession, source_dir: str, schema: T.StructT
     return writer.start()
 
 
-__all__ = ["refresh_on_new_files"]
+__all__ = ["refresh_on_new_files", "touched_window"]

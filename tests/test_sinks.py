@@ -42,7 +42,7 @@ def test_streaming_refresh(spark):
     rows = [sr_row(1, 1, 1, arrived="2000-02-10 12:00:00"), sr_row(2, 2, 2, arrived="2000-03-10 12:00:00")]
     base = spark.createDataFrame(rows, SR)
     base.filter("id = 2").write.mode("append").parquet(src)
-    q = refresh_on_new_files(spark, src, base.schema, lambda: service.mart_sr_monthly_count(_dom(spark, rows), SPINE),
+    q = refresh_on_new_files(spark, src, base.schema, lambda sp: service.mart_sr_monthly_count(_dom(spark, rows), sp),
                              out, ts_col="arrived_at", name=f"t-{dt.datetime.now().timestamp()}")
     q.awaitTermination(120)
     got = sorted((r.start_interval, r.order_id) for r in read_mart(spark, out).collect())
