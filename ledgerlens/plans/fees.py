@@ -9,6 +9,7 @@ from ..functions.money import dec, div_fine
 from ..functions.rates import (BOLETO_FEE, BOLETO_METHOD, CARD_FIXED_FEE, EXTERNAL_SALE_KIND,
                                ICMS_PROVISION_PCT, ISSUES, PHONE_PRICE_RATIO, PIS_COFINS_PCT, RFQ_FEE_RATE,
                                RFQ_THEFT_FEE_RATE, THEFT_ISSUE, card_fee_pct, is_rfq)
+from ..functions.text import like_pushable
 from ..functions.timeops import local_month, to_local
 from ..operators.pivot import code_cases
 from ..operators.spine import Spine, bucket_point
@@ -99,7 +100,7 @@ def mart_fee_txn_cost(dom: Domain) -> DataFrame:
 
 def _mart_fee_txn_cost(dom: Domain) -> DataFrame:
     """Transaction cost of repair-fee payments per (order, local month)."""
-    pay = dom.payments.filter(F.col("reason").like("%repair_fee%"))
+    pay = dom.payments.filter(like_pushable(F.col("reason"), "%repair_fee%"))
     tr = dom.trackings.select(F.col("psp_reference").alias("tr_ref"), "payment_method")
     sr = dom.service_requests.select(F.col("payment_reference").alias("sr_ref"), "issue_id")
     j = (pay.join(tr, pay["psp_reference"] == tr["tr_ref"], "left")

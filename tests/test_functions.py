@@ -114,3 +114,12 @@ def test_point_in_zone(spark):
     df = spark.createDataFrame([(1.0, 0.5), (2.0, 2.0), (3.5, 3.0), (5.0, 1.0), (0.5, 3.0)], "x double, y double")
     got = [r.i for r in df.select(inside(F.col("x"), F.col("y"), F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ring])).alias("i")).collect()]
     assert got == [True, False, True, False, True]
+
+
+def test_like_pushable_keeps_wildcard_semantics(spark):
+    """`_` is a one-character wildcard: 'repairXfee' matches '%repair_fee%'."""
+    from ledgerlens.functions.text import like_pushable
+
+    df = spark.createDataFrame([("repair_fee",), ("overdue_repair_fee",), ("repairXfee",), ("repair",), (None,)], "r string")
+    got = sorted(r.r for r in df.filter(like_pushable(F.col("r"), "%repair_fee%")).collect())
+    assert got == ["overdue_repair_fee", "repairXfee", "repair_fee"]
