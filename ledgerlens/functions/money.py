@@ -35,3 +35,15 @@ def as_double(c: Column) -> Column:
 def avg_exact(c: Column) -> Column:
     """avg() of a decimal column as DOUBLE(sum) / count."""
     return F.sum(c).cast("double") / F.count(c)
+
+
+def ratio_fine(c: Column, num: int, den: int = 1, scale: int = 10) -> Column:
+    """``c * den / num`` truncated toward zero at ``scale`` decimals, DECIMAL(28, scale).
+
+    Pure integer arithmetic (``div``), so every engine gives the same digits;
+    no double rounding is involved.  ``c`` must have at most ``scale``
+    decimals and ``|c| * 10**scale * den`` must fit a long.
+    """
+    unscaled = (c * F.lit(10 ** scale)).cast("long") * F.lit(den)
+    q = F.call_function("div", unscaled, F.lit(num).cast("long"))
+    return (q.cast("decimal(26,0)") * F.lit("1e-%d" % scale).cast(f"decimal({scale + 1},{scale})")).cast(f"decimal(28,{scale})")

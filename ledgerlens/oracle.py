@@ -229,7 +229,8 @@ fee_by_period AS (
   WHERE p.reason = 'repair_fee'
   GROUP BY start_interval, end_interval, p.order_id, p.value, p.id
   HAVING {loc('min(sr.swapped_at)')} < end_interval AND {loc('min(sr.swapped_at)')} >= start_interval),
-phone_price AS (SELECT order_id, {_div_fine('total_price', 0.33)} AS price FROM d_store_orders)
+phone_price AS (SELECT order_id, CAST(CAST((CAST(total_price * 10000000000 AS BIGINT) * 100) // 33 AS DECIMAL(26,0))
+  * CAST(0.0000000001 AS DECIMAL(11,10)) AS DECIMAL(28,10)) AS price FROM d_store_orders)
 SELECT CAST(start_interval AS DATE) AS start_interval, CAST(end_interval AS DATE) AS end_interval, f.order_id,
   {body}
 FROM fee_by_period f

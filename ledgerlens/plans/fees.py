@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import dec, div_fine
+from ..functions.money import dec, div_fine, ratio_fine
 from ..functions.rates import (BOLETO_FEE, BOLETO_METHOD, CARD_FIXED_FEE, EXTERNAL_SALE_KIND,
-                               ICMS_PROVISION_PCT, ISSUES, PHONE_PRICE_RATIO, PIS_COFINS_PCT, RFQ_FEE_RATE,
+                               ICMS_PROVISION_PCT, ISSUES, PHONE_PRICE_DEN, PHONE_PRICE_NUM, PIS_COFINS_PCT, RFQ_FEE_RATE,
                                RFQ_THEFT_FEE_RATE, THEFT_ISSUE, card_fee_pct, is_rfq)
 from ..functions.text import like_pushable
 from ..functions.timeops import local_month, to_local
@@ -54,8 +54,9 @@ def _mart_fee_revenue(dom: Domain, spine: Spine) -> DataFrame:
     p = repair_fee_payments_by_period(dom, spine)
     sr = dom.service_requests.select(F.col("payment_reference").alias("sr_ref"), "issue_id")
     orders = dom.orders.select(F.col("id").alias("o_id"), "plan_id")
+    # price = total_price / 0.33 = total_price * 100 / 33, exact to ten decimals
     phone = dom.store_orders.select(F.col("order_id").alias("ph_order_id"),
-                                    div_fine(F.col("total_price"), PHONE_PRICE_RATIO).alias("price"))
+                                    ratio_fine(F.col("total_price"), PHONE_PRICE_NUM, PHONE_PRICE_DEN).alias("price"))
     j = (p.join(sr, p["psp_reference"] == sr["sr_ref"], "left")
          .join(orders, p["order_id"] == orders["o_id"], "left")
          .join(phone, (F.col("order_id") == phone["ph_order_id"]) & F.col("o_id").isNotNull(), "left"))
