@@ -2,8 +2,9 @@
 
 Amounts are DECIMAL(18,2); sums of decimals are exact and independent of
 summation order, so partial/final aggregation across any number of tasks
-gives one answer.  Row-level divisions go through DOUBLE once and are
-pinned to DECIMAL(28,10) before they are summed.  Averages are
+gives one answer.  Row-level divisions (:func:`ratio_fine`) use integer
+division truncated at ten decimals, so no engine-specific double rounding
+enters the digits.  Averages are
 ``sum / count`` computed in DOUBLE from the exact decimal sum.
 """
 

@@ -112,8 +112,10 @@ def _shares_sql() -> str:
          ELSE {tier(2)} END AS insurer_share"""
 
 
-def _div_fine(x: str, d) -> str:
-    return f"CAST(CAST({x} AS DOUBLE) / {float(d)} AS DECIMAL(28,10))"
+def _div_fine(x: str, d: int) -> str:
+    """x / d truncated toward zero at ten decimals, with integer arithmetic."""
+    return (f"CAST(CAST(CAST(({x}) * 10000000000 AS BIGINT) // {int(d)} AS DECIMAL(26,0)) "
+            f"* CAST(0.0000000001 AS DECIMAL(11,10)) AS DECIMAL(28,10))")
 
 
 def revenue(spine: Spine, kind: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import dec, div_fine, ratio_fine
+from ..functions.money import dec, ratio_fine
 from ..functions.rates import (BOLETO_FEE, BOLETO_METHOD, CARD_FIXED_FEE, EXTERNAL_SALE_KIND,
                                ICMS_PROVISION_PCT, ISSUES, PHONE_PRICE_DEN, PHONE_PRICE_NUM, PIS_COFINS_PCT, RFQ_FEE_RATE,
                                RFQ_THEFT_FEE_RATE, THEFT_ISSUE, card_fee_pct, is_rfq)
@@ -134,7 +134,7 @@ def _mart_plan_txn_cost(dom: Domain) -> DataFrame:
          .join(pk, F.col("partner_kind_id") == pk["pk_id"], "left"))
     boleto = (F.col("payment_method") == BOLETO_METHOD) | F.col("psp_reference").like("%boleto%")
     card = card_cost(F.col("value"), F.col("installments"))
-    card = F.when(F.col("reason") == "subscription", div_fine(card, 12)).otherwise(card)
+    card = F.when(F.col("reason") == "subscription", ratio_fine(card, 12)).otherwise(card)
     cost = (F.when(F.col("kind") == EXTERNAL_SALE_KIND, dec("0", 3, 2))
             .when(boleto, dec(BOLETO_FEE, 3, 2))
             .otherwise(dec(CARD_FIXED_FEE, 3, 2) + card))

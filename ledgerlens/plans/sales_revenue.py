@@ -24,7 +24,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import div_fine
+from ..functions.money import ratio_fine
 from ..functions.rates import IOF, ISS_PCT, PIS_COFINS_PCT, PLANS_ANNUAL, PLANS_RFQ, shares
 from ..functions.timeops import to_local, withdrawal_flag
 from ..operators.spine import Spine, bucket_point
@@ -69,10 +69,10 @@ def enriched_payments(dom: Domain, reasons: tuple[str, ...]) -> DataFrame:
 def value_rule(kind: str) -> Column:
     total, preco = F.col("total_price"), F.col("preco")
     if kind == SALES:
-        return (F.when(F.col("plan_id").isin(*PLANS_ANNUAL), div_fine(total, 12))
+        return (F.when(F.col("plan_id").isin(*PLANS_ANNUAL), ratio_fine(total, 12))
                 .when(F.col("direct_channel"), preco)
                 .otherwise(total))
-    return (F.when(F.col("reason") == "subscription", F.coalesce(div_fine(total, 12), preco))
+    return (F.when(F.col("reason") == "subscription", F.coalesce(ratio_fine(total, 12), preco))
             .otherwise(F.col("pay_value")))
 
 
