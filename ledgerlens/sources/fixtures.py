@@ -3,9 +3,10 @@
 The marts consume the business schema (orders, payments, store_orders,
 service_requests, ...).  The test data ships TPC-H-like tables instead, so
 each domain table is a deterministic projection of one of them.  Every
-derivation is a narrow DataFrame expression (no joins, no shuffles except
-the two tiny DISTINCTs for brands and plans), so it adds nothing but scan
-cost at any scale.  ``fixtures_sql.DOMAIN_CTES`` is the same derivation in
+derivation is a narrow DataFrame expression — no joins; the only shuffles
+are the two small DISTINCTs for brands and plans, and the re-spreading of an
+unsplittable fact file (see :func:`spread_scan`) — so it adds little beyond
+scan cost at any scale.  ``fixtures_sql.DOMAIN_CTES`` is the same derivation in
 DuckDB SQL for the oracle side.
 
 In production a :class:`Domain` is built from the real tables instead
@@ -14,6 +15,7 @@ In production a :class:`Domain` is built from the real tables instead
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,8 +49,8 @@ FACT_TABLES = {
     "customer": ("c_custkey",),
     "part": ("p_partkey",),
 }
-import os as _os
-SPREAD_MODE = _os.environ.get("LEDGERLENS_SPREAD", "hash")
+# "hash" (default), "roundrobin" or "none"; an experiment knob, not a tuning need.
+SPREAD_MODE = os.environ.get("LEDGERLENS_SPREAD", "hash")
 
 
 def spread_scan(df: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
