@@ -156,6 +156,23 @@ def bucket_point(df: DataFrame, ts: Column | str, spine: Spine, keep_index: bool
     return out
 
 
+def spread_before_expansion(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread rows over the session's shuffle partitions before an explode.
+
+    AQE sizes post-shuffle partitions by their *input* bytes; an expansion of
+    up to ``spine.periods`` rows per input row is invisible to it, so a small
+    per-order input could be coalesced into a couple of tasks that then
+    generate most of the output.  An explicit ``repartition(n, key)`` is not
+    coalesced.  ``key`` must be (near) unique so the spread is skew-free.  The
+    partitioning expression is a hash of the key rather than the key itself:
+    when the input is already hash-partitioned on the key (after a join),
+    the planner would otherwise drop the repartition as redundant and AQE
+    would coalesce the join's shuffle instead.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(F.col(key)))
+
+
 def explode_overlap(df: DataFrame, lo: Column | str, hi: Column | str, spine: Spine) -> DataFrame:
     """One row per period that the span ``[lo, hi]`` overlaps.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeops import ntz
-from ..operators.spine import Spine, bucket_point
+from ..operators.spine import Spine, bucket_point, spread_before_expansion
 from ..sources.fixtures import Domain
 from .common import pct
 
@@ -81,7 +81,7 @@ def _order_tree(dom: Domain, spine: Spine) -> DataFrame:
 
 def bi_order_months(dom: Domain, spine: Spine) -> DataFrame:
     """The workbook's data source: every (period, confirmed order) with fee revenue."""
-    tree = _order_tree(dom, spine)
+    tree = spread_before_expansion(_order_tree(dom, spine), "order_id")
     pairs = tree.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spine.last_index).cast("long"))))
     fee = _fee_in_periods(dom, spine).select(F.col("order_id").alias("f_order_id"), F.col("_k").alias("f_k"),
                                              "fee_rev", "fee_rev_taxes", "net_fee_rev")

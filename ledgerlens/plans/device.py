@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeops import ntz, to_local
-from ..operators.spine import Spine, explode_overlap
+from ..operators.spine import Spine, explode_overlap, spread_before_expansion
 from ..sources.fixtures import Domain
 from .common import period_dates
 
@@ -87,7 +87,7 @@ def mart_active_device_product(dom: Domain, spine: Spine) -> DataFrame:
     span = order_activity_span(dom, spine.as_of)
     swaps = order_swaps(dom)
     per_order = span.join(swaps, span["o_id"] == swaps["sw_order_id"], "left")
-    months = explode_overlap(per_order, "span_start", "span_end", spine)
+    months = explode_overlap(spread_before_expansion(per_order, "o_id"), "span_start", "span_end", spine)
 
     start, end, first = F.col("start_interval"), F.col("end_interval"), F.col("first_swap")
     use_max = ~((first < end) & (first >= start)) & (first < end)
