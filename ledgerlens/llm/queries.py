@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, warc
+from . import mixing, packing, quality, warc, winnowing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,17 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return winnowing.fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
+
+
+def op10_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict on every document."""
+    return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_warc_revisits, op5_best_fit_packing, op7_source_mix)}
+    f.__name__: f for f in (op1_warc_revisits, op5_best_fit_packing, op6_winnowing, op7_source_mix,
+                            op10_risk_controlled_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL}
