@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, warc, winnowing
+from . import bagminhash, mixing, packing, quality, warc, winnowing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ FROM w
 """
 
 
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return bagminhash.classes(read_table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return packing.pack(read_table(spark, sf_dir, "documents"), digest=True)
@@ -53,6 +58,6 @@ def op10_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_warc_revisits, op5_best_fit_packing, op6_winnowing, op7_source_mix,
+    f.__name__: f for f in (op1_warc_revisits, op4_bagminhash, op5_best_fit_packing, op6_winnowing, op7_source_mix,
                             op10_risk_controlled_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL}
