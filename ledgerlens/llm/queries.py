@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, mixing, packing, quality, warc, winnowing
+from . import bagminhash, langid, license, mixing, packing, quality, viterbi, warc, winnowing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ FROM w
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wordings of all documents."""
+    return license.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return bagminhash.classes(read_table(spark, sf_dir, "documents")).drop("digest")
@@ -52,12 +57,22 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every document."""
+    return viterbi.token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op10_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict on every document."""
     return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_warc_revisits, op4_bagminhash, op5_best_fit_packing, op6_winnowing, op7_source_mix,
+    f.__name__: f for f in (op1_warc_revisits, op3_license_scan, op4_bagminhash, op5_best_fit_packing, op6_winnowing, op7_source_mix, op8_language_id, op9_token_counts,
                             op10_risk_controlled_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL}
