@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, langid, license, mixing, packing, quality, viterbi, warc, winnowing
+from . import bagminhash, langid, license, mixing, packing, quality, substring, viterbi, warc, winnowing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ FROM w
 """
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that an earlier document has too."""
+    return substring.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License wordings of all documents."""
     return license.scan_licenses(read_table(spark, sf_dir, "documents"))
@@ -73,6 +78,6 @@ def op10_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_warc_revisits, op3_license_scan, op4_bagminhash, op5_best_fit_packing, op6_winnowing, op7_source_mix, op8_language_id, op9_token_counts,
+    f.__name__: f for f in (op1_warc_revisits, op2_repeated_passages, op3_license_scan, op4_bagminhash, op5_best_fit_packing, op6_winnowing, op7_source_mix, op8_language_id, op9_token_counts,
                             op10_risk_controlled_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL}
