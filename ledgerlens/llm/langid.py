@@ -137,7 +137,7 @@ def fit(training: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE_
 
 def _vote(margins: dict[tuple[int, int], np.ndarray], n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Winner among ``n`` classes by one-versus-one votes (ties by summed margins), and its lowest chance."""
-    if n == 1:
+    if n == 1 or not rows:
         return np.zeros(rows, np.int64), np.ones(rows)
     votes, sums, low = np.zeros((rows, n)), np.zeros((rows, n)), np.ones((rows, n))
     for (i, j), m in margins.items():

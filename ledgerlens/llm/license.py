@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-A block that a license template helps to compress is likely to be worded like it.  Candidate blocks (lines, sentences
-and stretches of lines around license words) are compressed with zstandard, alone and with each template as raw
-dictionary; templates are ranked by how much they reduce the size.  The best ones are then confirmed by comparing
-their words with the block's: a winner must have its words in order in the block with few differences.
+A block that a license template helps to compress is likely to be worded like it.  Candidate blocks (sentences, lines
+and stretches of lines around license words; their words in lower case) are compressed with zstandard, alone and with
+each template as raw dictionary; templates are ranked by how much they reduce the size.  The best ones are then
+confirmed by comparing their words with the block's: a winner must have its words in order in the block with few
+differences.
 """
 
 from __future__ import annotations
@@ -74,8 +75,8 @@ class Scanner:
         self.templates = [(name, text, words(text)) for name, text in templates]
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.given = []
-        for _, text in templates:
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for _, _, w in self.templates:
+            raw = zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False))
         self.hint = regex.compile(HINT)
         self.longest = max(len(w) for _, _, w in self.templates)
@@ -85,7 +86,7 @@ class Scanner:
         """(reduction, template), the largest reduction first, by compressed size with each template against none."""
         got = self.known.get(block)
         if got is None:
-            data = block.encode("utf-8", "replace")
+            data = " ".join(words(block)).encode("utf-8", "replace")
             alone = len(self.plain.compress(data))
             got = sorted(((1 - len(c.compress(data)) / alone, -i) for i, c in enumerate(self.given)), reverse=True)
             got = [(r, -i) for r, i in got if r >= MIN_REDUCTION]
@@ -96,18 +97,20 @@ class Scanner:
         return got
 
     def blocks(self, text: str):
-        """Candidate blocks (first and last character) of a text: sentences of lines with a hint, and up to a template's length of
-        text around them, so that wordings over several sentences or lines stand whole."""
-        spans, at = [], 0
+        """Candidate blocks (first and last character) of a text: sentences with a hint, the lines around them up to a template's
+        length on both sides, and runs of such sentences, so that wordings over several sentences or lines stand whole."""
+        spans, lines, at, reach = [], [], 0, 8 * self.longest
         for line in text.split("\n"):
-            if self.hint.search(line):
+            if hints := [m.start() for m in self.hint.finditer(line)]:
+                lines.append((at + max(0, hints[0] - reach), at + min(len(line), hints[-1] + reach)))
                 cut = [m.end() for m in _SENTENCE.finditer(line)]
                 for a, b in zip([0, *cut], [*cut, len(line)], strict=True):
                     if self.hint.search(line, a, b):
                         spans.append((at + a, at + b))
             at += len(line) + 1
         yield from spans
-        for a, b in self._merged(spans):
+        yield from lines
+        for a, b in self._merged(lines):
             yield a, b
 
     def _merged(self, spans):
@@ -122,15 +125,17 @@ class Scanner:
         if len(run) > 1:
             yield run[0][0], run[-1][1]
 
-    def confirm(self, block: str, template: int) -> tuple[float, int, int]:
-        """(share of the template's words found in order, words missing, words too many inside the matched stretch)."""
-        want, have = self.templates[template][2], words(block)
+    def confirm(self, block: str, template: int) -> tuple[float, int, int, int, int]:
+        """(share of the template's words found in order, words missing, words too many inside the matched stretch, and the
+        stretch's first and last character)."""
+        want, spans = self.templates[template][2], [(m.group().lower(), *m.span()) for m in _WORDS.finditer(block)]
+        have = [w for w, _, _ in spans]
         match = [m for m in difflib.SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
         if not match:
-            return 0.0, len(want), 0
+            return 0.0, len(want), 0, 0, 0
         found = sum(m.size for m in match)
-        stretch = match[-1].a + match[-1].size - match[0].a
-        return found / len(want), len(want) - found, stretch - found
+        first, last = match[0].a, match[-1].a + match[-1].size - 1
+        return found / len(want), len(want) - found, last + 1 - first - found, spans[first][1], spans[last][2]
 
     def scan(self, text: str) -> list[tuple]:
         """(start, end, license, template, reduction, missing, extra) of confirmed blocks, best template each, without overlaps."""
@@ -138,11 +143,11 @@ class Scanner:
         for a, b in dict.fromkeys(self.blocks(text)):
             block, best = text[a:b], None
             for reduction, i in self.ranked(block):
-                share, missing, extra = self.confirm(block, i)
+                share, missing, extra, first, last = self.confirm(block, i)
                 if share >= MIN_SHARE and extra <= MAX_EXTRA * len(self.templates[i][2]):
                     key = (-(missing + extra) / len(self.templates[i][2]), len(self.templates[i][2]), reduction)
                     if best is None or key > best[0]:
-                        best = (key, (a, b, self.templates[i][0], i, reduction, missing, extra))
+                        best = (key, (a + first, a + last, self.templates[i][0], i, reduction, missing, extra))
             if best:
                 found.append(best)
         found.sort(key=lambda x: (-len(self.templates[x[1][3]][2]), x[1][0]))

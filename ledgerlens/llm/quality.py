@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, materialise, unique_name
@@ -119,13 +119,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("worst")).where("worst = 1").select("doc_id")
     held = measured.join(good, "doc_id", "left_semi")
     sums = [F.sum((_ratio(r) > c).cast("long")).alias(f"{r}_{i}") for r, (_, cs) in RULES.items() for i, c in enumerate(cs)]
-    counted = held.groupBy("stratum").agg(F.count("*").alias("n_good"), *sums)
-    strata = counted.agg(F.count("*").alias("n_strata"))
-    counted = counted.join(F.broadcast(strata))  # one row
-    rate, chosen = risk / len(RULES), []
+    counted = materialise(held.groupBy("stratum").agg(F.count("*").alias("n_good"), *sums), "strata")
+    rate, level, chosen = risk / len(RULES), math.log(error / (len(RULES) * max(1, counted.count()))), []
     for r, (_, cs) in RULES.items():
         tried = F.array(*(F.struct(F.lit(c).alias("cut"), F.col(f"{r}_{i}").alias("k")) for i, c in enumerate(cs)))
-        level = F.log(F.lit(error) / (len(RULES) * F.col("n_strata")))
         # a count at or above the tested rate can't pass, and bounds the sum
         sure = F.filter(tried, lambda t: (t["k"] < rate * F.col("n_good"))
                         & (binomial_log_cdf(t["k"], F.col("n_good"), rate) <= level))
