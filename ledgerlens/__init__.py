@@ -6,7 +6,6 @@ Layout:
   operators/  reusable relational operators (spines, period bucketing,
               overlap expansion, valid-time joins, code pivots)
   plans/      the marts, extracts, dimensions and BI datasets
-  streaming/  incremental refresh of month-partitioned marts
 """
 
 __all__ = ["session"]

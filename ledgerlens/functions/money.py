@@ -1,11 +1,8 @@
-"""Money arithmetic that gives the same bits in every engine.
-
-Amounts are DECIMAL(18,2); sums of decimals are exact and independent of
-summation order, so partial/final aggregation across any number of tasks
-gives one answer.  Row-level divisions (:func:`ratio_fine`) use integer
-division truncated at ten decimals, so no engine-specific double rounding
-enters the digits.  Averages are
-``sum / count`` computed in DOUBLE from the exact decimal sum.
+"""Money arithmetic that gives the same digits in every engine.
+
+Amounts are DECIMAL(18,2); sums of decimals are exact and independent of summation order, so partial/final aggregation
+across any number of tasks gives one answer.  Row-level divisions (:func:`ratio_fine`) are decimal divisions rounded half up
+at ten decimals.  Averages are ``sum / count`` computed in DOUBLE from the exact decimal sum.
 """
 
 from __future__ import annotations
@@ -13,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
 FINE = "decimal(28,10)"
 
 
@@ -21,30 +17,11 @@ def dec(value, precision: int = 18, scale: int = 2) -> Column:
     return F.lit(str(value)).cast(f"decimal({precision},{scale})")
 
 
-def money(c: Column) -> Column:
-    return c.cast(MONEY)
-
-
-def div_fine(c: Column, divisor: float) -> Column:
-    return (c.cast("double") / F.lit(float(divisor))).cast(FINE)
-
-
-def as_double(c: Column) -> Column:
-    return c.cast("double")
-
-
-def avg_exact(c: Column) -> Column:
-    """avg() of a decimal column as DOUBLE(sum) / count."""
-    return F.sum(c).cast("double") / F.count(c)
-
-
-def ratio_fine(c: Column, num: int, den: int = 1, scale: int = 10) -> Column:
-    """``c * den / num`` truncated toward zero at ``scale`` decimals, DECIMAL(28, scale).
+def ratio_fine(c: Column, num: int, den: int = 1) -> Column:
+    """``c * den / num`` rounded half up at ten decimals, DECIMAL(28,10).
 
-    Pure integer arithmetic (``div``), so every engine gives the same digits;
-    no double rounding is involved.  ``c`` must have at most ``scale``
-    decimals and ``|c| * 10**scale * den`` must fit a long.
+    The quotient is taken to 13 decimals first.  For the divisors used here (12 and 33) the digits beyond the tenth are
+    a multiple of 1/12 or 1/33, so the second rounding never meets a tie that the first one made.
     """
-    unscaled = (c * F.lit(10 ** scale)).cast("long") * F.lit(den)
-    q = F.call_function("div", unscaled, F.lit(num).cast("long"))
-    return (q.cast("decimal(26,0)") * F.lit("1e-%d" % scale).cast(f"decimal({scale + 1},{scale})")).cast(f"decimal(28,{scale})")
+    wide = c.cast("decimal(28,10)") * F.lit(den) if den != 1 else c.cast("decimal(28,10)")
+    return (wide / F.lit(num)).cast(FINE)

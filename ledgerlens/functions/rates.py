@@ -39,8 +39,7 @@ IN_HOUSE_REPAIR_SHOP = 28
 DEFAULT_LOGISTIC_COST = 35
 RFQ_FEE_RATE = "0.55"
 RFQ_THEFT_FEE_RATE = "0.70"
-PHONE_PRICE_RATIO = "0.33"              # store total_price is 33 % of the phone price
-PHONE_PRICE_NUM, PHONE_PRICE_DEN = 33, 100  # the same ratio as integers
+PHONE_PRICE_NUM, PHONE_PRICE_DEN = 33, 100  # store total_price is 33 % of the phone price
 
 
 def one_minus_iof() -> Column:

@@ -24,18 +24,10 @@ def col_(c) -> Column:
 _UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00", "Etc/GMT", "UCT"}
 
 
-_UTC_CHECKED: dict[int, tuple[SparkSession, bool]] = {}
-
-
 def _session_is_utc() -> bool:
-    """Whether the active session's zone is UTC (looked up once per session)."""
+    """Whether the active session's zone is UTC just now."""
     spark = SparkSession.getActiveSession()
-    if spark is None:
-        return False
-    hit = _UTC_CHECKED.get(id(spark))
-    if hit is None or hit[0] is not spark:
-        hit = _UTC_CHECKED[id(spark)] = (spark, spark.conf.get("spark.sql.session.timeZone") in _UTC_NAMES)
-    return hit[1]
+    return spark is not None and spark.conf.get("spark.sql.session.timeZone") in _UTC_NAMES
 
 
 def to_local(ts) -> Column:

@@ -90,6 +90,13 @@ class Spine:
     def periods(self) -> int:
         return self.last_index + 1
 
+    @property
+    def end(self) -> dt.date:
+        """First day after the last period."""
+        if self.monthly:
+            return _add_months(self.start, self.periods * self.step)
+        return self.start + dt.timedelta(days=self.periods * self.step)
+
     # ---- column arithmetic --------------------------------------------------------
     def index_of(self, ts: Column) -> Column:
         """Index of the period whose start is the last one <= ts (may be < 0)."""
@@ -122,9 +129,23 @@ class Spine:
             self.start_of(k).alias("start_interval"), self.end_of(k).alias("end_interval"))
 
 
-def month_spine(as_of, start="2016-01-01") -> Spine:
-    """The reference's spine: every month from ``start`` to as_of's month."""
-    return Spine(_as_date(start), as_of, "month", 1)
+def near_spine(ts: Column | str, spine: Spine) -> Column:
+    """Lossless guard on a raw UTC column: true for all times whose local time may lie in the spine.
+
+    A plain range of literals, so it reaches the parquet scan; put it before joins, :func:`bucket_point` stays exact.
+    """
+    t = F.col(ts) if isinstance(ts, str) else ts
+    return (t >= _moment(spine.start, -1)) & before_spine_end(t, spine)
+
+
+def before_spine_end(ts: Column | str, spine: Spine) -> Column:
+    """The upper half of :func:`near_spine`, for minima that a lower bound would change."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    return t < _moment(spine.end, 2)
+
+
+def _moment(day: dt.date, shift: int) -> Column:
+    return F.lit((day + dt.timedelta(days=shift)).isoformat() + " 00:00:00").cast("timestamp_ntz")
 
 
 def bucket_point(df: DataFrame, ts: Column | str, spine: Spine, keep_index: bool = False) -> DataFrame:
@@ -156,23 +177,6 @@ def bucket_point(df: DataFrame, ts: Column | str, spine: Spine, keep_index: bool
     return out
 
 
-def spread_before_expansion(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread rows over the session's shuffle partitions before an explode.
-
-    AQE sizes post-shuffle partitions by their *input* bytes; an expansion of
-    up to ``spine.periods`` rows per input row is invisible to it, so a small
-    per-order input could be coalesced into a couple of tasks that then
-    generate most of the output.  An explicit ``repartition(n, key)`` is not
-    coalesced.  ``key`` must be (near) unique so the spread is skew-free.  The
-    partitioning expression is a hash of the key rather than the key itself:
-    when the input is already hash-partitioned on the key (after a join),
-    the planner would otherwise drop the repartition as redundant and AQE
-    would coalesce the join's shuffle instead.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, F.xxhash64(F.col(key)))
-
-
 def explode_overlap(df: DataFrame, lo: Column | str, hi: Column | str, spine: Spine) -> DataFrame:
     """One row per period that the span ``[lo, hi]`` overlaps.
 

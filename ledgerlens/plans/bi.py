@@ -15,11 +15,11 @@ order, so only active (order, period) pairs are generated.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeops import ntz
-from ..operators.spine import Spine, bucket_point, spread_before_expansion
+from ..operators.spine import Spine, bucket_point
 from ..sources.fixtures import Domain
 from .common import pct
 
@@ -72,32 +72,45 @@ def _fee_in_periods(dom: Domain, spine: Spine) -> DataFrame:
 def _order_tree(dom: Domain, spine: Spine) -> DataFrame:
     """Confirmed orders with their order and plan columns (one row per order)."""
     sel = bi_selected_orders(dom, spine.as_of)
-    o = dom.orders.select(F.col("id").alias("o_id"), "subscribed_at", "canceled_at", "plan_id")
-    pl = bi_plans(dom).select("id_plans", "plan_name")
-    return (sel.join(o, sel["order_id"] == o["o_id"], "left")
-            .join(pl, F.col("plan_id") == pl["id_plans"], "left")
-            .drop("o_id", "id_plans"))
+    o, pl = bi_orders(dom), bi_plans(dom)
+    return sel.join(o, sel["order_id"] == o["id"], "left").join(pl, F.col("plan_id") == pl["id_plans"], "left")
 
 
-def bi_order_months(dom: Domain, spine: Spine) -> DataFrame:
-    """The workbook's data source: every (period, confirmed order) with fee revenue."""
-    tree = spread_before_expansion(_order_tree(dom, spine), "order_id")
-    pairs = tree.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spine.last_index).cast("long"))))
-    fee = _fee_in_periods(dom, spine).select(F.col("order_id").alias("f_order_id"), F.col("_k").alias("f_k"),
-                                             "fee_rev", "fee_rev_taxes", "net_fee_rev")
-    j = pairs.join(fee, (pairs["order_id"] == fee["f_order_id"]) & (pairs["_k"] == fee["f_k"]), "left")
-    return j.select(spine.start_of(F.col("_k")).alias("start_interval"), spine.end_of(F.col("_k")).alias("end_interval"),
-                    "order_id", "order_subscribed_at", "order_canceled_at", "subscribed_at", "canceled_at",
-                    "plan_id", "plan_name", "fee_rev", "fee_rev_taxes", "net_fee_rev")
+def _with_fees(tree: DataFrame, dom: Domain, spine: Spine) -> DataFrame:
+    """Orders with their dated fee rows in an array: at most one row per order and month, so its size is bounded."""
+    row = F.struct("_k", F.col("order_id").alias("fee_order_id"), "start_month", "fee_rev", "fee_rev_taxes", "net_fee_rev", "min")
+    fee = _fee_in_periods(dom, spine).groupBy(F.col("order_id").alias("f_order")).agg(F.collect_list(row).alias("fees"))
+    return tree.join(fee, tree["order_id"] == fee["f_order"], "left").drop("f_order")
+
+
+def _expanded(orders: DataFrame, spine: Spine, first: int, last: int | None) -> DataFrame:
+    """One row per order and period (and fee row of both, if any): narrow expansions, nothing is shuffled afterwards."""
+    last = spine.last_index if last is None else min(last, spine.last_index)
+    ks = F.sequence(F.lit(max(first, 0)).cast("long"), F.lit(last).cast("long"))
+    rows = orders.withColumn("_k", F.explode(ks if last >= max(first, 0) else F.array().cast("array<long>")))
+    rows = rows.withColumn("_f", F.explode_outer(F.filter("fees", lambda f: f["_k"] == F.col("_k"))))
+    return rows.withColumn("start_interval", spine.start_of(F.col("_k"))).withColumn("end_interval", spine.end_of(F.col("_k")))
+
+
+FEE_COLUMNS = ("fee_order_id", "start_month", "fee_rev", "fee_rev_taxes", "net_fee_rev", "min")
+
+
+def bi_order_months(dom: Domain, spine: Spine, first: int = 0, last: int | None = None) -> DataFrame:
+    """The workbook's data source: all 37 columns of every (period, confirmed order) with fee revenue.
+
+    ``first`` and ``last`` limit the periods (by index), for a caller that reads some months only.
+    """
+    tree = _order_tree(dom, spine)
+    rows = _expanded(_with_fees(tree, dom, spine), spine, first, last)
+    return rows.select("start_interval", "end_interval", *tree.columns, *[F.col(f"_f.{c}").alias(c) for c in FEE_COLUMNS],
+                       ntz(spine.as_of).alias("now"))
 
 
 def bi_fee_rev_in_period(dom: Domain, spine: Spine) -> DataFrame:
-    """Fee rows matched by the theta + equi join (period contains ``min``)."""
-    tree = _order_tree(dom, spine).select("order_id")
-    fee = _fee_in_periods(dom, spine).withColumnRenamed("order_id", "f_order_id")
-    j = tree.join(fee, tree["order_id"] == fee["f_order_id"], "inner")
-    return j.select(spine.start_of(F.col("_k")).alias("start_interval"), spine.end_of(F.col("_k")).alias("end_interval"),
-                    "order_id", "start_month", "fee_rev", "fee_rev_taxes", "net_fee_rev", "min")
+    """The theta + equi left join: every (period, confirmed order), with the fee rows whose ``min`` the period contains."""
+    orders = bi_selected_orders(dom, spine.as_of).select("order_id")
+    rows = _expanded(_with_fees(orders, dom, spine), spine, 0, None)
+    return rows.select("start_interval", "end_interval", "order_id", *[F.col(f"_f.{c}").alias(c) for c in FEE_COLUMNS[1:]])
 
 
 def _active_range(spine: Spine, subscribed: str, canceled: str):
@@ -116,27 +129,29 @@ def _active_range(spine: Spine, subscribed: str, canceled: str):
 def _active_by_period(dom: Domain, spine: Spine, rows: DataFrame) -> DataFrame:
     """SUM(active) per period over the (period, order) tree restricted to ``rows``.
 
-    Each order contributes 1 per period it is active in, times the number
-    of fee rows joined to that (order, period) (at least one).  A period in
-    which no order is active still appears with 0 as long as any order
-    passed the filter.
+    Each order contributes 1 per period it is active in, times the number of fee rows joined to that (order, period) (at
+    least one).  Orders add 1 where their activity begins and take it back behind its end; a running sum over the spine
+    (``periods`` rows) gives the counts, so no order is expanded to months.  Fee rows beyond the first of an order and period
+    are added where it is active.  A period in which no order is active appears with 0 as long as any order passed.
     """
     first, last = _active_range(spine, "subscribed_at", "canceled_at")
-    bounds = F.array(F.struct(first.alias("a"), last.alias("b")))
-    ks = F.flatten(F.transform(bounds, lambda x: F.when(x["a"] <= x["b"], F.sequence(x["a"], x["b"]))
-                               .otherwise(F.array().cast("array<long>"))))
-    active = rows.select("order_id", F.explode(ks).alias("_k"))
-    fee = (_fee_in_periods(dom, spine).groupBy("order_id", "_k").agg(F.count(F.lit(1)).alias("n_fee"))
-           .withColumnRenamed("order_id", "f_order_id").withColumnRenamed("_k", "f_k"))
-    weighted = (active.join(fee, (active["order_id"] == fee["f_order_id"]) & (active["_k"] == fee["f_k"]), "left")
-                .select("_k", F.coalesce("n_fee", F.lit(1)).cast("long").alias("w")))
-    # every period appears (with weight 0) iff at least one order passed
-    all_k = F.sequence(F.lit(0).cast("long"), F.lit(spine.last_index).cast("long"))
-    zeros = (rows.agg(F.count(F.lit(1)).alias("n"))
-             .select(F.explode(F.when(F.col("n") > 0, all_k).otherwise(F.array().cast("array<long>"))).alias("_k"),
-                     F.lit(0).cast("long").alias("w")))
-    per = weighted.unionByName(zeros).groupBy("_k").agg(F.sum("w").alias("active_orders"))
-    return per.select(F.trunc(F.to_date(spine.start_of(F.col("_k"))), "MM").alias("start_month"), "active_orders")
+    spans = rows.select("order_id", first.alias("a"), last.alias("b"))
+    some = F.col("a") <= F.col("b")
+    step = lambda k, w: F.struct(k.cast("long").alias("k"), F.lit(w).cast("long").alias("w"))
+    steps = F.when(some, F.array(step(F.col("a"), 1), step(F.col("b") + 1, -1))).otherwise(F.array(step(F.lit(0), 0)))
+    turns = spans.select(F.explode(steps).alias("s")).groupBy(F.col("s.k").alias("k")).agg(F.sum("s.w").alias("w"))
+    fee = (_fee_in_periods(dom, spine).groupBy(F.col("order_id").alias("f_order"), F.col("_k").alias("f_k"))
+           .agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    extra = (spans.join(fee, spans["order_id"] == fee["f_order"]).filter(F.col("f_k").between(F.col("a"), F.col("b")))
+             .groupBy(F.col("f_k").alias("x_k")).agg(F.sum(F.col("n") - 1).alias("x")))
+    frame = dom.spark.range(spine.periods).withColumnRenamed("id", "_k")
+    so_far = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)  # over ``periods`` rows
+    whole = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per = (frame.join(turns, frame["_k"] == turns["k"], "left").join(extra, frame["_k"] == extra["x_k"], "left")
+           .withColumn("running", F.sum(F.coalesce("w", F.lit(0))).over(so_far))
+           .withColumn("passed", F.count("w").over(whole)).filter("passed > 0"))
+    return per.select(F.trunc(F.to_date(spine.start_of(F.col("_k"))), "MM").alias("start_month"),
+                      (F.col("running") + F.coalesce("x", F.lit(0))).alias("active_orders"))
 
 
 def bi_active_orders_by_month(dom: Domain, spine: Spine) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.money import dec
 
-PERIOD_COLS = ("start_interval", "end_interval")
-
 
 def period_dates() -> list[Column]:
     """``start_interval::date, end_interval::date`` as in the source output."""
@@ -21,20 +19,6 @@ def dsum(c: Column) -> Column:
     return F.sum(c).cast("double")
 
 
-def lsum(c: Column, scale: int) -> Column:
-    """Exact sum of a decimal column with at most ``scale`` decimals, as DOUBLE.
-
-    The amounts are summed as unscaled ``long`` (e.g. cents) instead of in a
-    wide decimal buffer: long addition is exact and order-independent, and
-    ``double(sum) / 10**scale`` is the correctly rounded value of the exact
-    decimal sum — the same bits as ``CAST(sum(decimal) AS DOUBLE)`` — while
-    the unscaled sum stays below 2**53.  A NULL-only group stays NULL.  An
-    overflowing amount raises (ANSI casts) instead of wrapping.
-    """
-    factor = 10 ** scale
-    return F.sum((c * F.lit(factor)).cast("long")).cast("double") / F.lit(float(factor))
-
-
 def count_if(cond: Column) -> Column:
     """``sum(case when cond then 1 else 0 end)`` — 0, never NULL, for a non-empty group."""
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeops import ntz, to_local
-from ..operators.spine import Spine, explode_overlap, spread_before_expansion
+from ..operators.spine import Spine, explode_overlap
 from ..sources.fixtures import Domain
 from .common import period_dates
 
@@ -64,30 +64,23 @@ def swap_products(dom: Domain) -> DataFrame:
 def order_swaps(dom: Domain) -> DataFrame:
     """Per order: first swap time and the smallest / largest swap id with their products.
 
-    ``min`` / ``max`` of a struct led by the swap id pick the whole row of
-    the smallest / largest swap in the same aggregation (partial + final, so
-    an order with very many swaps costs one row per task), instead of
-    joining the swap table back twice.
+    ``min_by`` / ``max_by`` the swap id are hash aggregates (partial + final, so an order with very many swaps costs
+    one row per task), and the swap table isn't joined back.
     """
     sr = dom.service_requests.select(F.col("id").alias("sr_id"), F.col("order_id").alias("sw_order_id"))
     info = swap_products(dom)
     per_swap = info.join(sr, info["service_request_id"] == sr["sr_id"], "inner")
-    row = F.struct("swap_id", "swap_local", "old_product_id", "new_product_id")
-    agg = per_swap.groupBy("sw_order_id").agg(
-        F.min("swap_local").alias("first_swap"), F.min(row).alias("lo"), F.max(row).alias("hi"))
-    return agg.select(
-        "sw_order_id", "first_swap",
-        F.col("lo.swap_local").alias("min_at"), F.col("lo.old_product_id").alias("min_old"),
-        F.col("lo.new_product_id").alias("min_new"),
-        F.col("hi.swap_local").alias("max_at"), F.col("hi.old_product_id").alias("max_old"),
-        F.col("hi.new_product_id").alias("max_new"))
+    parts = (("at", "swap_local"), ("old", "old_product_id"), ("new", "new_product_id"))
+    return per_swap.groupBy("sw_order_id").agg(
+        F.min("swap_local").alias("first_swap"),
+        *[f(c, "swap_id").alias(f"{side}_{n}") for side, f in (("min", F.min_by), ("max", F.max_by)) for n, c in parts])
 
 
 def mart_active_device_product(dom: Domain, spine: Spine) -> DataFrame:
     span = order_activity_span(dom, spine.as_of)
     swaps = order_swaps(dom)
     per_order = span.join(swaps, span["o_id"] == swaps["sw_order_id"], "left")
-    months = explode_overlap(spread_before_expansion(per_order, "o_id"), "span_start", "span_end", spine)
+    months = explode_overlap(per_order, "span_start", "span_end", spine)
 
     start, end, first = F.col("start_interval"), F.col("end_interval"), F.col("first_swap")
     use_max = ~((first < end) & (first >= start)) & (first < end)

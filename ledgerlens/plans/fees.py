@@ -12,7 +12,8 @@ from ..functions.rates import (BOLETO_FEE, BOLETO_METHOD, CARD_FIXED_FEE, EXTERN
 from ..functions.text import like_pushable
 from ..functions.timeops import local_month, to_local
 from ..operators.pivot import code_cases
-from ..operators.spine import Spine, bucket_point
+from ..operators.joins import split_join, spread_nulls
+from ..operators.spine import Spine, before_spine_end, bucket_point, near_spine
 from ..sources.fixtures import Domain
 from .common import dsum, pct, period_dates
 
@@ -31,8 +32,10 @@ def repair_fee_payments_by_period(dom: Domain, spine: Spine) -> DataFrame:
     row per task), then joined to the payments and bucketed in local time.
     Payments without a swapped request belong to no period.
     """
-    first_swap = (dom.service_requests.groupBy("payment_reference")
-                  .agg(F.min("swapped_at").alias("first_swapped_at")))
+    sr = dom.service_requests.filter(F.col("payment_reference").isNotNull() & before_spine_end("swapped_at", spine))
+    first_swap = (sr.groupBy("payment_reference")
+                  .agg(F.min("swapped_at").alias("first_swapped_at"))
+                  .filter(near_spine("first_swapped_at", spine)))
     pay = dom.payments.filter(F.col("reason") == "repair_fee").select("id", "order_id", "value", "psp_reference")
     j = pay.join(first_swap, pay["psp_reference"] == first_swap["payment_reference"], "inner")
     return bucket_point(j.select("id", "order_id", "value", "psp_reference",
@@ -90,46 +93,52 @@ def _mart_fee_revenue(dom: Domain, spine: Spine) -> DataFrame:
     return out.select(*period_dates(), "order_id", *[c for c in out.columns if c.startswith(("fee", "insurer", "q_", "rf_"))])
 
 
+def _months_of(pay: DataFrame, spine: Spine | None) -> DataFrame:
+    """Payments with their local month of creation; with ``spine``, those in the calendar months of its period starts.
+
+    The guard on the raw time comes first, so that it reaches the scan.
+    """
+    if spine is not None:
+        pay = pay.filter(near_spine("created_at", spine))
+    pay = pay.withColumn("creation_month", local_month("created_at"))
+    if spine is not None:
+        last = spine.start_of(F.lit(spine.last_index)).cast("date")
+        pay = pay.filter((F.col("creation_month") >= F.lit(spine.start)) & (F.col("creation_month") <= last))
+    return pay
+
+
 def card_cost(value: Column, installments: Column) -> Column:
     """Card fee of a payment: percent by installment bracket (exact decimal)."""
     return card_fee_pct(installments) * dec("0.01", 3, 2) * value
 
 
-def mart_fee_txn_cost(dom: Domain) -> DataFrame:
-    return dom.memo(("mart_fee_txn_cost",), lambda: _mart_fee_txn_cost(dom))
-
-
-def _mart_fee_txn_cost(dom: Domain) -> DataFrame:
-    """Transaction cost of repair-fee payments per (order, local month)."""
-    pay = dom.payments.filter(like_pushable(F.col("reason"), "%repair_fee%"))
+def mart_fee_txn_cost(dom: Domain, spine: Spine | None = None) -> DataFrame:
+    """Transaction cost of repair-fee payments per (order, local month); with ``spine``, of its months."""
+    pay = _months_of(dom.payments.filter(like_pushable(F.col("reason"), "%repair_fee%")), spine)
     tr = dom.trackings.select(F.col("psp_reference").alias("tr_ref"), "payment_method")
     sr = dom.service_requests.select(F.col("payment_reference").alias("sr_ref"), "issue_id")
-    j = (pay.join(tr, pay["psp_reference"] == tr["tr_ref"], "left")
-         .join(sr, pay["psp_reference"] == sr["sr_ref"], "left"))
+    pay = pay.withColumn("ref", spread_nulls(F.col("psp_reference"), F.col("id")))
+    j = (pay.join(tr, pay["ref"] == tr["tr_ref"], "left")
+         .join(sr, pay["ref"] == sr["sr_ref"], "left"))
     cost = F.when(F.col("payment_method") == BOLETO_METHOD, dec(BOLETO_FEE, 3, 2)).otherwise(
         card_cost(F.col("value"), F.col("installments")) + dec(CARD_FIXED_FEE, 3, 2))
     per_issue = code_cases(F.col("issue_id"), cost, ISSUES)
-    return (j.withColumn("creation_month", local_month("created_at"))
-            .groupBy("order_id", "creation_month")
+    return (j.groupBy("order_id", "creation_month")
             .agg((-dsum(cost)).alias("fee_transaction_cost"),
                  *[(-dsum(c)).alias(f"fee_transaction_cost_{n}") for n, c in per_issue.items()]))
 
 
-def mart_plan_txn_cost(dom: Domain) -> DataFrame:
-    return dom.memo(("mart_plan_txn_cost",), lambda: _mart_plan_txn_cost(dom))
-
-
-def _mart_plan_txn_cost(dom: Domain) -> DataFrame:
-    """Transaction cost of every non-repair payment per (order, local month)."""
-    pay = dom.payments.filter(~F.col("reason").like("%repair_fee%"))
+def mart_plan_txn_cost(dom: Domain, spine: Spine | None = None) -> DataFrame:
+    """Transaction cost of every non-repair payment per (order, local month); with ``spine``, of its months."""
+    pay = _months_of(dom.payments.filter(~F.col("reason").like("%repair_fee%")), spine)
     tr = dom.trackings.select(F.col("psp_reference").alias("tr_ref"), "payment_method")
     so = dom.store_orders.select(F.col("order_id").alias("so_order_id"), F.col("store_id").alias("so_store_id"))
     st = dom.stores.select(F.col("id").alias("st_id"), F.col("partner_id").alias("st_partner_id"))
     pa = dom.partners.select(F.col("id").alias("pa_id"), F.col("partner_kind_id"))
     pk = dom.partner_kinds.select(F.col("id").alias("pk_id"), F.col("description").alias("kind"))
-    j = (pay.join(tr, pay["psp_reference"] == tr["tr_ref"], "left")
-         .join(so, pay["order_id"] == so["so_order_id"], "left")
-         .join(st, F.col("so_store_id") == st["st_id"], "left")
+    pay = pay.withColumn("ref", spread_nulls(F.col("psp_reference"), F.col("id")))
+    j = split_join(pay.join(tr, pay["ref"] == tr["tr_ref"], "left"), so, "order_id", "so_order_id")
+    j = (j.join(st, F.col("so_store_id") == st["st_id"], "left")
          .join(pa, F.col("st_partner_id") == pa["pa_id"], "left")
          .join(pk, F.col("partner_kind_id") == pk["pk_id"], "left"))
     boleto = (F.col("payment_method") == BOLETO_METHOD) | F.col("psp_reference").like("%boleto%")
@@ -138,6 +147,4 @@ def _mart_plan_txn_cost(dom: Domain) -> DataFrame:
     cost = (F.when(F.col("kind") == EXTERNAL_SALE_KIND, dec("0", 3, 2))
             .when(boleto, dec(BOLETO_FEE, 3, 2))
             .otherwise(dec(CARD_FIXED_FEE, 3, 2) + card))
-    return (j.withColumn("creation_month", local_month("created_at"))
-            .groupBy("order_id", "creation_month")
-            .agg((-dsum(cost)).alias("plan_transaction_cost")))
+    return j.groupBy("order_id", "creation_month").agg((-dsum(cost)).alias("plan_transaction_cost"))

@@ -44,6 +44,7 @@ def geo_properties(fc: DataFrame) -> DataFrame:
 ZONES = [
     (1, "north_block", [[1.0, 5.0], [6.0, 5.5], [6.5, 9.0], [2.0, 9.5], [1.0, 5.0]]),
     (2, "river_bend", [[5.0, 0.5], [9.5, 1.0], [9.0, 4.5], [7.0, 2.5], [5.5, 4.0], [5.0, 0.5]]),
+    (3, "far_field", [[20.0, 20.0], [21.0, 20.0], [21.0, 21.0], [20.0, 20.0]]),  # no event point lies here
 ]
 
 
@@ -91,9 +92,12 @@ def zone_cells(zones: DataFrame, cell: float = GRID_CELL) -> DataFrame:
 
 def geo_zone_join(dom: Domain, cell: float = GRID_CELL) -> DataFrame:
     pts = event_points(dom).withColumn("cx", _cell(F.col("x"), cell)).withColumn("cy", _cell(F.col("y"), cell))
-    cells = zone_cells(zones_frame(dom.spark), cell)
+    zones = zones_frame(dom.spark)
+    cells = zone_cells(zones, cell)
     j = pts.join(cells, ["cx", "cy"], "inner")
     in_box = ((F.col("x") >= F.col("min_x")) & (F.col("x") <= F.col("max_x"))
               & (F.col("y") >= F.col("min_y")) & (F.col("y") <= F.col("max_y")))
-    return (j.filter(in_box & inside(F.col("x"), F.col("y"), F.col("ring")))
-            .groupBy("zone_id", "zone_name").agg(F.count(F.lit(1)).alias("n_points")))
+    hits = (j.filter(in_box & inside(F.col("x"), F.col("y"), F.col("ring")))
+            .groupBy(F.col("zone_id").alias("hit_zone")).agg(F.count(F.lit(1)).alias("n")))
+    return (zones.join(hits, zones["zone_id"] == hits["hit_zone"], "left")  # zones without points count 0
+            .select("zone_id", "zone_name", F.coalesce("n", F.lit(0)).alias("n_points")))

@@ -28,16 +28,19 @@ KEYS = ["start_interval", "order_id"]
 # category -> measures, added left to right
 MEASURES = {
     "revenue": ["total_revenue", "fee_rev"],
-    "taxes": ["plan_revenue_pis_cofins", "rfq_revenue_pis_cofins", "rfq_revenue_iss", "fee_tax",
-              "severity_tax_credit"],
-    "costs": ["repair_cost", "swap_cost", "inbound_logistic_cost", "outbound_logistic_cost",
-              "fee_transaction_cost", "plan_transaction_cost"],
+    "taxes": ["plan_revenue_pis_cofins", "rfq_revenue_pis_cofins", "rfq_revenue_iss", "fee_tax", "severity_tax_credit"],
+    "costs": ["repair_cost", "swap_cost", "inbound_logistic_cost", "outbound_logistic_cost", "fee_transaction_cost",
+              "plan_transaction_cost"],
+    "house_revenue": ["house_plan_revenue", "house_rfq_revenue", "fee_rev"],
+    "house_taxes": ["house_plan_revenue_pis_cofins", "house_rfq_revenue_pis_cofins", "house_rfq_revenue_iss", "fee_tax",
+                    "severity_tax_credit"],
 }
 SOURCES = {
-    "plan_revenue": ["total_revenue", "plan_revenue_pis_cofins", "rfq_revenue_pis_cofins", "rfq_revenue_iss"],
+    "plan_revenue": ["total_revenue", "plan_revenue_pis_cofins", "rfq_revenue_pis_cofins", "rfq_revenue_iss",
+                     "house_plan_revenue", "house_rfq_revenue", "house_plan_revenue_pis_cofins",
+                     "house_rfq_revenue_pis_cofins", "house_rfq_revenue_iss"],
     "fee_revenue": ["fee_rev", "fee_tax"],
-    "severity": ["severity_tax_credit", "repair_cost", "swap_cost", "inbound_logistic_cost",
-                 "outbound_logistic_cost"],
+    "severity": ["severity_tax_credit", "repair_cost", "swap_cost", "inbound_logistic_cost", "outbound_logistic_cost"],
     "fee_txn_cost": ["fee_transaction_cost"],
     "plan_txn_cost": ["plan_transaction_cost"],
 }
@@ -48,19 +51,23 @@ def _ordered_sum(cols: list[str]) -> Column:
                   F.coalesce(F.col(cols[0]), F.lit(0.0)))
 
 
-def mart_contribution_margin(dom: Domain, spine: Spine) -> DataFrame:
-    last_start = spine.start_of(F.lit(spine.last_index)).cast("date")
-    in_spine = (F.col("start_interval") >= F.lit(spine.start)) & (F.col("start_interval") <= last_start)
-    parts = {
-        "plan_revenue": sales_revenue.mart_plan_revenue(dom, spine),
-        "fee_revenue": fees.mart_fee_revenue(dom, spine),
-        "severity": service.mart_severity(dom, spine),
-        # transaction costs are keyed by calendar month; keep the spine's months
-        "fee_txn_cost": fees.mart_fee_txn_cost(dom).withColumnRenamed("creation_month", "start_interval")
-        .filter(in_spine),
-        "plan_txn_cost": fees.mart_plan_txn_cost(dom).withColumnRenamed("creation_month", "start_interval")
-        .filter(in_spine),
+def mart_contribution_margin(dom: Domain, spine: Spine, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Margin per (month, order): gross (partners' and insurers' shares included in revenue) and the house's own.
+
+    ``stored`` gives marts of :data:`SOURCES` that are already written (:func:`ledgerlens.sources.sinks.read_mart`, keyed by
+    start_interval), so that a monthly run composes them, pruned by month, instead of computing them again.
+    """
+    build = {
+        "plan_revenue": lambda: sales_revenue.mart_plan_revenue(dom, spine),
+        "fee_revenue": lambda: fees.mart_fee_revenue(dom, spine),
+        "severity": lambda: service.mart_severity(dom, spine),
+        # transaction costs are keyed by calendar month
+        "fee_txn_cost": lambda: fees.mart_fee_txn_cost(dom, spine).withColumnRenamed("creation_month", "start_interval"),
+        "plan_txn_cost": lambda: fees.mart_plan_txn_cost(dom, spine).withColumnRenamed("creation_month", "start_interval"),
     }
+    last_start = spine.start_of(F.lit(spine.last_index)).cast("date")
+    in_spine = F.col("start_interval").between(F.lit(spine.start), last_start)
+    parts = {name: stored[name].filter(in_spine) if stored and name in stored else make() for name, make in build.items()}
     every = [m for cols in SOURCES.values() for m in cols]
     frames = [parts[name].select(*KEYS, *[F.col(m) if m in cols else F.lit(None).cast("double").alias(m)
                                          for m in every])
@@ -69,5 +76,5 @@ def mart_contribution_margin(dom: Domain, spine: Spine) -> DataFrame:
     folded = stacked.groupBy(*KEYS).agg(*[F.max(m).alias(m) for m in every])
     cats = {cat: _ordered_sum(cols) for cat, cols in MEASURES.items()}
     out = folded.select(*KEYS, *[c.alias(n) for n, c in cats.items()])
-    return out.select(*KEYS, "revenue", "taxes", "costs",
-                      ((F.col("revenue") + F.col("taxes")) + F.col("costs")).alias("contribution_margin"))
+    margin = lambda pre: (F.col(f"{pre}revenue") + F.col(f"{pre}taxes")) + F.col("costs")
+    return out.select(*KEYS, *MEASURES, margin("").alias("contribution_margin"), margin("house_").alias("house_margin"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rates import (CARD_FIXED_FEE, ISSUES, PLANS_HOUSE_ONLY, PLANS_RFQ, card_fee_pct, shares)
+from ..functions.rates import (CARD_FIXED_FEE, ISSUES, PLANS_HOUSE_ONLY, PLANS_RFQ, card_fee_pct)
 from ..functions.money import dec
 from ..functions.timeops import local_month, month_start, to_local, withdrawal_flag
-from ..operators.spine import Spine, bucket_point, explode_overlap
+from ..operators.spine import bucket_point, explode_overlap, near_spine, Spine
 from ..sources.fixtures import Domain
 from . import device, sales_revenue, service
 from .common import period_dates
@@ -57,8 +57,7 @@ def op_validity_join_share(dom: Domain) -> DataFrame:
 
 def op_revenue_split(dom: Domain) -> DataFrame:
     e = sales_revenue.enriched_payments(dom, ("subscription",))
-    split = shares(F.col("plan_id"), F.col("partner_id"), F.col("rs_value"))
-    return e.select("id", "plan_id", "partner_id", *[c.cast("double").alias(n) for n, c in split.items()])
+    return e.select("id", "plan_id", "partner_id", *[F.col(n).cast("double").alias(n) for n in sales_revenue.SHARES])
 
 
 def op_card_fee_brackets(dom: Domain) -> DataFrame:
@@ -70,7 +69,7 @@ def op_card_fee_brackets(dom: Domain) -> DataFrame:
 
 
 def op_bucket_point_in_period(dom: Domain, spine: Spine) -> DataFrame:
-    p = dom.payments.select("id", "order_id", to_local("created_at").alias("created_local"))
+    p = dom.payments.filter(near_spine("created_at", spine)).select("id", "order_id", to_local("created_at").alias("created_local"))
     return bucket_point(p, "created_local", spine).select(*period_dates(), "id", "order_id")
 
 

@@ -2,18 +2,15 @@
 
 One parametrised pipeline:
 
-1. enrich payments: orders, store orders, stores, partners and the revenue
-   share valid at the (local) subscription instant; value rule, cool-off
-   flag and the house / partner / insurer split (rate card);
-2. bucket each payment into the local month of its creation (projection,
-   no spine join) and drop exact duplicate rows (the source's all-column
-   GROUP BY);
+1. bucket each payment into the local month of its creation (a guard on the raw column reaches the scan;
+   projection, no spine join);
+2. work out the terms of each order once (store order, partner, revenue share valid at the local
+   subscription instant, house / partner / insurer split, cool-off flag) and join them to its payments;
+   drop exact duplicate rows (the source's all-column GROUP BY);
 3. aggregate per (month, order): counts, exact decimal sums, and the
    ``sum * avg(share) * rate`` products in DOUBLE.
 
-Fact-to-fact joins are all keyed on the order id, so Spark shuffles the
-payments once; the duplicate removal and the final aggregate reuse that
-hash partitioning (order_id is part of both keys).  Dimensions are joined
+Fact-to-fact joins are all keyed on the order id.  Dimensions are joined
 through Spark's size-checked broadcast.
 """
 
@@ -24,10 +21,11 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import ratio_fine
+from ..functions.money import FINE, ratio_fine
 from ..functions.rates import IOF, ISS_PCT, PIS_COFINS_PCT, PLANS_ANNUAL, PLANS_RFQ, shares
 from ..functions.timeops import to_local, withdrawal_flag
-from ..operators.spine import Spine, bucket_point
+from ..operators.joins import split_join
+from ..operators.spine import Spine, bucket_point, near_spine
 from ..operators.validity import valid_time_join
 from ..sources.fixtures import Domain
 from .common import count_if, period_dates
@@ -35,17 +33,15 @@ from .common import count_if, period_dates
 SALES = "sales"
 REVENUE = "revenue"
 SHARES = ("house_share", "partner_share", "insurer_share")
-# Row amounts: ten decimals keep the /12 rule exact to the oracle's digits;
-# 18 digits keep the value in a long-backed (compact) decimal, which hashes
-# and compares much faster than the wide form.  Bounds one payment to < 1e8.
-ROW_VALUE = "decimal(18,10)"
+ROW_VALUE = FINE  # ten decimals keep the /12 rule exact to the oracle's digits
 
 
-def enriched_payments(dom: Domain, reasons: tuple[str, ...]) -> DataFrame:
-    """Payments of the given reasons joined to order, store, partner and share."""
-    pay = (dom.payments.filter(F.col("reason").isin(*reasons))
-           .select(F.col("id"), F.col("order_id"), F.col("created_at"), F.col("reason"),
-                   F.col("value").alias("pay_value")))
+def order_terms(dom: Domain) -> DataFrame:
+    """What a payment takes from its order: one row per order and store order.
+
+    Partner, revenue share valid at the (local) subscription, split and cool-off flag depend on the order alone, so they are worked
+    out here once and not per payment.
+    """
     orders = dom.orders.select(
         F.col("id").alias("o_id"), "plan_id", "direct_channel", "preco",
         F.col("subscribed_at").alias("o_subscribed_at"), F.col("canceled_at").alias("o_canceled_at"))
@@ -55,15 +51,30 @@ def enriched_payments(dom: Domain, reasons: tuple[str, ...]) -> DataFrame:
     partners = dom.partners.select(F.col("id").alias("partner_id"))
     rs = dom.revenue_shares.select(F.col("partner_id").alias("rs_partner_id"), F.col("value").alias("rs_value"),
                                    F.col("begin_at").alias("rs_begin"), F.col("finish_at").alias("rs_finish"))
-
-    j = (pay.join(orders, pay["order_id"] == orders["o_id"], "left")
-         # keyed on the payment's order_id (guarded by a matched order, i.e.
-         # orders.id = order_id) so the join reuses the payments' partitioning
-         .join(so, (F.col("order_id") == so["so_order_id"]) & F.col("o_id").isNotNull(), "left")
+    j = (orders.join(so, orders["o_id"] == so["so_order_id"], "left")
          .join(stores, F.col("so_store_id") == stores["st_id"], "left")
          .join(partners, F.col("st_partner_id") == partners["partner_id"], "left")
          .withColumn("subscribed_at", to_local("o_subscribed_at")))
-    return valid_time_join(j, rs, "partner_id", "rs_partner_id", "subscribed_at", "rs_begin", "rs_finish")
+    j = valid_time_join(j, rs, "partner_id", "rs_partner_id", "subscribed_at", "rs_begin", "rs_finish")
+    split = shares(F.col("plan_id"), F.col("partner_id"), F.col("rs_value"))
+    return j.select("o_id", "plan_id", "direct_channel", "preco", "total_price", "so_store_id", "partner_id", "subscribed_at",
+                    "rs_value", *[c.alias(n) for n, c in split.items()],
+                    withdrawal_flag("o_subscribed_at", "o_canceled_at", "direct_channel").alias("withdrawn"))
+
+
+def enriched_payments(dom: Domain, reasons: tuple[str, ...], spine: Spine | None = None) -> DataFrame:
+    """Payments of the given reasons with the terms of their orders; with ``spine``, those in its periods only.
+
+    A payment without an order has no plan and no partner, so its shares are 0.
+    """
+    pay = (dom.payments.filter(F.col("reason").isin(*reasons))
+           .select("id", "order_id", "created_at", "reason", F.col("value").alias("pay_value")))
+    if spine is not None:  # before any join; the guard reaches the scan
+        pay = pay.filter(near_spine("created_at", spine)).withColumn("created_at", to_local("created_at"))
+        pay = bucket_point(pay, "created_at", spine)
+    terms = order_terms(dom)
+    j = split_join(pay, terms, "order_id", "o_id")
+    return j.withColumns({n: F.coalesce(n, F.lit(0).cast(terms.schema[n].dataType)) for n in SHARES})
 
 
 def value_rule(kind: str) -> Column:
@@ -78,20 +89,10 @@ def value_rule(kind: str) -> Column:
 
 def payments_by_period(dom: Domain, spine: Spine, kind: str) -> DataFrame:
     reasons = ("subscription",) if kind == SALES else ("subscription", "monthly_fee", "overdue_monthly_fee")
-    e = enriched_payments(dom, reasons)
-    split = shares(F.col("plan_id"), F.col("partner_id"), F.col("rs_value"))
-    value = value_rule(kind).cast(ROW_VALUE)
+    bucketed = enriched_payments(dom, reasons, spine).select(
+        "start_interval", "end_interval", "id", "plan_id", "order_id", "partner_id", *SHARES,
+        F.coalesce("withdrawn", F.lit(False)).alias("withdrawn"), value_rule(kind).cast(ROW_VALUE).alias("value"))
     rfq = F.col("plan_id").isin(*PLANS_RFQ)
-    rows = e.select(
-        "id", "plan_id", "direct_channel", "order_id", "partner_id", "subscribed_at",
-        to_local("o_canceled_at").alias("canceled_at"),
-        to_local("created_at").alias("created_at"),
-        *[c.alias(n) for n, c in split.items()],
-        F.coalesce(withdrawal_flag("o_subscribed_at", "o_canceled_at", "direct_channel"), F.lit(False))
-        .alias("withdrawn"),
-        value.alias("value"),
-    )
-    bucketed = bucket_point(rows, "created_at", spine)
     # The source groups by every column, so exact duplicate rows (fan-out
     # through identical store orders / share windows) collapse to one.  Only
     # the columns that can differ between fan-out rows of one payment need

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.rates import DEFAULT_LOGISTIC_COST, IN_HOUSE_REPAIR_SHOP, ISSUES, PIS_COFINS_PCT
 from ..functions.timeops import to_local
 from ..operators.pivot import code_cases
-from ..operators.spine import Spine, bucket_point
+from ..operators.spine import Spine, bucket_point, near_spine
 from ..sources.fixtures import Domain
-from .common import count_if, lsum, pct, period_dates
+from .common import count_if, dsum, pct, period_dates
 
 
 def mart_sr_monthly_count(dom: Domain, spine: Spine) -> DataFrame:
@@ -24,8 +24,8 @@ def _mart_sr_monthly_count(dom: Domain, spine: Spine) -> DataFrame:
     ``GROUP BY ..., id`` keeps one row per request; each request is bucketed
     by its local arrival time with a projection (no spine join).
     """
-    sr = dom.service_requests.select("id", "order_id", "issue_id",
-                                     to_local("arrived_at").alias("arrived_local"))
+    sr = dom.service_requests.filter(near_spine("arrived_at", spine)).select(
+        "id", "order_id", "issue_id", to_local("arrived_at").alias("arrived_local"))
     per_period = bucket_point(sr, "arrived_local", spine)
     pivots = code_cases(F.col("issue_id"), F.lit(1), ISSUES)
     return (per_period.groupBy("start_interval", "end_interval", "order_id")
@@ -44,8 +44,8 @@ def inhouse_requests(dom: Domain) -> DataFrame:
 
 def swapped_requests(dom: Domain, spine: Spine) -> DataFrame:
     """(period, order, request, issue) for requests swapped in the period (local time)."""
-    sr = dom.service_requests.select("id", "order_id", "issue_id",
-                                     to_local("swapped_at").alias("swapped_local"))
+    sr = dom.service_requests.filter(near_spine("swapped_at", spine)).select(
+        "id", "order_id", "issue_id", to_local("swapped_at").alias("swapped_local"))
     return bucket_point(sr, "swapped_local", spine).drop("swapped_local")
 
 
@@ -81,14 +81,12 @@ def _mart_severity(dom: Domain, spine: Spine) -> DataFrame:
         "severity_tax_credit": (F.col("repair_cost") + F.col("invoice_out_value") - F.col("invoice_in_value"))
         * pct(PIS_COFINS_PCT),
     }
-    # amounts have 2 decimals; the tax credit (x 0.0925) has 6
-    scales = {fam: (6 if fam == "severity_tax_credit" else 2) for fam in families}
     aggs, names = [], []
     for fam, expr in families.items():
-        aggs.append(lsum(expr, scales[fam]).alias(fam))
+        aggs.append(dsum(expr).alias(fam))
         names.append(fam)
         for n, c in code_cases(issue, expr, ISSUES).items():
-            aggs.append(lsum(c, scales[fam]).alias(f"{fam}_{n}"))
+            aggs.append(dsum(c).alias(f"{fam}_{n}"))
             names.append(f"{fam}_{n}")
     aggs.append(F.count("id").alias("swapped_sr"))
     names.append("swapped_sr")

@@ -26,19 +26,9 @@ _QUERIES: dict[str, Builder] = {}
 _ORACLE: dict[str, str] = {}
 
 
-_DOMAINS: dict[tuple[int, str], Domain] = {}
-
-
 def domain_for(spark: SparkSession, sf_dir: str) -> Domain:
-    """One Domain (lazy DataFrame definitions, no data) per session and folder,
-    shared by every query so the adapters are defined and analysed once."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    dom = _DOMAINS.get(key)
-    # the cached domain holds its session, so the id cannot be recycled while
-    # cached; still drop it if that session's context has been stopped
-    if dom is None or dom.spark is not spark or spark.sparkContext._jsc is None:
-        dom = _DOMAINS[key] = Domain(spark, sf_dir)
-    return dom
+    """The domain tables of a folder, defined anew on each call."""
+    return Domain(spark, sf_dir)
 
 
 def register(name: str, sql: str | None = None):
@@ -116,6 +106,7 @@ SPINES = {
     "time_spine_year": (Spine(dt.date(1995, 1, 1), AS_OF, "year", 1), "orders"),
     "time_spine_semester": (Spine(dt.date(1995, 1, 1), AS_OF, "semester", 1), "orders"),
     "time_spine_month": (MONTHS, "orders"),
+    "time_spine_quarter": (Spine(dt.date(1995, 1, 1), AS_OF, "month", 3), "orders"),
     "time_spine_week": (Spine(dt.date(2024, 1, 1), EVENTS_AS_OF, "week", 1), "events"),
     "time_spine_day": (Spine(dt.date(2024, 1, 1), EVENTS_AS_OF, "day", 1), "events"),
 }

@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 # cluster these come from the submit configuration; we only fill gaps.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # overflowing casts and sums raise instead of turning into NULL
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

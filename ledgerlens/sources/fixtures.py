@@ -4,8 +4,7 @@ The marts consume the business schema (orders, payments, store_orders,
 service_requests, ...).  The test data ships TPC-H-like tables instead, so
 each domain table is a deterministic projection of one of them.  Every
 derivation is a narrow DataFrame expression — no joins; the only shuffles
-are the two small DISTINCTs for brands and plans, and the re-spreading of an
-unsplittable fact file (see :func:`spread_scan`) — so it adds little beyond
+are the two small DISTINCTs for brands and plans — so it adds little beyond
 scan cost at any scale.  ``fixtures_sql.DOMAIN_CTES`` is the same derivation in
 DuckDB SQL for the oracle side.
 
@@ -15,7 +14,6 @@ In production a :class:`Domain` is built from the real tables instead
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,36 +39,6 @@ TABLES = (
 )
 
 
-# Tables that grow with the data, with their unique key; the rest are dimensions.
-FACT_TABLES = {
-    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"),
-    "orders": ("o_orderkey",),
-    "events": ("event_id",),
-    "customer": ("c_custkey",),
-    "part": ("p_partkey",),
-}
-# "hash" (default), "roundrobin" or "none"; an experiment knob, not a tuning need.
-SPREAD_MODE = os.environ.get("LEDGERLENS_SPREAD", "hash")
-
-
-def spread_scan(df: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    A parquet file is split by row group; a file written as one row group
-    is read by one task, and every narrow operator after it (the fixture
-    derivation, time-zone conversion, map-side joins) then runs on one
-    core.  When the scan has fewer partitions than the default parallelism
-    it is re-spread round-robin (a skew-free shuffle of a small input).  A
-    large input has many more splits than cores and is left untouched.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if SPREAD_MODE == "none" or df.rdd.getNumPartitions() >= target:
-        return df
-    if SPREAD_MODE == "hash" and key:
-        return df.repartition(target, *key)
-    return df.repartition(target)
-
-
 def _pick(values: list, idx0: Column) -> Column:
     """values[idx0] for a 0-based integer column (NULL entries allowed)."""
     arr = F.array(*[F.lit(v) for v in values])
@@ -110,14 +78,10 @@ class Domain:
 
     # -- raw driver tables -------------------------------------------------
     def raw(self, name: str) -> DataFrame:
-        """A driver table (read, schema and split count resolved once per domain)."""
-        cache = self.__dict__.setdefault("_raw_cache", {})
-        if name not in cache:
-            if self.sf_dir is None:
-                raise KeyError(f"no source for raw table {name}")
-            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            cache[name] = spread_scan(df, FACT_TABLES[name]) if name in FACT_TABLES else df
-        return cache[name]
+        """A driver table."""
+        if self.sf_dir is None:
+            raise KeyError(f"no source for raw table {name}")
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)

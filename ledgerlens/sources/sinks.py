@@ -1,24 +1,32 @@
 """Mart sink: month-partitioned parquet with dynamic partition overwrite.
 
-Re-running (or retrying) a month replaces exactly that month's partition;
-readers then prune on ``start_interval``.  Within a month the data is
-clustered by order id so that downstream joins on (month, order) read few
-row groups per order range.
+Re-running (or retrying) a month replaces exactly that month's partition; readers then prune on ``start_interval``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_mart(df: DataFrame, path: str, period_col: str = "start_interval", key_col: str = "order_id") -> None:
+def write_mart(df: DataFrame, path: str, period_col: str = "start_interval", months: Iterable[dt.date] | None = None) -> None:
+    """Write ``df`` by month.  ``months``: the months that this run covers; of these, those that ``df`` has no row for are
+    emptied, so that a re-run leaves no stale rows.
+
+    Rows are rebalanced by month: small months end in one file each, a large one is split by size.
+    """
+    out = df.hint("rebalance", period_col)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period_col).parquet(path)
+    if months is None:
+        return
+    filled = {r[0] for r in df.select(period_col).distinct().collect()}  # at most one row per month
     spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    out = df.repartition(period_col, key_col) if key_col in df.columns else df.repartition(period_col)
-    if key_col in df.columns:
-        out = out.sortWithinPartitions(period_col, key_col)
-    out.write.mode("overwrite").partitionBy(period_col).parquet(path)
+    for month in set(months) - filled:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{period_col}={month.isoformat()}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_mart(spark: SparkSession, path: str, months: list | None = None, period_col: str = "start_interval") -> DataFrame:
@@ -26,18 +34,3 @@ def read_mart(spark: SparkSession, path: str, months: list | None = None, period
     if months:
         df = df.filter(F.col(period_col).isin(*months))   # partition pruning
     return df
-
-
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and read it back.
-
-    Used for long iterative plans; the folder is ``spark.checkpoint.dir`` (set
-    by the cluster, or by :func:`ledgerlens.session.ensure_checkpoint_dir` in
-    tests) — never a machine-local temporary folder.
-    """
-    from ..session import ensure_checkpoint_dir
-
-    root = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{root.rstrip('/')}/ledgerlens/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)

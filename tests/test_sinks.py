@@ -1,13 +1,13 @@
-"""Month-partitioned sink (dynamic overwrite) and the streaming refresh."""
+"""Month-partitioned sink (dynamic overwrite)."""
 
 import datetime as dt
+import pathlib
 import tempfile
 
 from ledgerlens.operators.spine import Spine
 from ledgerlens.plans import service
 from ledgerlens.sources.fixtures import Domain
-from ledgerlens.sources.sinks import cut_lineage, read_mart, write_mart
-from ledgerlens.streaming.refresh import refresh_on_new_files
+from ledgerlens.sources.sinks import read_mart, write_mart
 
 from .test_marts import SR, sr_row
 
@@ -30,23 +30,23 @@ def test_write_mart_dynamic_overwrite(spark):
     assert read_mart(spark, out, [dt.date(2000, 2, 1)]).count() == 1
 
 
-def test_cut_lineage_roundtrip(spark):
-    df = spark.range(10).selectExpr("id", "id * 2 AS x")
-    back = cut_lineage(df, "roundtrip-test")
-    assert sorted(r.x for r in back.collect()) == [2 * i for i in range(10)]
-
-
-def test_streaming_refresh(spark):
-    src = tempfile.mkdtemp(prefix="src-")
+def test_rerun_empties_its_months_and_leaves_the_session_alone(spark):
     out = tempfile.mkdtemp(prefix="mart-")
     rows = [sr_row(1, 1, 1, arrived="2000-02-10 12:00:00"), sr_row(2, 2, 2, arrived="2000-03-10 12:00:00")]
-    base = spark.createDataFrame(rows, SR)
-    base.filter("id = 2").write.mode("append").parquet(src)
-    q = refresh_on_new_files(spark, src, base.schema, lambda sp: service.mart_sr_monthly_count(_dom(spark, rows), sp),
-                             out, ts_col="arrived_at", name=f"t-{dt.datetime.now().timestamp()}")
-    q.awaitTermination(120)
-    got = sorted((r.start_interval, r.order_id) for r in read_mart(spark, out).collect())
-    assert got == [(dt.date(2000, 3, 1), 2)]      # only the touched month was written
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    write_mart(service.mart_sr_monthly_count(_dom(spark, rows), SPINE), out)
+    later = Spine(dt.date(2000, 3, 1), dt.datetime(2000, 4, 15), "month", 1)  # March has no request any more
+    write_mart(service.mart_sr_monthly_count(_dom(spark, rows[:1]), later), out, months=[dt.date(2000, 3, 1), dt.date(2000, 4, 1)])
+    assert [r.start_interval for r in read_mart(spark, out).collect()] == [dt.date(2000, 2, 1)]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
+def test_small_months_are_single_files(spark):
+    out = pathlib.Path(tempfile.mkdtemp(prefix="mart-"))
+    rows = [sr_row(i, i, 1, arrived=f"2000-0{1 + i % 5}-10 12:00:00") for i in range(200)]
+    df = service.mart_sr_monthly_count(_dom(spark, rows), SPINE).repartition(16)
+    write_mart(df, str(out))
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in out.glob("start_interval=*"))
 
 
 def test_domain_from_parquet(spark):

@@ -9,8 +9,6 @@ import datetime as dt
 import random
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from ledgerlens.operators.spine import Spine
 from ledgerlens.plans import sales_revenue
 from ledgerlens.sources.fixtures import Domain
@@ -38,14 +36,27 @@ def test_hot_order_revenue(spark):
         "revenue_shares": spark.createDataFrame([(15, Decimal("10.00"), None, None)],
                                                 "partner_id int, value decimal(5,2), begin_at timestamp_ntz, finish_at timestamp_ntz"),
     })
-    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1k")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    # the driver's own session: no forced skew optimisation
+    tight = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.forceOptimizeSkewedJoin": "false"}
+    before = {k: spark.conf.get(k, None) for k in tight}
+    for k, v in tight.items():
+        spark.conf.set(k, v)
     try:
-        got = sales_revenue.mart_plan_revenue(dom, SPINE).groupBy("order_id").agg(
-            F.sum("revenue_count").alias("n"), F.sum("total_revenue").alias("total")).collect()
+        mart = sales_revenue.mart_plan_revenue(dom.from_tables(spark, {
+            **{t: dom.table(t) for t in ("orders", "store_orders", "stores", "partners", "revenue_shares")},
+            "payments": dom.payments.repartition(8)}), SPINE)
+        got = mart.collect()
+        assert "skew=true" in mart._jdf.queryExecution().executedPlan().toString()  # the hot order was split
     finally:
-        spark.conf.unset("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    sums = {}
+    for r in got:
+        n, t = sums.get(r.order_id, (0, 0.0))
+        sums[r.order_id] = (n + r.revenue_count, t + r.total_revenue)
 
     def local(ts):   # UTC -> Sao Paulo in 2000: UTC-3, daylight UTC-2 from 8 Oct 2000 (before Feb 27: UTC-2)
         off = 2 if (ts < dt.datetime(2000, 2, 27, 2) or ts >= dt.datetime(2000, 10, 8, 3)) else 3
@@ -59,6 +70,5 @@ def test_hot_order_revenue(spark):
             continue                                       # last-second gap / before the spine
         n_, t_ = want.get(order, (0, Decimal(0)))
         want[order] = (n_ + 1, t_ + value)
-    assert {r.order_id: r.n for r in got} == {o: v[0] for o, v in want.items()}
-    assert all(abs(r.total - float(want[r.order_id][1])) < 1e-6 for r in got)
-    assert sum(r.n for r in got) == sum(v[0] for v in want.values())
+    assert {o: n for o, (n, _) in sums.items()} == {o: v[0] for o, v in want.items()}
+    assert all(abs(t - float(want[o][1])) < 1e-6 for o, (_, t) in sums.items())
