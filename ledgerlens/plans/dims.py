@@ -82,8 +82,8 @@ def lookup_payment_360(dom: Domain, psp_reference: str | None = None) -> DataFra
     No filter by default (every payment; requests of the order fan out).
     ``psp_reference`` narrows it to one payment and is pushed to the scan.
     The partners join of the source contributes no column and partner ids
-    are unique, so it is left out.  Joins keyed on the order id come first
-    and share one partitioning.
+    are unique, so it is left out.  Dimensions are attached at the grain of the order and of the store order, before
+    payments and requests fan out.
     """
     pay = dom.payments.select(F.col("order_id"), "installments", "psp_reference")
     if psp_reference is not None:
@@ -105,18 +105,17 @@ def lookup_payment_360(dom: Domain, psp_reference: str | None = None) -> DataFra
     pr = dom.produtos.select(F.col("id").alias("pr_id"), "modelo", "marca_id")
     br = dom.marcas.select(F.col("id").alias("br_id"), "marca_nome")
     se = dom.sellers.select(F.col("id").alias("se_id"), F.col("name").alias("seller_name"))
-    j = (pay.join(o, pay["order_id"] == o["o_id"], "left")
-         # order-keyed joins use the payment's order_id (guarded by a matched
-         # order) so they share one partitioning
-         .join(so, (F.col("order_id") == so["so_order_id"]) & F.col("o_id").isNotNull(), "left")
-         .join(sr, (F.col("order_id") == sr["sr_order_id"]) & F.col("o_id").isNotNull(), "left")
-         .join(users, F.col("user_id") == users["u_id"], "left")
-         .join(st, F.col("so_store_id") == st["st_id"], "left")
-         .join(sk, F.col("sales_kind_id") == sk["sk_id"], "left")
-         .join(pl, F.col("plan_id") == pl["pl_id"], "left")
-         .join(pr, F.col("produto_id") == pr["pr_id"], "left")
-         .join(br, F.col("marca_id") == br["br_id"], "left")
-         .join(se, F.col("seller_id") == se["se_id"], "left"))
+    # customers, plans and products meet orders, stores and sellers meet store orders; payments then join narrow keys once each
+    bought = (o.join(users, o["user_id"] == users["u_id"], "left")
+              .join(pl, F.col("plan_id") == pl["pl_id"], "left")
+              .join(pr.join(br, F.col("marca_id") == br["br_id"], "left"), F.col("produto_id") == pr["pr_id"], "left"))
+    sold = (so.join(st, F.col("so_store_id") == st["st_id"], "left")
+            .join(sk, F.col("sales_kind_id") == sk["sk_id"], "left")
+            .join(se, F.col("seller_id") == se["se_id"], "left"))
+    # keyed on the payment's order_id (guarded by a matched order), so these joins share one partitioning
+    j = (pay.join(bought, pay["order_id"] == bought["o_id"], "left")
+         .join(sold, (F.col("order_id") == sold["so_order_id"]) & F.col("o_id").isNotNull(), "left")
+         .join(sr, (F.col("order_id") == sr["sr_order_id"]) & F.col("o_id").isNotNull(), "left"))
     return j.select(*LOOKUP_COLUMNS)
 
 
