@@ -391,7 +391,7 @@ WORKBOOK_ORDER = """o.id, o.created_at, o.user_id, o.preco, o.produto_id, o.canc
   o.disable_service_request_fee, o.device_price"""
 
 
-def bi(spine: Spine, single_order: int) -> dict[str, str]:
+def bi(spine: Spine, single_order: int, shown_from: str, shown_to: str) -> dict[str, str]:
     confirmed = f"""{activity(spine, False)},
 confirmed AS (
   SELECT a.o_id AS order_id, a.began AS order_subscribed_at, a.ended AS order_canceled_at
@@ -421,7 +421,7 @@ grid AS (SELECT p_from, p_to, c.* FROM confirmed AS c, periods)"""
                                 "price_factor, partner_price_factor, fixed_product_price, percentage_value, use_price_table, "
                                 "min_value, max_value FROM d_plans)"),
         "bi_orders": with_domain(f"SELECT {WORKBOOK_ORDER} FROM d_orders AS o"),
-        "bi_order_months": with_domain(f"WITH {whole} SELECT * FROM book"),
+        "bi_order_months": with_domain(f"WITH {whole} SELECT * FROM book WHERE start_interval BETWEEN DATE '{shown_from}' AND DATE '{shown_to}'"),
         "bi_fee_rev_in_period": with_domain(f"""WITH {rows}
 SELECT g.p_from AS start_interval, g.p_to AS end_interval, g.order_id, f.start_month, f.fee_rev, f.fee_rev_taxes, f.net_fee_rev, f.min
 FROM grid AS g LEFT JOIN dated_fees AS f ON f.order_id = g.order_id AND f.p_from = g.p_from"""),

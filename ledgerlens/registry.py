@@ -128,11 +128,14 @@ register("geo_zone_join", oracle.geo_zone_join())(geo.geo_zone_join)
 # Workbook parameters: kind of period, window size, start date; Sheet 3's member.
 WORKBOOK = Spine(dt.date(1995, 1, 1), AS_OF, "month", 1)
 SINGLE_ORDER = 7
-_BI_SQL = oracle.bi(WORKBOOK, SINGLE_ORDER)
+_BI_SQL = oracle.bi(WORKBOOK, SINGLE_ORDER, "1997-01-01", "1997-12-31")
 register("bi_selected_orders", _BI_SQL["bi_selected_orders"])(lambda dom: bi.bi_selected_orders(dom, AS_OF))
 for _name in ("bi_fee_rev_draft", "bi_plans", "bi_orders"):
     register(_name, _BI_SQL[_name])(getattr(bi, _name))
-for _name in ("bi_order_months", "bi_fee_rev_in_period", "bi_active_orders_by_month", "bi_record_count"):
+# The dataset with all its columns, over the periods that the workbook shows: its period-range parameter is set to 1997.
+YEAR = (24, 35)
+register("bi_order_months", _BI_SQL["bi_order_months"])(lambda dom: bi.bi_order_months(dom, WORKBOOK, *YEAR))
+for _name in ("bi_fee_rev_in_period", "bi_active_orders_by_month", "bi_record_count"):
     register(_name, _BI_SQL[_name])(lambda dom, _f=getattr(bi, _name): _f(dom, WORKBOOK))
 register("bi_active_orders_single", _BI_SQL["bi_active_orders_single"])(
     lambda dom: bi.bi_active_orders_single(dom, WORKBOOK, SINGLE_ORDER))
