@@ -7,9 +7,13 @@ weighted Jaccard similarity.  Levels are not visited one by one: they hang in a
 4-7, ...), a node has one process with the rate of all its levels, and a point belongs to one level of the node
 at random.  Processes stop once their time exceeds the largest component so far.
 
-Texts are banded; in each band all texts of a bucket are compared with the bucket's smallest one, exactly, on their whole
-shingle multisets.  Texts that fail against it are compared with each other where the triangle inequality of the
-weighted Jaccard distance leaves a link possible and no other band has joined them yet.
+Texts are banded; in each band all texts of a bucket are compared with the bucket's smallest one.  A bucket whose texts
+then lie in several classes compares one text of each class with the next ``NEIGHBOURS`` classes in an order of its own, until
+a round finds no link; so buckets of up to ``NEIGHBOURS`` + 1 classes are compared in full, and larger ones, of texts that are
+somewhat alike, in as many orders as bands hold them.  Rows and comparisons stay linear in the size of a bucket.
+
+Of each pair, the signatures' agreement rules out what lies five standard deviations below the threshold; the rest is
+compared exactly, on the whole shingle multisets.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, grams, hash_words, materialise, mix64, row_slices, text_buffers, unique_name
@@ -27,6 +31,8 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
 SEED = 0x5DEECE66D
+#: Classes of a bucket that each class is compared with per round.
+NEIGHBOURS = 4
 #: Texts with fewer distinct shingles than this are signed together, many at a time.
 FEW = 24
 
@@ -85,7 +91,10 @@ def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(keyed: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(all columns of ``keyed`` but text, n_shingles, bands): bands is null for a text without words."""
+    """(all columns of ``keyed`` but text, n_shingles, bands, sketch): the latter are null for a text without words.
+
+    sketch is a byte of each signature component.
+    """
     m = bands * rows
     names = [c for c in keyed.columns if c != "text"]
 
@@ -94,29 +103,48 @@ def _sign(keyed: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             data, offsets = text_buffers(b.column(b.schema.get_field_index("text")))
             n = len(offsets) - 1
             total, hashes, small = np.zeros(n, np.int64), np.zeros((n, bands), np.uint64), []
-            for lo, hi in row_slices(offsets):
+            sketch = np.zeros((n, m), np.uint8)
+
+            def put(gram, row, weight):
+                there, dense = np.unique(row, return_inverse=True)
+                sig = signatures(gram, dense, weight, len(there), m)
+                hashes[there] = bands_of(sig, bands, rows)
+                sketch[there] = mix64(sig.view(np.uint64)).astype(np.uint8)
+
+            for lo, hi in row_slices(offsets, 1 << 21):
                 words, first = hash_words(data, offsets[lo:hi + 1])
                 gram, row = grams(words, first, k)
                 total[lo:hi] = np.bincount(row, minlength=hi - lo)
                 gram, row, weight = counted(gram, row)
                 few = np.bincount(row, minlength=hi - lo)[row] < FEW
-                if few.any():
-                    small.append((gram[few], row[few] + lo, weight[few]))
-                    gram, row, weight = gram[~few], row[~few], weight[~few]
-                there, dense = np.unique(row, return_inverse=True)
-                hashes[lo + there] = bands_of(signatures(gram, dense, weight, len(there), m), bands, rows)
-            if small:
-                gram, row, weight = (np.concatenate(x) for x in zip(*small, strict=True))
-                there, dense = np.unique(row, return_inverse=True)
-                hashes[there] = bands_of(signatures(gram, dense, weight, len(there), m), bands, rows)
+                small.append((gram[few], row[few] + lo, weight[few]))
+                put(gram[~few], row[~few] + lo, weight[~few])
+            put(*(np.concatenate(x) for x in zip(*small, strict=True)) if small else ())
+            some = pa.array(total > 0)
             flat = pa.array(hashes.view(np.int64).reshape(-1))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), flat)
-            listed = pc.if_else(pa.array(total > 0), listed, pa.scalar(None, listed.type))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(total), listed],
-                                             [*names, "n_shingles", "bands"])
+            listed = pc.if_else(some, listed, pa.scalar(None, listed.type))
+            short = pc.if_else(some, pa.array([r.tobytes() for r in sketch], pa.binary()), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(total), listed, short],
+                                             [*names, "n_shingles", "bands", "sketch"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema if f.name != "text")
-    return keyed.mapInArrow(sign, f"{schema}, n_shingles long, bands array<long>")
+    return keyed.mapInArrow(sign, f"{schema}, n_shingles long, bands array<long>, sketch binary")
+
+
+def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float, m: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose signatures don't rule out a similarity of ``threshold``."""
+    least = m * threshold - 5 * (m * threshold * (1 - threshold)) ** 0.5
+    sketch = lambda key, name: reps.select(F.col("nid").alias(key), F.col("sketch").alias(name))
+    both = pairs.join(sketch("a", "sa"), "a").join(sketch("b", "sb"), "b")
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in (2, 3))
+                yield batch.filter(pa.array((sa == sb).sum(1) >= least)).select([0, 1])
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
 def _overlap(pairs: DataFrame, k: int) -> DataFrame:
@@ -127,7 +155,7 @@ def _overlap(pairs: DataFrame, k: int) -> DataFrame:
             db, ob = text_buffers(b.column(3))
             n = len(oa) - 1
             out = np.zeros(n)
-            for lo, hi in row_slices(oa + ob - ob[0]):
+            for lo, hi in row_slices(oa + ob - ob[0], 1 << 21):
                 sides = [counted(*grams(*hash_words(d, o[lo:hi + 1]), k)) for d, o in ((da, oa), (db, ob))]
                 gram, row, w = (np.concatenate(x) for x in zip(*sides, strict=True))
                 order = np.lexsort((gram, row))
@@ -188,36 +216,35 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
     texts = materialise(signed.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min(order).alias("first"), F.count("*").alias("copies")).select(
         "digest", F.col("first.nid").alias("rep"), F.col("first.rank").alias("rank"), "copies"), "texts")
-    reps = materialise(signed.select("nid", "n_shingles", "bands").where("bands IS NOT NULL").join(
+    reps = materialise(signed.select("nid", "n_shingles", "bands", "sketch").where("bands IS NOT NULL").join(
         texts.select(F.col("rep").alias("nid"), "digest"), "nid"), "reps")
-    banded = reps.select("nid", "n_shingles", "digest", F.posexplode("bands").alias("band", "h")).drop("band")
-    # a bucket's first text is that of the smallest node
-    heads = banded.groupBy("h").agg(F.min(F.struct("nid", "n_shingles", "digest")).alias("head"), F.count("*").alias("n"))
-    heads = heads.where("n > 1").select("h", "head")
-    near = F.least("n_shingles", "head.n_shingles") >= threshold * F.greatest("n_shingles", "head.n_shingles")
-    spokes = banded.join(heads, "h").where(F.col("nid") != F.col("head.nid"))
-    spokes = materialise(spokes.select("h", "nid", "n_shingles", "digest", F.col("head.nid").alias("to"),
-                                       F.col("head.digest").alias("to_digest"), near.alias("near")), "spokes")
-    pairs = materialise(spokes.where("near").select("nid", "digest", "to", "to_digest").distinct(), "pairs")
-    tested = materialise(_similar(pairs, docs, k), "tested")
-    links = tested.where(F.col("similarity") >= threshold)
-    root = components(links)
-    # what a bucket's first text left apart: members of different components that may still be linked to each other
-    scored = (spokes.join(tested.withColumnsRenamed({"a": "nid", "b": "to"}), ["nid", "to"], "left")
-              .join(root.withColumnRenamed("node", "nid"), "nid", "left")
-              .select("h", "nid", "n_shingles", "digest", F.coalesce("root", "nid").alias("root"), "similarity"))
-    mixed = scored.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    apart = scored.join(mixed, "h")
-    x, y = apart.alias("x"), apart.alias("y")
-    possible = ((F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root"))
-                & (F.least("x.n_shingles", "y.n_shingles") >= threshold * F.greatest("x.n_shingles", "y.n_shingles"))
-                & F.coalesce(F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1 - threshold, F.lit(True)))
-    rest = materialise(x.join(y, possible).select(
-        F.col("x.nid").alias("nid"), F.col("x.digest").alias("digest"), F.col("y.nid").alias("to"),
-        F.col("y.digest").alias("to_digest")).distinct(), "pairs")
-    if rest.limit(1).count():
-        links = links.union(materialise(_similar(rest, docs, k), "tested").where(F.col("similarity") >= threshold))
+    banded = reps.select("nid", "n_shingles", F.explode("bands").alias("h"))
+    heads = banded.groupBy("h").agg(F.min("nid").alias("head"), F.count("*").alias("n")).where("n > 1").select("h", "head")
+    buckets = materialise(banded.join(heads, "h"), "buckets")  # of two texts or more
+    like = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
+    sizes_ = reps.select(F.col("nid").alias("head"), F.col("n_shingles").alias("of_head"))
+    spokes = buckets.where("nid <> head").select("nid", "head", "n_shingles").distinct().join(sizes_, "head")
+    pairs = spokes.where(like("n_shingles", "of_head")).select(F.col("head").alias("a"), F.col("nid").alias("b"))
+    links, tried, root = None, None, None
+    while True:
+        near = materialise(_plausible(pairs, reps, threshold, bands * rows), "pairs")
+        found = materialise(_similar(near, reps, docs, k).where(F.col("similarity") >= threshold), "links")
+        if links is not None and not found.limit(1).count():
+            break
+        links = found if links is None else links.union(found)
+        tried = near if tried is None else tried.union(near)
         root = components(links)
+        # one text of each class in each bucket of several classes, and the next classes in the bucket's own order
+        classed = buckets.join(root.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        mixed = classed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+        order = F.struct(F.xxhash64("h", "nid").alias("order"), "nid", "n_shingles")
+        one = classed.join(mixed, "h").groupBy("h", "root").agg(F.min(order).alias("one")).select("h", "root", "one.*")
+        row = Window.partitionBy("h").orderBy("order")
+        ahead = F.array(*(F.lead(F.struct("nid", "n_shingles"), i).over(row) for i in range(1, NEIGHBOURS + 1)))
+        after = one.select("nid", "n_shingles", ahead.alias("ahead")).select("nid", "n_shingles", F.explode("ahead").alias("to"))
+        after = after.where(like("n_shingles", "to.n_shingles"))
+        pairs = after.select(F.least("nid", "to.nid").alias("a"), F.greatest("nid", "to.nid").alias("b")).distinct()
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
     degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links"))
     members = (texts.join(root, texts["rep"] == root["node"], "left").join(degree, texts["rep"] == degree["a"], "left")
                .select("digest", "rep", "rank", "copies", F.coalesce("root", "rep").alias("root"),
@@ -235,16 +262,18 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
         (alone | (F.col("nid") == F.col("keep"))).alias("keeper"), "digest")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Exact similarity of distinct pairs (nid, digest, to, to_digest): (a, b, similarity)."""
-    wanted = pairs.select("digest").union(pairs.select("to_digest")).distinct()
+def _similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Exact similarity of the texts of distinct pairs (a, b): (a, b, similarity)."""
+    if not pairs.limit(1).count():
+        return pairs.withColumn("similarity", F.lit(0.0))
+    wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct().join(reps.select("nid", "digest"), "nid")
     texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("digest", text_digest(F.col("text")))
     # copies go before the shuffle: a task sends one text of each digest
     texts = texts.where("digest IS NOT NULL").groupBy("digest").agg(F.min("text").alias("text"))
-    texts = materialise(texts.join(wanted, "digest", "left_semi"), "texts")
-    with_a = pairs.join(texts.withColumnRenamed("text", "a_text"), "digest").drop("digest")
-    with_b = with_a.join(texts.select(F.col("digest").alias("to_digest"), F.col("text").alias("b_text")), "to_digest")
-    return _overlap(with_b.select(F.col("nid").alias("a"), F.col("to").alias("b"), "a_text", "b_text"), k)
+    texts = materialise(wanted.join(texts, "digest").select("nid", "text"), "texts")
+    with_a = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("a_text")), "a")
+    with_b = with_a.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("b_text")), "b")
+    return _overlap(with_b, k)
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
