@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, row_slices, text_buffers
 
-DIMENSIONS = 1 << 13
+DIMENSIONS = 1 << 12
 #: At most this many labelled documents are fitted on, shared evenly among the languages.
-SAMPLE_DOCUMENTS = 6000
+SAMPLE_DOCUMENTS = 3000
 #: The languages with most labelled documents, if there are more than this.
 MAX_LANGUAGES = 100
 UNKNOWN = "und"
@@ -81,8 +81,9 @@ def vectors(labelled: DataFrame, dimensions: int) -> DataFrame:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM (squared hinge, y of -1 and 1, classes weighted evenly) by accelerated gradients."""
-    scale = 1.0 / (x.std(0) + 0.05)
-    z = np.concatenate([x * scale, np.ones((len(x), 1), np.float32)], axis=1).astype(np.float32)
+    scale = (1.0 / (x.std(0) + 0.05)).astype(np.float32)
+    z = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.multiply(x, scale, out=z[:, :-1])
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
     v = np.ones(z.shape[1], np.float32)
     for _ in range(15):  # largest curvature
