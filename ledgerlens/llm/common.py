@@ -29,7 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, below one folder per application, which may go when the application has ended."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
