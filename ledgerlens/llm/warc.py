@@ -2,8 +2,8 @@
 
 An archive is a folder of gzip-compressed WARC/1.1 files that Spark's text writer commits (record separator CR LF CR LF), so
 a lost task leaves no half-written file.  Readers split the stream where a record's end meets the next version line.
-A payload that holds that very byte sequence would be split too, so it is sent in chunked transfer coding with a
-chunk border inside each such sequence.
+A payload that holds a version text could be split too, so it is sent in chunked transfer coding with a chunk border
+inside each version text.
 """
 
 from __future__ import annotations
@@ -35,11 +35,10 @@ def _field(head: str, name: str) -> Column:
 
 
 def _chunked(payload: Column) -> Column:
-    """Chunked coding with a border inside each separator, so that the separator's bytes never stand together."""
-    head = BLANK + "WARC"
-    parts = F.split(payload, r"\r\n\r\nWARC(?=/1\.1\r\n)", -1)
+    """Chunked coding with a border inside each version text, so that no separator forms, also not with what stands around."""
+    parts = F.split(payload, r"WARC(?=/1\.1)", -1)
     last = F.size(parts) - 1
-    coded = F.transform(parts, lambda p, i: F.when(i < last, F.concat(p, F.lit(head))).otherwise(p))
+    coded = F.transform(parts, lambda p, i: F.when(i < last, F.concat(p, F.lit("WARC"))).otherwise(p))
     sized = F.transform(coded, lambda p: F.when(p == "", F.lit("")).otherwise(
         F.concat(F.lower(F.hex(F.octet_length(p))), F.lit(CRLF), p, F.lit(CRLF))))
     return F.concat(F.array_join(sized, ""), F.lit("0" + BLANK))
@@ -83,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     and spaces of a url become %20.  The record id is that of the row's place in the scan, so equal rows differ.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    hides = F.contains(payload, F.lit(SPLIT))
+    hides = F.contains(payload, F.lit(VERSION))
     block = F.concat(F.lit(HTTP), F.when(hides, F.lit("Transfer-Encoding: chunked" + BLANK)).otherwise(F.concat(
         _header("Content-Length", F.octet_length(payload)), F.lit(CRLF))),
         F.when(hides, _chunked(payload)).otherwise(payload))

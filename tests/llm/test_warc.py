@@ -27,7 +27,8 @@ def test_round_trip_with_odd_payloads(spark):
     same, inside = "é" * 80, "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 9 + "ü\r\n\r\n"
     rows = [(1, "http://a/", same), (2, "http://b/ c\r\nX: y", same), (3, None, "short"), (4, "http://d/", "short"), (5, "u", None),
             (6, "u", ""), (7, "u", inside), (8, "v", inside), (9, "w", "x" * 300_000), (9, "w", same), (9, "w", same),
-            (None, "n", same), (10, "t", "ends\r\n\r\n"), (11, "t", "WARC/1.1\r\n")]
+            (None, "n", same), (10, "t", "ends\r\n\r\n"), (11, "t", "WARC/1.1\r\n"),
+            (12, "t", "\r\nWARC/1.1\r\n"), (13, "t", "x\r\n\r\nWARC/1.1"), (14, "t", "\n\r\n\r\nWARC/1.1\r\n\r\n\r\n")]
     got = warc.deduplicated_archive(pages(spark, rows)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
