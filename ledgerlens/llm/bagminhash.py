@@ -132,11 +132,9 @@ def _sign(keyed: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return keyed.mapInArrow(sign, f"{schema}, n_shingles long, bands array<long>, sketch binary")
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float, m: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose signatures don't rule out a similarity of ``threshold``."""
+def _plausible(pairs: DataFrame, threshold: float, m: int) -> DataFrame:
+    """Of ``pairs`` (a, b, and their sketches sa, sb), (a, b) of those that don't rule out a similarity of ``threshold``."""
     least = m * threshold - 5 * (m * threshold * (1 - threshold)) ** 0.5
-    sketch = lambda key, name: reps.select(F.col("nid").alias(key), F.col("sketch").alias(name))
-    both = pairs.join(sketch("a", "sa"), "a").join(sketch("b", "sb"), "b")
 
     def keep(batches):
         for batch in batches:
@@ -144,7 +142,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float, m: int) -> D
                 sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in (2, 3))
                 yield batch.filter(pa.array((sa == sb).sum(1) >= least)).select([0, 1])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
 def _overlap(pairs: DataFrame, k: int) -> DataFrame:
@@ -220,14 +218,17 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
         texts.select(F.col("rep").alias("nid"), "digest"), "nid"), "reps")
     banded = reps.select("nid", "n_shingles", F.explode("bands").alias("h"))
     heads = banded.groupBy("h").agg(F.min("nid").alias("head"), F.count("*").alias("n")).where("n > 1").select("h", "head")
-    buckets = materialise(banded.join(heads, "h"), "buckets")  # of two texts or more
     like = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    sizes_ = reps.select(F.col("nid").alias("head"), F.col("n_shingles").alias("of_head"))
-    spokes = buckets.where("nid <> head").select("nid", "head", "n_shingles").distinct().join(sizes_, "head")
-    pairs = spokes.where(like("n_shingles", "of_head")).select(F.col("head").alias("a"), F.col("nid").alias("b"))
+    sketches = reps.select("nid", "sketch")
+    buckets = materialise(banded.join(heads, "h").join(sketches, "nid"), "buckets")  # of two texts or more
+    of_head = reps.select(F.col("nid").alias("head"), F.col("n_shingles").alias("of_head"), F.col("sketch").alias("sa"))
+    spokes = buckets.where("nid <> head").select("nid", "head", "n_shingles", "sketch").distinct().join(of_head, "head")
+    pairs = spokes.where(like("n_shingles", "of_head")).select(
+        F.col("head").alias("a"), F.col("nid").alias("b"), "sa", F.col("sketch").alias("sb"))
     links, tried, root = None, None, None
     while True:
-        near = materialise(_plausible(pairs, reps, threshold, bands * rows), "pairs")
+        near = _plausible(pairs, threshold, bands * rows)
+        near = materialise(near if tried is None else near.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         found = materialise(_similar(near, reps, docs, k).where(F.col("similarity") >= threshold), "links")
         if links is not None and not found.limit(1).count():
             break
@@ -236,15 +237,16 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
         root = components(links)
         # one text of each class in each bucket of several classes, and the next classes in the bucket's own order
         classed = buckets.join(root.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        mixed = classed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-        order = F.struct(F.xxhash64("h", "nid").alias("order"), "nid", "n_shingles")
-        one = classed.join(mixed, "h").groupBy("h", "root").agg(F.min(order).alias("one")).select("h", "root", "one.*")
+        one = classed.groupBy("h", "root").agg(F.min(F.struct(
+            F.xxhash64("h", "nid").alias("order"), "nid", "n_shingles", "sketch")).alias("one")).select("h", "one.*")
         row = Window.partitionBy("h").orderBy("order")
-        ahead = F.array(*(F.lead(F.struct("nid", "n_shingles"), i).over(row) for i in range(1, NEIGHBOURS + 1)))
-        after = one.select("nid", "n_shingles", ahead.alias("ahead")).select("nid", "n_shingles", F.explode("ahead").alias("to"))
-        after = after.where(like("n_shingles", "to.n_shingles"))
-        pairs = after.select(F.least("nid", "to.nid").alias("a"), F.greatest("nid", "to.nid").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        ahead = F.array(*(F.lead(F.struct("nid", "n_shingles", "sketch"), i).over(row) for i in range(1, NEIGHBOURS + 1)))
+        after = one.select("nid", "n_shingles", "sketch", ahead.alias("ahead")).select(
+            "nid", "n_shingles", "sketch", F.explode(F.filter("ahead", lambda x: x.isNotNull())).alias("to"))
+        after, first = after.where(like("n_shingles", "to.n_shingles")), F.col("nid") < F.col("to.nid")
+        pairs = after.select(F.least("nid", "to.nid").alias("a"), F.greatest("nid", "to.nid").alias("b"),
+                             F.when(first, F.col("sketch")).otherwise(F.col("to.sketch")).alias("sa"),
+                             F.when(first, F.col("to.sketch")).otherwise(F.col("sketch")).alias("sb"))
     degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links"))
     members = (texts.join(root, texts["rep"] == root["node"], "left").join(degree, texts["rep"] == degree["a"], "left")
                .select("digest", "rep", "rank", "copies", F.coalesce("root", "rep").alias("root"),
