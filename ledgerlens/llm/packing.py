@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, per_worker
 
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -98,7 +98,8 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer_path: str | None, pat
     def cut(batches):
         from pyspark import TaskContext
 
-        tokenizer, part = ByteTokenizer(tokenizer_path, pattern), TaskContext.get().partitionId()
+        tokenizer = per_worker(("bytes", tokenizer_path, pattern), lambda: ByteTokenizer(tokenizer_path, pattern))
+        part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         out, size = [], 0
@@ -184,18 +185,19 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
     return out
 
 
-def places(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """By length: ranks from which a run of places begins, its first sequence, its offset."""
-    runs: dict[int, list[tuple[int, int, int]]] = {}
-    used, sequence = np.zeros(capacity + 1, np.int64), 0
+def places(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> pa.Table:
+    """(length, first, until, sequence, offset): pieces of ``length`` with a rank from ``first`` to below ``until`` go to
+    sequences from ``sequence`` on, one each, at ``offset``."""
+    runs, used, sequence = [], np.zeros(capacity + 1, np.int64), 0
     for lengths, times in patterns:
         offset = 0
         for s in lengths:
-            runs.setdefault(s, []).append((int(used[s]), sequence, offset))
+            runs.append((s, int(used[s]), int(used[s]) + times, sequence, offset))
             used[s] += times
             offset += s
         sequence += times
-    return {s: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for s, r in runs.items()}
+    columns = zip(*runs, strict=True) if runs else [[]] * 5
+    return pa.table([pa.array(c, pa.int64()) for c in columns], ["of_length", "first", "until", "sequence", "offset"])
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None,
@@ -212,25 +214,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
     histogram = np.zeros(capacity + 1, np.int64)  # at most ``capacity`` rows
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         histogram[r["length"]] = r["n"]
-    where = places(plan(histogram, capacity), capacity)
+    # at most ``capacity`` patterns of at most ``capacity`` pieces, whatever the number of documents
+    runs = F.broadcast(docs.sparkSession.createDataFrame(places(plan(histogram, capacity), capacity)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
 
-    def put(batches):
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for s in np.unique(length):
-                mine = length == s
-                first, start, at = where[int(s)]
-                run = np.searchsorted(first, rank[mine], "right") - 1
-                sequence[mine], offset[mine] = start[run] + rank[mine] - first[run], at[run]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)],
-                                             [*b.schema.names[:-1], "sequence_id", "offset"])
-
-    ids, kind = (F.crc32("ids").alias("ids_crc32"), "ids_crc32 long") if digest else (F.col("ids"), "ids binary")
+    ids = F.crc32("ids").alias("ids_crc32") if digest else F.col("ids")
     ranked = (pieces.select("doc_id", "piece", "start", "length", ids, "part", "place").join(base, ["part", "length"])
-              .select("doc_id", "piece", "start", "length", kind.split()[0],
-                      (F.col("base") + F.col("place")).alias("rank")))
-    return ranked.mapInArrow(put, f"doc_id long, piece int, start long, length long, {kind}, "
-                                  "sequence_id long, offset long")
+              .withColumn("rank", F.col("base") + F.col("place")))
+    here = (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("until"))
+    return ranked.join(runs, here).select(
+        "doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids",
+        (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
