@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, per_worker
+from .common import materialise
 
 CAPACITY = 1024
 END_ID = 2
-#: Words whose ids a worker remembers.
+#: Words whose ids a task remembers.
 CACHE_WORDS = 300_000
 
 
@@ -98,7 +98,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer_path: str | None, pat
     def cut(batches):
         from pyspark import TaskContext
 
-        tokenizer = per_worker(("bytes", tokenizer_path, pattern), lambda: ByteTokenizer(tokenizer_path, pattern))
+        tokenizer = ByteTokenizer(tokenizer_path, pattern)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
