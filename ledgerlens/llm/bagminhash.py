@@ -7,10 +7,10 @@ weighted Jaccard similarity.  Levels are not visited one by one: they hang in a
 4-7, ...), a node has one process with the rate of all its levels, and a point belongs to one level of the node
 at random.  Processes stop once their time exceeds the largest component so far.
 
-Texts are banded; in each band all texts of a bucket are compared with the bucket's smallest one.  A bucket whose texts
-then lie in several classes compares one text of each class with the next ``NEIGHBOURS`` classes in an order of its own, until
-a round finds no link; so buckets of up to ``NEIGHBOURS`` + 1 classes are compared in full, and larger ones, of texts that are
-somewhat alike, in as many orders as bands hold them.  Rows and comparisons stay linear in the size of a bucket.
+Texts are banded; in each band all texts of a bucket are compared with the bucket's smallest one.  In a bucket whose texts
+then lie in several classes, all texts of different classes are compared, by their signatures' agreement inside tasks: first
+each text with the ``NEAREST`` ones that agree most with it, which links families whatever their original, then, between the
+classes that are left, all pairs.  Buckets are cut to squares of at most ``SIDE`` by ``SIDE`` texts, so large ones spread over tasks.
 
 Of each pair, the signatures' agreement rules out what lies five standard deviations below the threshold; the rest is
 compared exactly, on the whole shingle multisets.
@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, grams, hash_words, materialise, mix64, row_slices, text_buffers, unique_name
@@ -31,8 +31,10 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
 SEED = 0x5DEECE66D
-#: Classes of a bucket that each class is compared with per round.
-NEIGHBOURS = 4
+#: Texts of other classes in a square that each text is compared with before all pairs are.
+NEAREST = 2
+#: Texts on each side of a square of a bucket.
+SIDE = 1024
 #: Texts with fewer distinct shingles than this are signed together, many at a time.
 FEW = 24
 
@@ -132,9 +134,14 @@ def _sign(keyed: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return keyed.mapInArrow(sign, f"{schema}, n_shingles long, bands array<long>, sketch binary")
 
 
+def _least(threshold: float, m: int) -> float:
+    """Components of ``m`` that agree at least, but for five standard deviations, at a similarity of ``threshold``."""
+    return m * threshold - 5 * (m * threshold * (1 - threshold)) ** 0.5
+
+
 def _plausible(pairs: DataFrame, threshold: float, m: int) -> DataFrame:
     """Of ``pairs`` (a, b, and their sketches sa, sb), (a, b) of those that don't rule out a similarity of ``threshold``."""
-    least = m * threshold - 5 * (m * threshold * (1 - threshold)) ** 0.5
+    least = _least(threshold, m)
 
     def keep(batches):
         for batch in batches:
@@ -145,6 +152,76 @@ def _plausible(pairs: DataFrame, threshold: float, m: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
+def _alike(cell: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float,
+           least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, agreement) of the pairs of rows of equal ``cell`` (in order) that have unlike roots, sizes within
+    ``threshold`` and ``least`` equal components; side: 0 and 1 are compared with each other only, 2 with all."""
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))]
+    at, lag = np.arange(len(cell)), 0
+    while len(at):
+        lag += 1
+        at = at[at + lag < len(cell)]
+        at = at[cell[at] == cell[at + lag]]
+        to = at + lag
+        good = (root[at] != root[to]) & ((side[at] != side[to]) | (side[at] == 2))
+        good &= np.minimum(size[at], size[to]) >= threshold * np.maximum(size[at], size[to])
+        a, b = at[good], to[good]
+        same = (sketch[a] == sketch[b]).sum(1)
+        good = same >= least
+        out.append((a[good], b[good], same[good]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _across(buckets: DataFrame, root: DataFrame, threshold: float, m: int, nearest: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of texts of one bucket but of different classes whose sketches and sizes don't rule out
+    ``threshold``: of each text in each square those ``nearest`` by agreement, or all.
+
+    ``buckets``: (h, nid, n_shingles, sketch); root: (node, root), texts without a row are classes of their own.
+    """
+    classed = buckets.join(root.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    mixed = classed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(
+        "low <> high").select("h", F.ceil(F.col("n") / SIDE).cast("int").alias("parts"))
+    part, other = F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"), F.col("other")
+    dealt = classed.join(mixed, "h").withColumn("part", part).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select(
+        "h", F.least("part", other).alias("i"), F.greatest("part", other).alias("j"),
+        F.when(F.col("part") == other, 2).otherwise((F.col("part") > other).cast("int")).alias("side"),
+        "nid", "root", "n_shingles", "sketch")
+    cells = cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    least = _least(threshold, m)
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        h, i, j, side, nid, root, size = (t.column(c).to_numpy() for c in range(7))
+        sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, m)
+        cell = np.cumsum(np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        a, b, same = _alike(cell, side, root, size, sketch, threshold, least)
+        if nearest is not None and len(a):
+            of, to = np.concatenate((a, b)), np.concatenate((b, a))
+            order = np.lexsort((nid[to], -np.concatenate((same, same)), of))
+            of, to = of[order], to[order]
+            begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            rank = np.arange(len(of)) - np.repeat(begin, np.diff(np.append(begin, len(of))))
+            a, b = of[rank < nearest], to[rank < nearest]
+        both = np.unique(np.sort(np.stack((nid[a], nid[b]), 1), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            h, i, j = (rest.column(c).to_numpy() for c in range(3))
+            last = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            if len(last):  # the last cell may go on in the next batch
+                yield pairs(rest.slice(0, last[-1] + 1))
+                rest = rest.slice(last[-1] + 1)
+        if rest is not None and rest.num_rows:
+            yield pairs(rest)
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
 def _overlap(pairs: DataFrame, k: int) -> DataFrame:
     """Exact weighted Jaccard similarity of the texts of each row's a_text and b_text: (a, b, similarity)."""
     def compare(batches):
@@ -225,28 +302,16 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
     spokes = buckets.where("nid <> head").select("nid", "head", "n_shingles", "sketch").distinct().join(of_head, "head")
     pairs = spokes.where(like("n_shingles", "of_head")).select(
         F.col("head").alias("a"), F.col("nid").alias("b"), "sa", F.col("sketch").alias("sb"))
-    links, tried, root = None, None, None
-    while True:
-        near = _plausible(pairs, threshold, bands * rows)
-        near = materialise(near if tried is None else near.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    tried = materialise(_plausible(pairs, threshold, bands * rows), "pairs")
+    links = materialise(_similar(tried, reps, docs, k).where(F.col("similarity") >= threshold), "links")
+    root = components(links)
+    for nearest in (NEAREST, None):
+        near = materialise(_across(buckets, root, threshold, bands * rows, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = materialise(_similar(near, reps, docs, k).where(F.col("similarity") >= threshold), "links")
-        if links is not None and not found.limit(1).count():
-            break
-        links = found if links is None else links.union(found)
-        tried = near if tried is None else tried.union(near)
-        root = components(links)
-        # one text of each class in each bucket of several classes, and the next classes in the bucket's own order
-        classed = buckets.join(root.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        one = classed.groupBy("h", "root").agg(F.min(F.struct(
-            F.xxhash64("h", "nid").alias("order"), "nid", "n_shingles", "sketch")).alias("one")).select("h", "one.*")
-        row = Window.partitionBy("h").orderBy("order")
-        ahead = F.array(*(F.lead(F.struct("nid", "n_shingles", "sketch"), i).over(row) for i in range(1, NEIGHBOURS + 1)))
-        after = one.select("nid", "n_shingles", "sketch", ahead.alias("ahead")).select(
-            "nid", "n_shingles", "sketch", F.explode(F.filter("ahead", lambda x: x.isNotNull())).alias("to"))
-        after, first = after.where(like("n_shingles", "to.n_shingles")), F.col("nid") < F.col("to.nid")
-        pairs = after.select(F.least("nid", "to.nid").alias("a"), F.greatest("nid", "to.nid").alias("b"),
-                             F.when(first, F.col("sketch")).otherwise(F.col("to.sketch")).alias("sa"),
-                             F.when(first, F.col("to.sketch")).otherwise(F.col("sketch")).alias("sb"))
+        tried = tried.union(near)
+        if found.limit(1).count():
+            links = links.union(found)
+            root = components(links)
     degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links"))
     members = (texts.join(root, texts["rep"] == root["node"], "left").join(degree, texts["rep"] == degree["a"], "left")
                .select("digest", "rep", "rank", "copies", F.coalesce("root", "rep").alias("root"),

@@ -90,6 +90,26 @@ def test_chains_of_edits_and_a_large_group(spark):
     assert got == brute_classes(dict(rows))
 
 
+def star(tag, copies, rng):
+    """An original of 300 words and copies of it with 6 scattered edits each: like the original, not each other."""
+    base = [f"{tag}{i}" for i in range(300)]
+    out = [" ".join(base)]
+    for c in range(copies):
+        e = list(base)
+        for x in range(6):
+            e[50 * x + int(rng.integers(5, 45))] = f"{tag}edit{c}x{x}"
+        out.append(" ".join(e))
+    return out
+
+
+def test_star_around_an_original_in_the_middle(spark):
+    original, *copies = star("s", 1000, np.random.default_rng(3))
+    texts = [*copies[:500], original, *copies[500:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert similarity(bag(original), bag(copies[0])) >= 0.8 > similarity(bag(copies[0]), bag(copies[1]))
+    assert {r.class_id for r in bagminhash.classes(docs).collect()} == {0}
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     rows = bagminhash.classes(docs).collect()
