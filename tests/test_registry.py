@@ -39,3 +39,12 @@ def test_oracle_column_types_match(spark):
     from tools.oracle_check import type_differences
 
     assert type_differences(spark, "/root/testdata/sf0.001", list(registry.queries())) == {}
+
+
+def test_order_months_cover_the_whole_spine(spark):
+    """As many rows, orders and periods as the fee join over all periods and the record count."""
+    sf, qs = "/root/testdata/sf0.001", registry.queries()
+    shape = lambda df: df.selectExpr("count(*)", "count(DISTINCT start_interval)", "count(DISTINCT order_id)").first()
+    got = shape(qs["bi_order_months"](spark, sf))
+    assert got == shape(qs["bi_fee_rev_in_period"](spark, sf))
+    assert got[0] == qs["bi_record_count"](spark, sf).first()[0] and got[1] == registry.WORKBOOK.last_index + 1
