@@ -53,7 +53,15 @@ class ByteTokenizer:
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        # added tokens are found in the text before it is split; of those at one place the longest
+        added = sorted(tokenizer.get_added_tokens_decoder().items(), key=lambda x: -len(x[1].content))
+        self.added = [t.content for _, t in added]
+        self.added_ids = [np.array([i], "<u4").tobytes() for i, _ in added]
+        self.added_at = regex.compile("|".join(
+            "(" + (r"\s*" if t.lstrip else "") + (r"(?<!\w)" if t.single_word else "") + regex.escape(t.content)
+            + (r"(?!\w)" if t.single_word else "") + (r"\s*" if t.rstrip else "") + ")" for _, t in added))
         self.split = regex.compile(pattern).findall
         self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
@@ -67,6 +75,15 @@ class ByteTokenizer:
         return got
 
     def ids(self, text: str) -> bytes:
+        if not any(t in text for t in self.added):
+            return self._between(text)
+        out, at = [], 0
+        for m in self.added_at.finditer(text):
+            out += [self._between(text[at:m.start()]), self.added_ids[m.lastindex - 1]]
+            at = m.end()
+        return b"".join([*out, self._between(text[at:])])
+
+    def _between(self, text: str) -> bytes:
         out, cache = [], self.cache
         for c in chunks(text):
             got = cache.get(c)

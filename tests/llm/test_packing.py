@@ -69,3 +69,12 @@ def test_pack_against_the_tokenizer(spark, make):
 
 def test_empty(spark):
     assert packing.pack(empty_documents(spark)).count() == 0
+
+
+def test_added_tokens_in_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, theirs = packing.ByteTokenizer(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y <|endoftext|", "<|endoftext|> \n<|endoftext|>z"):
+        got = np.frombuffer(mine.ids(text), "<u4").tolist()
+        assert got == theirs.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(mine.ids("a <|endoftext|> b"), "<u4")
