@@ -19,8 +19,6 @@ from .common import materialise, row_slices, text_buffers
 DIMENSIONS = 1 << 12
 #: At most this many labelled documents are fitted on, shared evenly among the languages.
 SAMPLE_DOCUMENTS = 3000
-#: The languages with most labelled documents, if there are more than this.
-MAX_LANGUAGES = 100
 UNKNOWN = "und"
 #: Families of closely related languages; any other language is a family of its own.
 FAMILIES = {
@@ -109,14 +107,14 @@ def fit(training: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE_
     """
     rows = training.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(
-        F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+        F.desc("n"), "lang").collect()}
     if not sizes:
         return {"languages": [], "machines": {}}
     each = max(2, sample // len(sizes))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 11) / F.lit(float(1 << 53))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():  # a little more than needed; the rank below cuts to size
-        share = F.when(F.col("lang") == lang, min(1.0, (each + 6 * each ** 0.5) / n)).otherwise(share)
+    # a little more than needed; the rank below cuts to size
+    shares = F.create_map(*(F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, (each + 6 * each ** 0.5) / n))))
+    share = F.try_element_at(shares, F.col("lang"))
     few = rows.withColumn("draw", draw).where(F.col("draw") < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
     few = few.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", _padded(F.col("text")).alias("padded"))

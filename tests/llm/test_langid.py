@@ -41,3 +41,11 @@ def test_odd_documents(spark):
     assert langid.identify(empty_documents(spark)).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    """More than a hundred labels, the last with fewer documents than the others."""
+    langs = [f"{base}-{i}" for base in ("en", "es", "pl") for i in range(37)]
+    rows = [(100 * n + i, f"k{n} word{n} and{n}", la) for n, la in enumerate(langs) for i in range(2 if n == 110 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, 64, 222)["languages"] == sorted(langs)
