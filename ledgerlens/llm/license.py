@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 A block that a license template helps to compress is likely to be worded like it.  Candidate blocks (sentences, lines
-and stretches of lines around license words; their words in lower case) are compressed with zstandard, alone and with
+and stretches of a template's length around license words; their words in lower case) are compressed with zstandard, alone and with
 each template as raw dictionary; templates are ranked by how much they reduce the size.  The best ones are then
 confirmed by comparing their words with the block's: a winner must have its words in order in the block with few
 differences.
@@ -57,7 +57,7 @@ HINT = r"(?i)licen[sc]|copyright|warrant|permission|redistribut|public domain|cr
 #: Share of a template's words that the block must have in order, and of differing words that it may have besides.
 MIN_SHARE = 0.85
 MAX_EXTRA = 0.25
-#: Least reduction of the compressed size for a template to be looked at.
+#: Least reduction of the compressed size for a template to be looked at, as a share of the block's size or the template's own.
 MIN_REDUCTION = 0.25
 LEVEL = 3
 _WORDS = regex.compile(r"[\p{L}\p{N}]+(?:[.\-/][\p{L}\p{N}]+)*")
@@ -74,8 +74,9 @@ class Scanner:
 
         self.templates = [(name, text, words(text)) for name, text in templates]
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.given = []
+        self.given, self.own = [], []
         for _, _, w in self.templates:
+            self.own.append(len(self.plain.compress(" ".join(w).encode())))
             raw = zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False))
         self.hint = regex.compile(HINT)
@@ -83,13 +84,16 @@ class Scanner:
         self.known: dict[str, list[tuple[float, int]]] = {}
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(reduction, template), the largest reduction first, by compressed size with each template against none."""
+        """(reduction, template), the largest reduction first, by compressed size with each template against none.
+
+        A template is looked at if it saves a share of the block's size or, in a longer block, of its own.
+        """
         got = self.known.get(block)
         if got is None:
             data = " ".join(words(block)).encode("utf-8", "replace")
             alone = len(self.plain.compress(data))
             got = sorted(((1 - len(c.compress(data)) / alone, -i) for i, c in enumerate(self.given)), reverse=True)
-            got = [(r, -i) for r, i in got if r >= MIN_REDUCTION]
+            got = [(r, -i) for r, i in got if r >= MIN_REDUCTION or r * alone >= MIN_REDUCTION * self.own[-i]]
             if len(self.known) > 10_000:
                 self.known.clear()
             if len(block) < 1000:
@@ -97,33 +101,36 @@ class Scanner:
         return got
 
     def blocks(self, text: str):
-        """Candidate blocks (first and last character) of a text: sentences with a hint, the lines around them up to a template's
-        length on both sides, and runs of such sentences, so that wordings over several sentences or lines stand whole."""
-        spans, lines, at, reach = [], [], 0, 8 * self.longest
+        """Candidate blocks (first and last character) of a text: sentences with a hint, lines with one, and stretches with a
+        template's length on both sides of each hint, over the lines around, so that wordings over several sentences or
+        lines stand whole."""
+        lines, at, reach = [], 0, 8 * self.longest
         for line in text.split("\n"):
             if hints := [m.start() for m in self.hint.finditer(line)]:
                 lines.append((at + max(0, hints[0] - reach), at + min(len(line), hints[-1] + reach)))
                 cut = [m.end() for m in _SENTENCE.finditer(line)]
                 for a, b in zip([0, *cut], [*cut, len(line)], strict=True):
                     if self.hint.search(line, a, b):
-                        spans.append((at + a, at + b))
+                        yield at + a, at + b
             at += len(line) + 1
-        yield from spans
         yield from lines
-        for a, b in self._merged(lines):
-            yield a, b
-
-    def _merged(self, spans):
-        """Runs of hinted sentences that lie within a template's reach of each other."""
-        reach, run = 8 * self.longest, []
-        for a, b in spans:
-            if run and (a - run[-1][1] > reach or b - run[0][0] > 4 * reach):
-                if len(run) > 1:
-                    yield run[0][0], run[-1][1]
-                run = []
-            run.append((a, b))
-        if len(run) > 1:
-            yield run[0][0], run[-1][1]
+        yield from self._stretches(text, reach)
+
+    def _stretches(self, text: str, reach: int):
+        """What lies within ``reach`` of hints; long runs are cut into stretches of 4 * reach that overlap by 2 * reach, so that
+        any wording of up to that length is whole in one."""
+        run: list[list[int]] = []
+        for m in self.hint.finditer(text):
+            a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+            if run and a <= run[-1][1]:
+                run[-1][1] = b
+            else:
+                run.append([a, b])
+        for a, b in run:
+            yield a, min(b, a + 4 * reach)
+            while b - a > 4 * reach:
+                a += 2 * reach
+                yield a, min(b, a + 4 * reach)
 
     def confirm(self, block: str, template: int) -> tuple[float, int, int, int, int]:
         """(share of the template's words found in order, words missing, words too many inside the matched stretch, and the
@@ -133,14 +140,24 @@ class Scanner:
         match = [m for m in difflib.SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
         if not match:
             return 0.0, len(want), 0, 0, 0
+        # words that stand alone, far before or after the others, are not part of the wording
+        extra = lambda: match[-1].a + match[-1].size - match[0].a - sum(m.size for m in match)
+        while len(match) > 1 and extra() > MAX_EXTRA * len(want):
+            left, right = match[1].a - match[0].a - match[0].size, match[-1].a - match[-2].a - match[-2].size
+            del match[0 if left - match[0].size >= right - match[-1].size else -1]
         found = sum(m.size for m in match)
         first, last = match[0].a, match[-1].a + match[-1].size - 1
         return found / len(want), len(want) - found, last + 1 - first - found, spans[first][1], spans[last][2]
 
     def scan(self, text: str) -> list[tuple]:
-        """(start, end, license, template, reduction, missing, extra) of confirmed blocks, best template each, without overlaps."""
-        found = []
-        for a, b in dict.fromkeys(self.blocks(text)):
+        """(start, end, license, template, reduction, missing, extra) of confirmed blocks, best template each, without overlaps.
+
+        What a block has before and after its wording is looked at again, so that it may have several.
+        """
+        found, todo = [], list(dict.fromkeys(self.blocks(text)))
+        seen = set(todo)
+        while todo:
+            a, b = todo.pop()
             block, best = text[a:b], None
             for reduction, i in self.ranked(block):
                 share, missing, extra, first, last = self.confirm(block, i)
@@ -150,7 +167,11 @@ class Scanner:
                         best = (key, (a + first, a + last, self.templates[i][0], i, reduction, missing, extra))
             if best:
                 found.append(best)
-        found.sort(key=lambda x: (-len(self.templates[x[1][3]][2]), x[1][0]))
+                for rest in ((a, best[1][0]), (best[1][1], b)):
+                    if rest not in seen and self.hint.search(text, *rest):
+                        seen.add(rest)
+                        todo.append(rest)
+        found.sort(key=lambda x: (-len(self.templates[x[1][3]][2]), x[1][0], x[1][5] + x[1][6]))
         kept: list[tuple] = []
         for _, f in found:
             if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):

@@ -1,3 +1,5 @@
+import textwrap
+
 from ledgerlens.llm import license
 
 from .helpers import documents, empty_documents, odd_documents
@@ -41,3 +43,30 @@ def test_test_tables_against_their_lines(spark):
 def test_odd_documents(spark):
     assert license.scan_licenses(odd_documents(spark)).count() == 0
     assert license.scan_licenses(empty_documents(spark)).count() == 0
+
+
+def test_wrapped_templates(spark):
+    """Every template in lines of 40, 60 and 72 columns, among other lines."""
+    want, texts = [], []
+    for width in (40, 60, 72):
+        for name, t in license.TEMPLATES:
+            want.append(name)
+            texts.append("First line of a file.\n\n" + textwrap.fill(t, width, break_long_words=False, break_on_hyphens=False) + "\n\nimport this\n")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license.scan_licenses(docs).collect()
+    assert sorted((r.doc_id, r.license) for r in rows) == list(enumerate(want))
+    assert all(r.exact for r in rows)
+
+
+def test_dense_hints_and_long_sentences(spark):
+    """A wrapped text amid many hinted lines at any place, several notices in one text, and one in a sentence without stops."""
+    wrapped, mpl = textwrap.fill(MIT, 60), textwrap.fill(license.TEMPLATES[10][1], 60)
+    dull = "the permission line number {} says nothing\n"
+    texts = ["".join(dull.format(i) for i in range(n)) + wrapped + "\n" + "".join(dull.format(i) for i in range(60)) for n in range(0, 120, 7)]
+    got = scan(spark, texts)
+    assert {i: r.license for i, r in got.items()} == dict.fromkeys(range(len(texts)), "MIT")
+    long = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(0, f"{mpl}\n\nand\n\n{wrapped}\n\nand\n\n{mpl}"), (1, f"{long} Licensed under CC BY 4.0 {long}")],
+                                 "doc_id long, text string")
+    assert sorted((r.doc_id, r.license) for r in license.scan_licenses(docs).collect()) == [
+        (0, "MIT"), (0, "MPL-2.0"), (0, "MPL-2.0"), (1, "CC-BY-4.0")]
