@@ -110,6 +110,28 @@ def test_star_around_an_original_in_the_middle(spark):
     assert {r.class_id for r in bagminhash.classes(docs).collect()} == {0}
 
 
+def test_one_member_links_two_large_classes(spark):
+    """Two stars whose originals are not alike; one copy of the first is a copy of the second, too."""
+    first, *copies = star("a", 250, np.random.default_rng(5))
+    far, bridge = first.split(), first.split()
+    for x in range(12):
+        far[25 * x + 2] = f"far{x}"
+        if x < 6:
+            bridge[25 * x + 2] = f"far{x}"
+    others = []
+    for c in range(250):
+        e = list(far)
+        for x in range(6):
+            e[50 * x + 12 + c % 30] = f"other{c}x{x}"
+        others.append(" ".join(e))
+    texts = [*copies, *others, first, " ".join(bridge), " ".join(far)]
+    bags = [bag(t) for t in texts[-3:]]
+    alike = lambda x, y: sum((x & y).values()) / sum((x | y).values()) >= 0.8
+    assert alike(bags[0], bags[1]) and alike(bags[1], bags[2]) and not alike(bags[0], bags[2])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.class_id for r in bagminhash.classes(docs).collect()} == {0}
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     rows = bagminhash.classes(docs).collect()
