@@ -1,8 +1,9 @@
 """Money arithmetic that gives the same digits in every engine.
 
 Amounts are DECIMAL(18,2); sums of decimals are exact and independent of summation order, so partial/final aggregation
-across any number of tasks gives one answer.  Row-level divisions (:func:`ratio_fine`) are decimal divisions rounded half up
-at ten decimals.  Averages are ``sum / count`` computed in DOUBLE from the exact decimal sum.
+across any number of tasks gives one answer.  Rules that divide (``/ 12``, ``/ 0.33``) sum undivided amounts and divide each
+sum once (:func:`ratio_fine`), rounded half up at ten decimals.  Averages are ``sum / count`` computed in DOUBLE from the exact
+decimal sum.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FINE = "decimal(28,10)"
+WIDE = "decimal(38,10)"
 
 
 def dec(value, precision: int = 18, scale: int = 2) -> Column:
@@ -18,10 +19,11 @@ def dec(value, precision: int = 18, scale: int = 2) -> Column:
 
 
 def ratio_fine(c: Column, num: int, den: int = 1) -> Column:
-    """``c * den / num`` rounded half up at ten decimals, DECIMAL(28,10).
+    """``c * den / num`` rounded half up at ten decimals, DECIMAL(38,10)."""
+    wide = (c * F.lit(den)).cast(WIDE) if den != 1 else c.cast(WIDE)
+    return (wide / F.lit(num)).cast(WIDE)
 
-    The quotient is taken to 13 decimals first.  For the divisors used here (12 and 33) the digits beyond the tenth are
-    a multiple of 1/12 or 1/33, so the second rounding never meets a tie that the first one made.
-    """
-    wide = c.cast("decimal(28,10)") * F.lit(den) if den != 1 else c.cast("decimal(28,10)")
-    return (wide / F.lit(num)).cast(FINE)
+
+def share_of_sum(c: Column, num: int) -> Column:
+    """``sum(c) / num`` of undivided amounts, as DOUBLE."""
+    return ratio_fine(F.sum(c), num).cast("double")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 
 def split_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left") -> DataFrame:
-    """Join on ``left_key = right_key`` (column names that differ)."""
+    """Merge join on ``left_key = right_key`` (column names that differ) of two sides as large as facts are."""
     l, r = left[left_key], right[right_key]
-    return left.join(right, (F.xxhash64(l) == F.xxhash64(r)) & (l == r), how)
+    return left.join(right.hint("merge"), (F.xxhash64(l) == F.xxhash64(r)) & (l == r), how)
 
 
 def spread_nulls(key: Column, unique: Column) -> Column:

@@ -35,11 +35,11 @@ def now_of(spine: Spine) -> str:
     return f"TIMESTAMP '{spine.as_of.isoformat(sep=' ')}'"
 
 
-def share_of(x: str, num: int, den: int = 1) -> str:
-    """x * den / num, rounded half away from zero at ten decimals."""
-    scaled = f"abs(CAST(({x}) * 10000000000 AS HUGEINT))"
-    return (f"CAST(CAST(sign({x}) * (({scaled} * {2 * den} + {num}) // {2 * num}) AS DECIMAL(27,0)) "
-            f"* CAST(0.0000000001 AS DECIMAL(11,10)) AS DECIMAL(28,10))")
+def share_of_sum(x: str, num: int) -> str:
+    """sum(x) / num, rounded half away from zero at ten decimals; x has six decimals at most."""
+    total = f"sum(CAST(({x}) * 1000000 AS HUGEINT))"
+    return (f"CAST(CAST(sign({total}) * ((abs({total}) * 20000 + {num}) // {2 * num}) AS DECIMAL(27,0)) "
+            f"* CAST(0.0000000001 AS DECIMAL(11,10)) AS DOUBLE)")
 
 
 def by_issue(template: str) -> str:
@@ -129,13 +129,12 @@ def withdrawn() -> str:
 
 
 def revenue(spine: Spine, kind: str) -> str:
-    twelfth = share_of("total_price", 12)
     if kind == "sales":
         noun, reasons = "sale", ("subscription",)
-        amount = f"if(plan_id IN (8, 10), {twelfth}, if(direct_channel, preco, total_price))"
+        amount = "if(plan_id IN (8, 10), total_price, if(direct_channel, preco, total_price) * 12)"
     else:
         noun, reasons = "revenue", ("subscription", "monthly_fee", "overdue_monthly_fee")
-        amount = f"if(reason = 'subscription', ifnull({twelfth}, preco), paid)"
+        amount = "if(reason = 'subscription', ifnull(total_price, preco * 12), paid * 12)"
     base = {"plan": "plan_total", "rfq": "rfq_total"}
     taxed = {"plan": "- plan_total", "rfq": "- rfq_total"}
     columns = [f"{s}_share" for s in ("house", "partner", "insurer")] if kind == "sales" else []
@@ -156,32 +155,32 @@ def revenue(spine: Spine, kind: str) -> str:
 WITH {periods(spine)}, {partner_sales(reasons)},
 booked AS (  -- fan-out rows that agree in everything are one
   SELECT DISTINCT p_from, p_to, id, order_id, plan_id, partner_id, house_share, partner_share, insurer_share,
-    {withdrawn()} AS gone, CAST({amount} AS DECIMAL(28,10)) AS amount, kind
+    {withdrawn()} AS gone, CAST({amount} AS DECIMAL(22,2)) AS twelfths, kind
   FROM (SELECT *, {loc('created_at')} AS seen FROM split) AS s JOIN periods ON seen >= p_from AND seen < p_to),
 totals AS (
   SELECT p_from, p_to, order_id, count(*) AS n,
-    count(*) FILTER (kind IS DISTINCT FROM 'rfq' AND plan_id IS NOT NULL AND amount > 0) AS n_plan,
-    count(*) FILTER (kind = 'rfq' AND amount > 0) AS n_rfq, count(*) FILTER (gone) AS n_withdrawn,
-    CAST(sum(amount) AS DOUBLE) AS total,
-    CAST(sum(if(kind IS DISTINCT FROM 'rfq' AND plan_id IS NOT NULL, amount, 0)) AS DOUBLE) AS plan_total,
-    CAST(sum(if(kind = 'rfq', amount, 0)) AS DOUBLE) AS rfq_total, {mean}
+    count(*) FILTER (kind IS DISTINCT FROM 'rfq' AND plan_id IS NOT NULL AND twelfths > 0) AS n_plan,
+    count(*) FILTER (kind = 'rfq' AND twelfths > 0) AS n_rfq, count(*) FILTER (gone) AS n_withdrawn,
+    {share_of_sum("twelfths", 12)} AS total,
+    {share_of_sum("if(kind IS DISTINCT FROM 'rfq' AND plan_id IS NOT NULL, twelfths, 0)", 12)} AS plan_total,
+    {share_of_sum("if(kind = 'rfq', twelfths, 0)", 12)} AS rfq_total, {mean}
   FROM booked GROUP BY p_from, p_to, order_id)
 SELECT {DAYS}, order_id, {", ".join(columns)} FROM totals""")
 
 
 def fee_revenue(spine: Spine) -> str:
-    rated = "CASE WHEN insured AND value > 0 THEN price * {r} ELSE value END"
+    """Sums in 33rds: a phone's price is its store price / 0.33."""
+    rated = "CASE WHEN insured AND value > 0 THEN total_price * 100 * {r} ELSE value * 33 END"
     own = "if(issue_id = 4, 0.70, 0.55)"
-    tax = "CASE WHEN insured AND value > 0 THEN price * {r} * 0.1225 ELSE value * 0.0925 END"
-    columns = [f"CAST(sum({rated.format(r=own)}) AS DOUBLE) AS fee_rev",
-               f"CAST(sum(CASE WHEN insured AND value > 0 THEN price * {own} - value ELSE 0 END) AS DOUBLE) AS insurer_fee_cost",
-               "CAST(sum(CASE WHEN issue_id <> 4 AND insured AND value > 0 THEN price * 0.55 - value ELSE 0 END) AS DOUBLE) AS q_insurer_fee_cost",
-               "CAST(sum(CASE WHEN issue_id = 4 AND insured AND value > 0 THEN price * 0.70 - value ELSE 0 END) AS DOUBLE) AS rf_insurer_fee_cost",
-               f"-CAST(sum({tax.format(r=own)}) AS DOUBLE) AS fee_tax"]
+    tax = "CASE WHEN insured AND value > 0 THEN total_price * {r} * 12.25 ELSE value * 3.0525 END"
+    billed = "CASE WHEN {test} insured AND value > 0 THEN total_price * 100 * {r} - value * 33 ELSE 0 END"
+    measures = {"fee_rev": rated.format(r=own), "insurer_fee_cost": billed.format(test="", r=own),
+                "q_insurer_fee_cost": billed.format(test="issue_id <> 4 AND", r="0.55"),
+                "rf_insurer_fee_cost": billed.format(test="issue_id = 4 AND", r="0.70"), "fee_tax": tax.format(r=own)}
     for n, k in ISSUES:  # an unknown issue counts in every column
         r = "0.70" if k == 4 else "0.55"
-        columns += [f"CAST(sum(if(issue_id <> {k}, 0, {rated.format(r=r)})) AS DOUBLE) AS fee_rev_{n}",
-                    f"-CAST(sum(if(issue_id <> {k}, 0, {tax.format(r=r)})) AS DOUBLE) AS fee_tax_{n}"]
+        measures |= {f"fee_rev_{n}": f"if(issue_id <> {k}, 0, {rated.format(r=r)})", f"fee_tax_{n}": f"if(issue_id <> {k}, 0, {tax.format(r=r)})"}
+    columns = [f"{'-' if m.startswith('fee_tax') else ''}{share_of_sum(x, 33)} AS {m}" for m, x in measures.items()]
     return with_domain(f"""
 WITH {periods(spine)},
 per_reference AS (
@@ -192,7 +191,7 @@ paid AS (
   FROM d_payments AS pay JOIN per_reference AS r ON r.ref = pay.psp_reference JOIN periods ON r.seen >= p_from AND r.seen < p_to
   WHERE pay.reason = 'repair_fee'),
 priced AS (
-  SELECT paid.*, o.plan_id IN (40, 61) AS insured, {share_of('so.total_price', 33, 100)} AS price
+  SELECT paid.*, o.plan_id IN (40, 61) AS insured, so.total_price
   FROM paid LEFT JOIN d_orders AS o ON o.id = paid.order_id LEFT JOIN d_store_orders AS so ON so.order_id = o.id)
 SELECT {DAYS}, order_id, {", ".join(columns)}
 FROM priced GROUP BY p_from, p_to, order_id""")
@@ -230,8 +229,7 @@ charged AS (
   FROM d_payments AS p LEFT JOIN d_store_orders AS so USING (order_id) LEFT JOIN d_trackings AS t USING (psp_reference)
   WHERE NOT regexp_matches(p.reason, 'repair.fee'))
 SELECT order_id, CAST(date_trunc('month', {loc('created_at')}) AS DATE) AS creation_month,
-  -CAST(sum(CASE WHEN outside THEN 0 WHEN slip THEN 2.90
-    ELSE 0.27 + if(reason = 'subscription', {share_of(card, 12)}, {card}) END) AS DOUBLE) AS plan_transaction_cost
+  -{share_of_sum(f"CASE WHEN outside THEN 0 WHEN slip THEN 2.90 * 12 ELSE 0.27 * 12 + if(reason = 'subscription', {card}, {card} * 12) END", 12)} AS plan_transaction_cost
 FROM charged GROUP BY 1, 2""")
 
 
@@ -391,7 +389,7 @@ WORKBOOK_ORDER = """o.id, o.created_at, o.user_id, o.preco, o.produto_id, o.canc
   o.disable_service_request_fee, o.device_price"""
 
 
-def bi(spine: Spine, single_order: int, shown_from: str, shown_to: str) -> dict[str, str]:
+def bi(spine: Spine, single_order: int) -> dict[str, str]:
     confirmed = f"""{activity(spine, False)},
 confirmed AS (
   SELECT a.o_id AS order_id, a.began AS order_subscribed_at, a.ended AS order_canceled_at
@@ -421,7 +419,7 @@ grid AS (SELECT p_from, p_to, c.* FROM confirmed AS c, periods)"""
                                 "price_factor, partner_price_factor, fixed_product_price, percentage_value, use_price_table, "
                                 "min_value, max_value FROM d_plans)"),
         "bi_orders": with_domain(f"SELECT {WORKBOOK_ORDER} FROM d_orders AS o"),
-        "bi_order_months": with_domain(f"WITH {whole} SELECT * FROM book WHERE start_interval BETWEEN DATE '{shown_from}' AND DATE '{shown_to}'"),
+        "bi_order_months": with_domain(f"WITH {whole} SELECT * FROM book"),
         "bi_fee_rev_in_period": with_domain(f"""WITH {rows}
 SELECT g.p_from AS start_interval, g.p_to AS end_interval, g.order_id, f.start_month, f.fee_rev, f.fee_rev_taxes, f.net_fee_rev, f.min
 FROM grid AS g LEFT JOIN dated_fees AS f ON f.order_id = g.order_id AND f.p_from = g.p_from"""),

@@ -1,28 +1,32 @@
 """Contribution margin per (month, order) — our composition of the marts.
 
-No source file contains this final step; the shared grain of the marts and
-their signs (revenue and tax credits positive, taxes and costs negative)
-make it a sum.
-
-Every mart has at most one row per (month, order), so the marts are stacked
-(``unionByName``, each contributing only its own measure columns) and
-folded with one ``groupBy`` in which each measure has exactly one non-NULL
-value per group (``max`` just picks it; partial aggregation applies).  The
-measures are then added in one fixed order, so the floating-point result
-does not depend on how rows meet across tasks — the same numbers as a
-chain of full outer joins, with one shuffle instead of eight.
+No source file contains this final step; the shared grain of the marts and their signs (revenue and tax credits positive,
+taxes and costs negative) make it a sum.
+
+Computed afresh, it is one pass: every payment meets the folds of its reference and of its order once, gives a row to
+each month it counts in (month of creation, month of the first swap it paid for), and these rows and the swapped requests go
+into one aggregate per (month, order).  Every table is read once.  Given stored marts, it stacks and folds those instead.  The
+measures are added in one fixed order, so both ways give the same digits.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.spine import Spine
+from ..functions.money import share_of_sum
+from ..functions.rates import EXTERNAL_SALE_KIND, IOF, ISS_PCT, PHONE_PRICE_NUM, PIS_COFINS_PCT
+from ..functions.text import like_pushable
+from ..functions.timeops import month_start, to_local
+from ..operators.factor import attach, copies
+from ..operators.joins import split_join, spread_nulls
+from ..operators.spine import Spine, near_spine
 from ..sources.fixtures import Domain
 from . import fees, sales_revenue, service
+from .common import dsum
 
 KEYS = ["start_interval", "order_id"]
 # category -> measures, added left to right
@@ -51,11 +55,98 @@ def _ordered_sum(cols: list[str]) -> Column:
                   F.coalesce(F.col(cols[0]), F.lit(0.0)))
 
 
-def mart_contribution_margin(dom: Domain, spine: Spine, stored: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Margin per (month, order): gross (partners' and insurers' shares included in revenue) and the house's own.
+#: Sums that a row of the pass may add to its (month, order); absent ones are null.
+SUMS = ("rows", "twelfths", "house_share", "fee_rev", "fee_tax", "fee_charge", "plan_charge", *service.FAMILIES)
 
-    ``stored`` gives marts of :data:`SOURCES` that are already written (:func:`ledgerlens.sources.sinks.read_mart`, keyed by
-    start_interval), so that a monthly run composes them, pruned by month, instead of computing them again.
+
+def payment_rows(dom: Domain, spine: Spine) -> DataFrame:
+    """(start_interval, order_id, line, sums) of every payment in every month that it counts in."""
+    fee, plan = like_pushable(F.col("reason"), "%repair_fee%"), ~F.col("reason").like("%repair_fee%")
+    repair = F.col("reason") == "repair_fee"
+    pay = dom.payments.filter(F.col("reason").isNotNull() & (near_spine("created_at", spine) | repair))
+    pay = pay.select("order_id", "reason", "value", "installments", "psp_reference", to_local("created_at").alias("created"),
+                     spread_nulls(F.col("psp_reference"), F.col("id")).alias("ref"))
+    refs = fees.requests_by_reference(dom)
+    pay = attach(pay, "ref", fees.trackings_by_reference(dom), refs)
+    j = split_join(pay, _orders(dom), "order_id", "o_id")
+
+    # months: of the creation (revenue if inside a period, transaction costs by calendar month), of the first swap (fees)
+    last = spine.start_of(F.lit(spine.last_index)).cast("date")
+
+    def period(t: Column) -> Column:
+        """Start of the period that holds ``t``, or null."""
+        k = spine.index_of(t)
+        return F.when((k >= 0) & (k <= spine.last_index) & (t < spine.end_of(k)), spine.start_of(k).cast("date"))
+
+    def days(x: Column) -> Column:
+        month = month_start(x["created"])
+        return F.struct(
+            F.when(x["reason"].isin("subscription", "monthly_fee", "overdue_monthly_fee"), period(x["created"])).alias("revenue"),
+            F.when(month.between(F.lit(spine.start), last), month).alias("charge"),
+            F.when((x["reason"] == "repair_fee") & x["first"].isNotNull(), period(to_local(x["first"]))).alias("fee"))
+
+    def entries(d: Column) -> Column:
+        same = F.coalesce(d["revenue"] == d["charge"], F.lit(False))
+        entry = lambda day, **on: F.struct(day.alias("day"), *[
+            (on[n] if n in on else F.lit(False)).alias(n) for n in ("revenue", "charge", "fee")])
+        return F.filter(F.array(entry(d["revenue"], revenue=F.lit(True), charge=same),
+                                entry(F.when(~same, d["charge"]), charge=F.lit(True)),
+                                entry(d["fee"], fee=F.lit(True))), lambda e: e["day"].isNotNull())
+
+    facts = F.struct(F.col("reason").alias("reason"), F.col("created").alias("created"), F.col("request_first").alias("first"))
+    e = j.select("*", F.explode(F.flatten(F.transform(F.transform(F.array(facts), days), entries))).alias("e"))
+    e = e.withColumn("sale_n", F.when(~F.col("e.fee") | F.col("known"), F.col("sale_n")))
+    terms = sales_revenue.payment_terms(sales_revenue.REVENUE, F.col("value"))
+    bill = fees.fee_terms()
+    on = {"rows": ("revenue", terms["rows"]), "twelfths": ("revenue", terms["twelfths"]), "house_share": ("revenue", terms["house_share"]),
+          "fee_rev": ("fee", bill["fee_rev"]), "fee_tax": ("fee", bill["fee_tax"]),
+          "fee_charge": ("charge", F.when(fee, fees.fee_charge() * copies("request"))),
+          "plan_charge": ("charge", F.when(plan, fees.plan_charge()))}
+    return e.select(F.col("e.day").alias("start_interval"), "order_id", sales_revenue.line_class().alias("line"),
+                    *[F.when(F.col(f"e.{tag}"), c).alias(n) for n, (tag, c) in on.items()])
+
+
+def _orders(dom: Domain) -> DataFrame:
+    """One row per order: revenue terms, and numbers and prices of its store orders, from one pass over the order's tables."""
+    terms = sales_revenue.order_terms(dom, sale_kinds=True)
+    # share windows repeat a store order; the first of its rows stands for it
+    once = F.row_number().over(Window.partitionBy("o_id", "sale_id").orderBy("rs_value")) == 1
+    sale = F.col("sale_id").isNotNull() & F.col("first_row")
+    sums = {"sale_n": F.count(F.when(sale, 1)), "sale_outside": F.count(F.when(sale & (F.col("kind") == EXTERNAL_SALE_KIND), 1)),
+            "sale_priced": F.count(F.when(sale, F.col("total_price"))), "sale_total": F.sum(F.when(sale, F.col("total_price"))),
+            "known": F.count(F.when(F.col("known"), 1))}
+    per_order = sales_revenue.order_revenue(terms.withColumn("first_row", once), sales_revenue.REVENUE, **sums)
+    known = F.col("known") > 0  # store orders of a missing order count in transaction costs only
+    own = [F.when(known, F.col(c)).alias(c) for c in per_order.columns if c.startswith(("sub_", "fee_"))]
+    return per_order.select("o_id", "plan_id", "withdrawn", *own, known.alias("known"), F.nullif("sale_n", F.lit(0)).alias("sale_n"),
+                            "sale_outside", "sale_priced", "sale_total")
+
+
+def _fresh(dom: Domain, spine: Spine) -> DataFrame:
+    """Measures per (month, order) from one pass over the tables."""
+    requests = service.request_costs(dom, spine).select(F.col("start_interval").cast("date").alias("start_interval"), "order_id",
+                                                        F.lit(0).alias("line"), *service.FAMILIES)
+    g = payment_rows(dom, spine).unionByName(requests, allowMissingColumns=True).groupBy(*KEYS).agg(
+        F.max("line").alias("line"), F.sum("rows").alias("n"), F.sum("house_share").cast("double").alias("house"),
+        share_of_sum(F.col("twelfths"), 12).alias("total_revenue"),
+        share_of_sum(F.col("fee_rev"), PHONE_PRICE_NUM).alias("fee_rev"), (-share_of_sum(F.col("fee_tax"), PHONE_PRICE_NUM)).alias("fee_tax"),
+        (-dsum(F.col("fee_charge"))).alias("fee_transaction_cost"), (-share_of_sum(F.col("plan_charge"), 12)).alias("plan_transaction_cost"),
+        *[dsum(F.col(c)).alias(c) for c in service.FAMILIES])
+    plan = F.when(F.col("line") == 1, F.col("total_revenue")).otherwise(0.0)
+    rfq = F.when(F.col("line") == 2, F.col("total_revenue")).otherwise(0.0)
+    share = F.when(F.col("n") > 0, F.col("house") / F.col("n"))
+    k, pis, iss, hundred = F.lit(float(1 - Decimal(IOF))), F.lit(float(PIS_COFINS_PCT)), F.lit(float(ISS_PCT)), F.lit(100.0)
+    return g.withColumns({
+        "plan_revenue_pis_cofins": -plan * pis / hundred, "rfq_revenue_pis_cofins": -rfq * k * pis / hundred,
+        "rfq_revenue_iss": -rfq * k * iss / hundred, "house_plan_revenue": plan * share, "house_rfq_revenue": rfq * share,
+        "house_plan_revenue_pis_cofins": -plan * share * pis / hundred, "house_rfq_revenue_pis_cofins": -rfq * share * pis / hundred,
+        "house_rfq_revenue_iss": -rfq * share * iss / hundred})
+
+
+def _stacked(dom: Domain, spine: Spine, stored: dict[str, DataFrame]) -> DataFrame:
+    """Measures per (month, order) from the marts of :data:`SOURCES`, stored ones where given.
+
+    Every mart has at most one row per (month, order), so each measure has one non-null value per group of the stack.
     """
     build = {
         "plan_revenue": lambda: sales_revenue.mart_plan_revenue(dom, spine),
@@ -67,13 +158,22 @@ def mart_contribution_margin(dom: Domain, spine: Spine, stored: dict[str, DataFr
     }
     last_start = spine.start_of(F.lit(spine.last_index)).cast("date")
     in_spine = F.col("start_interval").between(F.lit(spine.start), last_start)
-    parts = {name: stored[name].filter(in_spine) if stored and name in stored else make() for name, make in build.items()}
+    parts = {name: stored[name].filter(in_spine) if name in stored else make() for name, make in build.items()}
     every = [m for cols in SOURCES.values() for m in cols]
     frames = [parts[name].select(*KEYS, *[F.col(m) if m in cols else F.lit(None).cast("double").alias(m)
                                          for m in every])
               for name, cols in SOURCES.items()]
     stacked = reduce(lambda a, b: a.unionByName(b), frames)
-    folded = stacked.groupBy(*KEYS).agg(*[F.max(m).alias(m) for m in every])
+    return stacked.groupBy(*KEYS).agg(*[F.max(m).alias(m) for m in every])
+
+
+def mart_contribution_margin(dom: Domain, spine: Spine, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Margin per (month, order): gross (partners' and insurers' shares included in revenue) and the house's own.
+
+    ``stored`` gives marts of :data:`SOURCES` that are already written (:func:`ledgerlens.sources.sinks.read_mart`, keyed by
+    start_interval), so that a monthly run composes them, pruned by month, instead of computing them again.
+    """
+    folded = _stacked(dom, spine, stored) if stored else _fresh(dom, spine)
     cats = {cat: _ordered_sum(cols) for cat, cols in MEASURES.items()}
     out = folded.select(*KEYS, *[c.alias(n) for n, c in cats.items()])
     margin = lambda pre: (F.col(f"{pre}revenue") + F.col(f"{pre}taxes")) + F.col("costs")

@@ -81,7 +81,7 @@ class Domain:
         """A driver table."""
         if self.sf_dir is None:
             raise KeyError(f"no source for raw table {name}")
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.memo(("raw", name), lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)

@@ -71,7 +71,7 @@ def test_period_range_reaches_the_scan(spark):
     swapped = service.swapped_requests(dom, month)
     assert "GreaterThanOrEqual(swapped_at,2000-01-31" in plans[1] and swapped.count() == 1
     fee = fees.repair_fee_payments_by_period(dom, month)
-    assert "LessThan(swapped_at,2000-03-03" in plans[2] and fee.count() == 1
+    assert fee.count() == 1  # requests are read whole: those of a reference are counted whenever they were swapped
 
 
 def test_reason_filter_reaches_the_scan(spark):
