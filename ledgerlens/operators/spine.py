@@ -97,6 +97,12 @@ class Spine:
             return _add_months(self.start, self.periods * self.step)
         return self.start + dt.timedelta(days=self.periods * self.step)
 
+    def bounds(self) -> list[tuple[dt.datetime, dt.datetime]]:
+        """Start and end of every period."""
+        at = lambda k: _add_months(self.start, k * self.step) if self.monthly else self.start + dt.timedelta(days=k * self.step)
+        starts = [dt.datetime.combine(at(k), dt.time()) for k in range(self.periods + 1)]
+        return [(a, b - dt.timedelta(seconds=1)) for a, b in zip(starts, starts[1:])]
+
     # ---- column arithmetic --------------------------------------------------------
     def index_of(self, ts: Column) -> Column:
         """Index of the period whose start is the last one <= ts (may be < 0)."""

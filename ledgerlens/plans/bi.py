@@ -32,15 +32,20 @@ ORDER_COLUMNS = ("id", "created_at", "user_id", "preco", "produto_id", "canceled
 
 def bi_selected_orders(dom: Domain, as_of) -> DataFrame:
     """Confirmed orders with first and last activity (raw UTC)."""
+    return _selected(dom, as_of, ())
+
+
+def _selected(dom: Domain, as_of, columns: tuple[str, ...]) -> DataFrame:
+    """Confirmed orders with first and last activity and ``columns`` of the order, from one pass over the orders."""
     sr = (dom.service_requests.groupBy("order_id")
           .agg(F.min("arrived_at").alias("first_arrived"),
                F.max(F.coalesce("closed_at", "tracked_at", "arrived_at")).alias("last_touch")))
-    o = dom.orders.filter(F.col("payment_confirmed")).select("id", "subscribed_at", "canceled_at")
-    return (o.join(sr, o["id"] == sr["order_id"], "left")
+    o = dom.orders.filter(F.col("payment_confirmed")).select(*dict.fromkeys(("id", "subscribed_at", "canceled_at", *columns)))
+    return (o.join(sr.hint("merge"), o["id"] == sr["order_id"], "left")  # as many orders on either side
             .select(F.col("id").alias("order_id"),
                     F.least("subscribed_at", "first_arrived").alias("order_subscribed_at"),
                     F.greatest(F.coalesce(F.col("canceled_at"), ntz(as_of)), F.col("last_touch"))
-                    .alias("order_canceled_at")))
+                    .alias("order_canceled_at"), *columns))
 
 
 def bi_fee_rev_draft(dom: Domain) -> DataFrame:
@@ -71,25 +76,38 @@ def _fee_in_periods(dom: Domain, spine: Spine) -> DataFrame:
 
 def _order_tree(dom: Domain, spine: Spine) -> DataFrame:
     """Confirmed orders with their order and plan columns (one row per order)."""
-    sel = bi_selected_orders(dom, spine.as_of)
-    o, pl = bi_orders(dom), bi_plans(dom)
-    return sel.join(o, sel["order_id"] == o["id"], "left").join(pl, F.col("plan_id") == pl["id_plans"], "left")
+    sel, pl = _selected(dom, spine.as_of, ORDER_COLUMNS), bi_plans(dom)
+    return sel.join(pl, F.col("plan_id") == pl["id_plans"], "left")
 
 
 def _with_fees(tree: DataFrame, dom: Domain, spine: Spine) -> DataFrame:
-    """Orders with their dated fee rows in an array: at most one row per order and month, so its size is bounded."""
-    row = F.struct("_k", F.col("order_id").alias("fee_order_id"), "start_month", "fee_rev", "fee_rev_taxes", "net_fee_rev", "min")
-    fee = _fee_in_periods(dom, spine).groupBy(F.col("order_id").alias("f_order")).agg(F.collect_list(row).alias("fees"))
-    return tree.join(fee, tree["order_id"] == fee["f_order"], "left").drop("f_order")
+    """Orders with ``fees``, their dated fee rows by period index, and ``more``, the (index, number) of those beyond the first of
+    a period.  An order has at most one fee row per month, so both are bounded."""
+    row = F.struct(F.col("order_id").alias("fee_order_id"), "start_month", "fee_rev", "fee_rev_taxes", "net_fee_rev", "min")
+    per = _fee_in_periods(dom, spine).groupBy(F.col("order_id").alias("f_order"), "_k").agg(F.collect_list(row).alias("rows"))
+    beyond = lambda e: F.transform(F.slice(F.sequence(F.lit(0), F.size(e["rows"]) - 1), 2, 1 << 30),
+                                   lambda i: F.struct(e["_k"].alias("k"), i.alias("i")))
+    fee = per.groupBy("f_order").agg(F.collect_list(F.struct("_k", "rows")).alias("entries")).select(
+        "f_order", F.map_from_entries("entries").alias("fees"), F.flatten(F.transform("entries", beyond)).alias("more"))
+    return tree.join(fee.hint("merge"), tree["order_id"] == fee["f_order"], "left").drop("f_order")
 
 
 def _expanded(orders: DataFrame, spine: Spine, first: int, last: int | None) -> DataFrame:
-    """One row per order and period (and fee row of both, if any): narrow expansions, nothing is shuffled afterwards."""
-    last = spine.last_index if last is None else min(last, spine.last_index)
-    ks = F.sequence(F.lit(max(first, 0)).cast("long"), F.lit(last).cast("long"))
-    rows = orders.withColumn("_k", F.explode(ks if last >= max(first, 0) else F.array().cast("array<long>")))
-    rows = rows.withColumn("_f", F.explode_outer(F.filter("fees", lambda f: f["_k"] == F.col("_k"))))
-    return rows.withColumn("start_interval", spine.start_of(F.col("_k"))).withColumn("end_interval", spine.end_of(F.col("_k")))
+    """One row per order and period (and fee row of both, if any), with ``start_interval``, ``end_interval`` and the fee row ``_f``.
+
+    Period bounds are a constant array, fee rows a map by period, so a row costs two lookups; nothing is shuffled afterwards.
+    """
+    first, last = max(first, 0), spine.last_index if last is None else min(last, spine.last_index)
+    slot = "struct<k: bigint, i: int, s: timestamp_ntz, e: timestamp_ntz>"
+    slots = ", ".join(f"named_struct('k', {k}L, 'i', 0, 's', TIMESTAMP_NTZ '{a}', 'e', TIMESTAMP_NTZ '{b}')"
+                      for k, (a, b) in enumerate(spine.bounds()) if first <= k <= last)
+    fixed = F.expr(f"CAST(array({slots}) AS array<{slot}>)")
+    shown = F.filter("more", lambda m: (m["k"] >= first) & (m["k"] <= last))
+    further = F.transform(shown, lambda m: F.struct(m["k"].alias("k"), m["i"].alias("i"), F.get(fixed, (m["k"] - first).cast("int"))["s"].alias("s"),
+                                                    F.get(fixed, (m["k"] - first).cast("int"))["e"].alias("e")).cast(slot))
+    rows = orders.withColumn("_p", F.explode(F.when(F.coalesce(F.size("more"), F.lit(0)) > 0, F.concat(fixed, further)).otherwise(fixed)))
+    return rows.withColumns({"start_interval": F.col("_p.s"), "end_interval": F.col("_p.e"),
+                             "_f": F.get(F.try_element_at("fees", F.col("_p.k")), F.col("_p.i"))})
 
 
 FEE_COLUMNS = ("fee_order_id", "start_month", "fee_rev", "fee_rev_taxes", "net_fee_rev", "min")
