@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeops import to_local
+from ..operators.joins import split_join
 from ..operators.validity import valid_time_join
 from ..sources.fixtures import Domain
 
@@ -75,27 +76,47 @@ LOOKUP_COLUMNS = (
 )
 
 
+#: A list of at most so many keys is written into the scans' filters; a longer one is left to the joins.
+MOST_KEYS = 1000
+
+
+def _few_keys(df: DataFrame, column: str) -> list | None:
+    """The distinct non-null values of a column, or None if they are more than :data:`MOST_KEYS`."""
+    got = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_KEYS + 1).collect()
+    return [r[0] for r in got] if len(got) <= MOST_KEYS else None
+
+
+def _only(df: DataFrame, column: str, keys: list | None) -> DataFrame:
+    """Rows of the given keys; an equality list that reaches the scan."""
+    return df if keys is None else df.filter(F.col(column).isin(keys))
+
+
 def lookup_payment_360(dom: Domain, psp_reference: str | None = None) -> DataFrame:
     """Everything known about a payment: order, customer, store, seller, plan,
     requests and product.
 
     No filter by default (every payment; requests of the order fan out).
-    ``psp_reference`` narrows it to one payment and is pushed to the scan.
+    ``psp_reference`` narrows it to one payment: the orders of its payments, then their customers, are looked up first, and these
+    few keys prune the scans of all large tables.
     The partners join of the source contributes no column and partner ids
-    are unique, so it is left out.  Dimensions are attached at the grain of the order and of the store order, before
-    payments and requests fan out.
+    are unique, so it is left out.  Dimensions are attached at the grain of the order and of the store order, and all that an order
+    has is joined at the order's grain; payments then meet it in one join that adaptive execution may split, so that a hot order is
+    dealt to many tasks, each with a copy of what that order has.
     """
     pay = dom.payments.select(F.col("order_id"), "installments", "psp_reference")
     if psp_reference is not None:
         pay = pay.filter(F.col("psp_reference") == psp_reference)
-    o = dom.orders.select(F.col("id").alias("o_id"), "source", "canceled", "user_id", "user_cpf", "plan_id",
+    wanted = _few_keys(pay, "order_id") if psp_reference is not None else None
+    orders = _only(dom.orders, "id", wanted)
+    customers = _few_keys(orders, "user_id") if wanted is not None else None
+    o = orders.select(F.col("id").alias("o_id"), "source", "canceled", "user_id", "user_cpf", "plan_id",
                           "produto_id")
-    so = dom.store_orders.select(F.col("order_id").alias("so_order_id"), F.col("store_id").alias("so_store_id"),
-                                 "seller_identifier", F.col("seller_id"), "imei", "plan_type", "bought_type",
+    so = _only(dom.store_orders, "order_id", wanted).select(
+        F.col("order_id").alias("so_order_id"), F.col("store_id").alias("so_store_id"), "seller_identifier", F.col("seller_id"), "imei", "plan_type", "bought_type",
                                  "sales_kind_id", "invoice_number")
-    sr = dom.service_requests.select(F.col("order_id").alias("sr_order_id"), "user_service_requests_count",
-                                     "order_service_requests_count")
-    users = dom.users.select(F.col("id").alias("u_id"), F.col("name").alias("user_name"), "email", "phonenumber",
+    sr = _only(dom.service_requests, "order_id", wanted).select(F.col("order_id").alias("sr_order_id"), "user_service_requests_count",
+                                                                "order_service_requests_count")
+    users = _only(dom.users, "id", customers).select(F.col("id").alias("u_id"), F.col("name").alias("user_name"), "email", "phonenumber",
                              "address_street", "address_zipcode", "address_number", "address_neighborhood",
                              "address_complement", "address_city", "address_state", "orders_count",
                              "sign_in_count", "cellphone_number")
@@ -105,17 +126,16 @@ def lookup_payment_360(dom: Domain, psp_reference: str | None = None) -> DataFra
     pr = dom.produtos.select(F.col("id").alias("pr_id"), "modelo", "marca_id")
     br = dom.marcas.select(F.col("id").alias("br_id"), "marca_nome")
     se = dom.sellers.select(F.col("id").alias("se_id"), F.col("name").alias("seller_name"))
-    # customers, plans and products meet orders, stores and sellers meet store orders; payments then join narrow keys once each
+    # customers, plans and products meet orders, stores and sellers meet store orders
     bought = (o.join(users, o["user_id"] == users["u_id"], "left")
               .join(pl, F.col("plan_id") == pl["pl_id"], "left")
               .join(pr.join(br, F.col("marca_id") == br["br_id"], "left"), F.col("produto_id") == pr["pr_id"], "left"))
     sold = (so.join(st, F.col("so_store_id") == st["st_id"], "left")
             .join(sk, F.col("sales_kind_id") == sk["sk_id"], "left")
             .join(se, F.col("seller_id") == se["se_id"], "left"))
-    # keyed on the payment's order_id (guarded by a matched order), so these joins share one partitioning
-    j = (pay.join(bought, pay["order_id"] == bought["o_id"], "left")
-         .join(sold, (F.col("order_id") == sold["so_order_id"]) & F.col("o_id").isNotNull(), "left")
-         .join(sr, (F.col("order_id") == sr["sr_order_id"]) & F.col("o_id").isNotNull(), "left"))
+    whole = (bought.join(sold, F.col("o_id") == sold["so_order_id"], "left")
+             .join(sr, F.col("o_id") == sr["sr_order_id"], "left"))
+    j = split_join(pay, whole, "order_id", "o_id")
     return j.select(*LOOKUP_COLUMNS)
 
 

@@ -9,13 +9,50 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators.spine import Spine
-from ledgerlens.plans import sales_revenue
+from ledgerlens.plans import dims, sales_revenue
 from ledgerlens.sources.fixtures import Domain
 
 SPINE = Spine(dt.date(2000, 1, 1), dt.datetime(2000, 12, 15), "month", 1)
 
 
+TIGHT = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+         "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.forceOptimizeSkewedJoin": "false"}
+
+
+def test_hot_order_lookup(spark):
+    """A third of the payments belong to one order: their join is split, every row of the product stays."""
+    sf, n = "/root/testdata/sf0.001", 3000
+    base = Domain(spark, sf)
+    order = base.orders.join(base.store_orders.select("order_id"), F.col("id") == F.col("order_id")).agg(F.min("id")).first()[0]
+    others = [r.id for r in base.orders.select("id").limit(200).collect()]
+    pays = [(order if i % 3 == 0 else others[i % len(others)], i, f"p{i % 1500}") for i in range(n)]
+    dom = Domain(spark, sf, {"payments": spark.createDataFrame(pays, "order_id bigint, installments int, psp_reference string").repartition(8)})
+    before = {k: spark.conf.get(k, None) for k in TIGHT}
+    for k, v in TIGHT.items():
+        spark.conf.set(k, v)
+    try:
+        df = dims.lookup_payment_360(dom)
+        got = df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    per = lambda t: {r.order_id: r["count"] for r in base.table(t).groupBy("order_id").count().collect()}
+    sold, asked = per("store_orders"), per("service_requests")
+    assert len(got) == sum(max(1, sold.get(o, 0)) * max(1, asked.get(o, 0)) for o, _, _ in pays)
+    # one reference: the same rows, and its orders' keys in the filters of the scans
+    one = dims.lookup_payment_360(dom, "p7")
+    orders_of = {o for o, _, p in pays if p == "p7"}
+    assert sorted(map(repr, one.collect())) == sorted(repr(r) for r in got if (r.order_id, r.installments) in {(o, i) for o, i, p in pays if p == "p7"})
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert all(str(o) in plan for o in orders_of)
+
+
 def test_hot_order_revenue(spark):
     rnd = random.Random(3)
     n = 3000
@@ -37,12 +74,8 @@ def test_hot_order_revenue(spark):
                                                 "partner_id int, value decimal(5,2), begin_at timestamp_ntz, finish_at timestamp_ntz"),
     })
     # the driver's own session: no forced skew optimisation
-    tight = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1",
-             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-             "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.forceOptimizeSkewedJoin": "false"}
-    before = {k: spark.conf.get(k, None) for k in tight}
-    for k, v in tight.items():
+    before = {k: spark.conf.get(k, None) for k in TIGHT}
+    for k, v in TIGHT.items():
         spark.conf.set(k, v)
     try:
         mart = sales_revenue.mart_plan_revenue(dom.from_tables(spark, {
