@@ -458,18 +458,20 @@ SELECT *, (revenue + taxes) + costs AS contribution_margin, (house_revenue + hou
 
 
 def geo_zone_join() -> str:
-    """Corners of two fixed zones; a point is inside if a ray to its right crosses an odd number of sides."""
+    """Corners of four fixed zones, one with a hole; a point is inside if a ray to its right crosses an odd number of sides."""
     return """
-WITH corners(zone_id, zone_name, corner, cx, cy) AS (VALUES
-  (1, 'north_block', 1, 1.0::DOUBLE, 5.0::DOUBLE), (1, 'north_block', 2, 6.0, 5.5), (1, 'north_block', 3, 6.5, 9.0),
-  (1, 'north_block', 4, 2.0, 9.5),
-  (2, 'river_bend', 1, 5.0, 0.5), (2, 'river_bend', 2, 9.5, 1.0), (2, 'river_bend', 3, 9.0, 4.5), (2, 'river_bend', 4, 7.0, 2.5),
-  (2, 'river_bend', 5, 5.5, 4.0),
-  (3, 'far_field', 1, 20.0, 20.0), (3, 'far_field', 2, 21.0, 20.0), (3, 'far_field', 3, 21.0, 21.0)),
+WITH corners(zone_id, zone_name, ring, corner, cx, cy) AS (VALUES
+  (1, 'north_block', 1, 1, 1.0::DOUBLE, 5.0::DOUBLE), (1, 'north_block', 1, 2, 6.0, 5.5), (1, 'north_block', 1, 3, 6.5, 9.0),
+  (1, 'north_block', 1, 4, 2.0, 9.5),
+  (2, 'river_bend', 1, 1, 5.0, 0.5), (2, 'river_bend', 1, 2, 9.5, 1.0), (2, 'river_bend', 1, 3, 9.0, 4.5), (2, 'river_bend', 1, 4, 7.0, 2.5),
+  (2, 'river_bend', 1, 5, 5.5, 4.0),
+  (3, 'far_field', 1, 1, 20.0, 20.0), (3, 'far_field', 1, 2, 21.0, 20.0), (3, 'far_field', 1, 3, 21.0, 21.0),
+  (4, 'ring_road', 1, 1, 0.5, 0.5), (4, 'ring_road', 1, 2, 9.5, 0.25), (4, 'ring_road', 1, 3, 9.75, 9.5), (4, 'ring_road', 1, 4, 0.25, 9.75),
+  (4, 'ring_road', 2, 1, 3.0, 3.0), (4, 'ring_road', 2, 2, 7.0, 3.5), (4, 'ring_road', 2, 3, 6.5, 7.0), (4, 'ring_road', 2, 4, 3.5, 6.5)),
 sides AS (
   SELECT zone_id, zone_name, cx, cy,
     ifnull(lead(cx) OVER w, first(cx) OVER w) AS nx, ifnull(lead(cy) OVER w, first(cy) OVER w) AS ny
-  FROM corners WINDOW w AS (PARTITION BY zone_id ORDER BY corner ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  FROM corners WINDOW w AS (PARTITION BY zone_id, ring ORDER BY corner ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 points AS (SELECT event_id, (event_id * 7919) % 1000 / 100.0 AS x, (event_id * 104729) % 1000 / 100.0 AS y FROM events),
 inside AS (
   SELECT zone_id, event_id FROM points JOIN sides ON (cy > y) <> (ny > y) AND x < (nx - cx) * (y - cy) / (ny - cy) + cx

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeops import to_local
 from ..operators.joins import split_join
-from ..operators.validity import valid_time_join
+from ..operators.validity import indexed_valid_time_join
 from ..sources.fixtures import Domain
 
 STORE_TEXT = ("address", "number", "neighborhood", "city", "state", "zipcode", "region")
@@ -54,11 +54,11 @@ def extract_store_orders(dom: Domain) -> DataFrame:
 
 
 def extract_orders_priced(dom: Domain) -> DataFrame:
-    """Orders in local time with the device price valid at subscription."""
+    """Orders in local time with the device price valid at subscription; a product may have any number of price windows."""
     o = dom.orders.withColumn("sub_local", to_local("subscribed_at"))
     pp = dom.product_prices.select(F.col("product_id").alias("pp_product_id"), "device_price",
                                    F.col("created_at").alias("pp_begin"), F.col("expired_at").alias("pp_end"))
-    j = valid_time_join(o.drop("device_price"), pp, "produto_id", "pp_product_id", "sub_local", "pp_begin", "pp_end")
+    j = indexed_valid_time_join(o.drop("device_price"), pp, "produto_id", "pp_product_id", "sub_local", "pp_begin", "pp_end")
     return j.select(
         "id", to_local("created_at").alias("created_at"), "user_id", "preco", "produto_id",
         to_local("canceled_at").alias("canceled_at"), "plan_id", F.col("sub_local").alias("subscribed_at"),
