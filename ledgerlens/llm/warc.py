@@ -29,9 +29,10 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(name + ": "), value.cast("string"), F.lit(CRLF)), F.lit(""))
 
 
-def _field(head: str, name: str) -> Column:
-    found = F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
-    return F.when(F.col(head).rlike(rf"(?:^|\r\n){name}: "), found)
+def _field(lines: str, name: str) -> Column:
+    """Value of the first of a header's lines with this name, or null."""
+    line = F.get(F.filter(lines, lambda x: F.startswith(x, F.lit(name + ": "))), F.lit(0))
+    return F.substring(line, len(name) + 3, 1 << 30)
 
 
 def _chunked(payload: Column) -> Column:
@@ -111,18 +112,19 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.select(text.alias("value"))
     split = raw.select(F.substring_index("value", BLANK, 1).alias("head"),
                        F.expr("value").cast("binary").alias("bytes"))
-    split = split.withColumn("size", _field("head", "Content-Length").cast("int"))
+    split = split.withColumn("lines", F.split("head", CRLF))  # once per record, for all fields
+    split = split.withColumn("size", _field("lines", "Content-Length").cast("int"))
     begin = F.octet_length("head") + len(BLANK)
     whole = F.octet_length("bytes") >= begin + F.col("size")
     block = F.when(whole, F.substring("bytes", begin + 1, F.col("size"))).otherwise(
         F.raise_error(F.concat(F.lit("damaged WARC record: "), F.col("head"))).cast("binary"))
     strip = lambda c: F.regexp_extract(c, "^<?(?:urn:uuid:)?([^>]*)>?$", 1)
     return split.select(
-        strip(_field("head", "WARC-Record-ID")).alias("record_id"), _field("head", "WARC-Type").alias("record_type"),
-        _field("head", "X-Page-ID").cast("long").alias("page_id"), _field("head", "WARC-Target-URI").alias("target_uri"),
-        _field("head", "WARC-Date").alias("date"),
-        F.regexp_replace(_field("head", "WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"),
-        strip(_field("head", "WARC-Refers-To")).alias("refers_to"), block.alias("block"))
+        strip(_field("lines", "WARC-Record-ID")).alias("record_id"), _field("lines", "WARC-Type").alias("record_type"),
+        _field("lines", "X-Page-ID").cast("long").alias("page_id"), _field("lines", "WARC-Target-URI").alias("target_uri"),
+        _field("lines", "WARC-Date").alias("date"),
+        F.regexp_replace(_field("lines", "WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"),
+        strip(_field("lines", "WARC-Refers-To")).alias("refers_to"), block.alias("block"))
 
 
 def payload_of(block: Column) -> Column:
