@@ -1,9 +1,9 @@
 """Zone polygons: features, vertices, properties (Z1-Z3) and a point-in-zone
 count (Z4).
 
-Z4 is a spatial join over quadtree cells.  Each zone starts from the few cells of its own size; a cell that an edge touches is split in
-four, down to ``DEPTH`` levels, a cell that none touches is inside as a whole or dropped.  So a zone has a few hundred cells
-whatever its extent, coarse inside and fine at the edge.  Every point gets its cell on each level in use and meets the cells on an
+Z4 is a spatial join over quadtree cells.  Each zone starts from at most 25 cells of a quarter of its own size; a cell that an edge
+touches is split in sixteen, ``SPLITS`` times, a cell that none touches is inside as a whole or dropped.  So a zone has a few
+hundred cells whatever its extent, coarse inside and fine at the edge.  Every point gets its cell on each level in use and meets the cells on an
 equi-join; only points in edge cells take the even-odd test, over all rings, so holes are holes.
 """
 
@@ -106,27 +106,29 @@ def _touches(e: Column, x: Column, y: Column, s: Column) -> Column:
     return near & (F.least(*off) <= slack) & (F.greatest(*off) >= -slack)
 
 
-DEPTH = 4
+SPLITS = 1
+#: Levels between a cell and its parts, and between a zone's extent and its coarsest cells.
+STEP = 2
 
 
-def zone_level(zones: DataFrame) -> Column:
-    """Level of a zone's coarsest cells: the least power of two that its extent fits in."""
+def zone_level() -> Column:
+    """Level of a zone's coarsest cells: a quarter of the least power of two that its extent fits in."""
     extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1e-6))
-    return F.ceil(F.log2(extent)).cast("int")
+    return (F.ceil(F.log2(extent)) - STEP).cast("int")
 
 
-def zone_cells(zones: DataFrame, depth: int = DEPTH) -> DataFrame:
+def zone_cells(zones: DataFrame, splits: int = SPLITS) -> DataFrame:
     """Quadtree cells of each zone: (zone_id, level, cx, cy, whole, sides).
 
     A cell is the square [cx, cx + 1) x [cy, cy + 1) times 2 ^ level.  ``whole`` cells lie inside the zone; the others, on its edge, carry
     the zone's sides for the test of a point.  Cells of one zone don't overlap.
     """
     size = lambda level: F.pow(F.lit(2.0), level)
-    cells = zones.select("zone_id", edges(F.col("rings")).alias("sides"), zone_level(zones).alias("level"), "min_x", "max_x", "min_y", "max_y")
+    cells = zones.select("zone_id", edges(F.col("rings")).alias("sides"), zone_level().alias("level"), "min_x", "max_x", "min_y", "max_y")
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size(F.col("level"))), F.floor(F.col(hi) / size(F.col("level"))))
     cells = cells.withColumn("cx", F.explode(span("min_x", "max_x"))).withColumn("cy", F.explode(span("min_y", "max_y")))
     cells = cells.select("zone_id", "sides", F.col("sides").alias("near"), F.struct("level", "cx", "cy", F.lit("open").alias("state")).alias("c"))
-    for left in range(depth, -1, -1):
+    for left in range(splits, -1, -1):
         s = size(F.col("c.level"))
         x, y = F.col("c.cx") * s, F.col("c.cy") * s
         open_ = F.col("c.state") == "open"
@@ -134,9 +136,10 @@ def zone_cells(zones: DataFrame, depth: int = DEPTH) -> DataFrame:
         state = F.when(~open_, F.col("c.state")).when(F.size("near") > 0, "open").when(within(x + s / 2, y + s / 2, F.col("sides")), "whole")
         cells = cells.withColumn("state", state).filter(F.col("state").isNotNull())
         own = F.struct(F.col("c.level").alias("level"), F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"), F.col("state").alias("state"))
-        quarter = lambda i, j: F.struct((F.col("c.level") - 1).cast("int").alias("level"), (F.col("c.cx") * 2 + i).alias("cx"),
-                                        (F.col("c.cy") * 2 + j).alias("cy"), F.lit("open").alias("state"))
-        split = F.array(*[quarter(i, j) for i in (0, 1) for j in (0, 1)])
+        side, part = 1 << STEP, F.sequence(F.lit(0).cast("long"), F.lit((1 << 2 * STEP) - 1).cast("long"))
+        split = F.transform(part, lambda i: F.struct(
+            (F.col("c.level") - STEP).cast("int").alias("level"), (F.col("c.cx") * side + i % side).alias("cx"),
+            (F.col("c.cy") * side + F.floor(i / side)).alias("cy"), F.lit("open").alias("state")))
         cells = cells.select("zone_id", "sides", "near", F.explode(
             F.when(F.col("state") == "open", split).otherwise(F.array(own)) if left else F.array(own)).alias("c"))
     whole = F.col("c.state") == "whole"
@@ -148,14 +151,14 @@ def _toucher(x: Column, y: Column, s: Column):
     return lambda e: _touches(e, x, y, s)
 
 
-def points_in_zones(points: DataFrame, zones: DataFrame, depth: int = DEPTH) -> DataFrame:
+def points_in_zones(points: DataFrame, zones: DataFrame, splits: int = SPLITS) -> DataFrame:
     """(point_id, zone_id) of every point (point_id, x, y) in every zone that it lies in."""
-    # two numbers; a zone's levels are its own and ``depth`` finer ones
-    lo, hi = zones.agg(F.min(zone_level(zones)), F.max(zone_level(zones))).first()
-    levels = F.array(*[F.lit(k) for k in range(lo - depth, hi + 1)]) if lo is not None else F.array().cast("array<int>")
+    # a few dozen numbers at most: powers of two; a zone's levels are that of its coarsest cells and those of its splits
+    own = [r[0] for r in zones.select(zone_level()).distinct().collect()]
+    levels = F.lit(sorted({k - STEP * i for k in own for i in range(splits + 1)})).cast("array<int>")
     at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level")))
     placed = points.select("point_id", "x", "y", F.explode(levels).alias("level")).withColumns({"cx": at("x"), "cy": at("y")})
-    met = placed.join(zone_cells(zones, depth), ["level", "cx", "cy"])
+    met = placed.join(zone_cells(zones, splits), ["level", "cx", "cy"])
     return met.filter(F.col("whole") | within(F.col("x"), F.col("y"), F.col("sides"))).select("point_id", "zone_id")
 
 
