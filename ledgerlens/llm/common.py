@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
@@ -66,14 +65,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def per_worker(key: tuple, make):
-    """``make()``, once per Python worker: workers are reused, so dictionaries and caches outlive a task."""
-    kept = sys.__dict__.setdefault("_per_worker_objects", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
-
-
 # ----------------------------------------------------------------- hashing
 
 _SPACE = np.zeros(256, bool)
