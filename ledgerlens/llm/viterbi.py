@@ -3,11 +3,11 @@
 An Aho-Corasick automaton lists the pieces that end at each character; the best score and its number of pieces
 go forward.  Ties follow the Unigram model of the ``tokenizers`` library: sums are 64-bit floats, a path replaces another
 only with a strictly higher score, and longer last pieces are tried first; a character that is no piece of its own may
-stand for an unknown at a penalty, and unknowns fall back to one piece per byte.  No trained unigram vocabulary is at hand,
+stand for an unknown at a penalty, and unknowns fall back to one piece per byte or, without that, neighbouring ones are one.  No trained unigram vocabulary is at hand,
 so the pieces and scores of a public 32k vocabulary are read as one.
 
 A text is cut where no piece can cross: before white space marks and between characters that no piece has side by
-side.  Each part is solved once and remembered.
+side.  Each part is solved once and remembered.  Without byte fallback texts are solved whole.
 """
 
 from __future__ import annotations
@@ -72,12 +72,16 @@ class UnigramCounter(dict):
         n = len(text)
         best, count = [0.0] + [float("-inf")] * n, [0] * (n + 1)
         alone = [False] * n
+        tail = [False] * (n + 1)  # whether the best path to a place ends in an unknown
 
         def unknown(end: int) -> None:
             score = best[end - 1] + self.unknown
             if score > best[end]:
-                best[end] = score
-                count[end] = count[end - 1] + (len(text[end - 1].encode("utf-8", "replace")) if self.byte_fallback else 1)
+                best[end], tail[end] = score, True
+                if self.byte_fallback:
+                    count[end] = count[end - 1] + len(text[end - 1].encode("utf-8", "replace"))
+                else:  # neighbouring unknowns are one
+                    count[end] = count[end - 1] + (not tail[end - 1])
 
         done = 0  # ends that are final
         for last, (size, piece) in self.automaton.iter(text):
@@ -88,7 +92,7 @@ class UnigramCounter(dict):
                     unknown(done)
             score = best[end - size] + piece
             if score > best[end]:
-                best[end], count[end] = score, count[end - size] + 1
+                best[end], count[end], tail[end] = score, count[end - size] + 1, False
             if size == 1:
                 alone[last] = True
         while done < n:
@@ -101,6 +105,8 @@ class UnigramCounter(dict):
         """Pieces of ``text`` as the tokenizer writes it: a mark first, a mark for each space."""
         if not text:
             return 0
+        if not self.byte_fallback:  # an unknown may go on over any cut
+            return self.solve(MARK + text.replace(" ", MARK))
         words = text.replace(MARK, " ").split(" ")
         if "" not in words:
             return sum(map(self.__getitem__, words))

@@ -26,10 +26,19 @@ def test_ties_take_the_library_s_choice():
     pieces = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0), ("aaa", -3.0), ("b", -4.0), ("ab", -5.0)]
     model = Tokenizer(Unigram(pieces, 0, False)).model
     mine = viterbi.UnigramCounter(pieces, False)
-    for t in ("a", "aa", "aaa", "aaaa", "aab", "abab", "a aa b", "baab"):
+    for t in ("a", "aa", "aaa", "aaaa", "aab", "abab", "a aa b", "baab", "xyz", "axyzb", "a xy zz", "xy  x", " ", "é🙂a日x"):
         assert mine.count(t) == len(model.tokenize("▁" + t.replace(" ", "▁"))), t
 
 
+@given(st.text(alphabet="ab xyé▁", max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_unknowns_without_byte_fallback_are_fused(text):
+    pieces = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("▁a", -2.5), ("ab", -1.5)]
+    model = Tokenizer(Unigram(pieces, 0, False)).model
+    want = len(model.tokenize("▁" + text.replace(" ", "▁"))) if text else 0
+    assert viterbi.UnigramCounter(pieces, False).count(text) == want
+
+
 def test_documents(spark, counters):
     docs = documents(spark)
     want = {r.doc_id: counters[1](r.text) for r in docs.collect()}
