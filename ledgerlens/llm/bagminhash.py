@@ -8,9 +8,10 @@ weighted Jaccard similarity.  Levels are not visited one by one: they hang in a
 at random.  Processes stop once their time exceeds the largest component so far.
 
 Texts are banded; in each band all texts of a bucket are compared with the bucket's smallest one.  In a bucket whose texts
-then lie in several classes, all texts of different classes are compared, by their signatures' agreement inside tasks: first
-each text with the ``NEAREST`` ones that agree most with it, which links families whatever their original, then, between the
-classes that are left, all pairs.  Buckets are cut to squares of at most ``SIDE`` by ``SIDE`` texts, so large ones spread over tasks.
+then lie in several classes, all texts of different classes are compared inside tasks, each pair in the first bucket that it
+shares.  Buckets are cut to squares of at most ``SIDE`` by ``SIDE`` texts, so large ones spread over tasks.  The shingle
+multisets of texts that have a partner by signature travel to their squares, and a square gives only the links that
+join two of its classes, the likeliest pairs tried first: fewer rows than it has texts, whatever the pairs.
 
 Of each pair, the signatures' agreement rules out what lies five standard deviations below the threshold; the rest is
 compared exactly, on the whole shingle multisets.
@@ -31,10 +32,11 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
 SEED = 0x5DEECE66D
-#: Texts of other classes in a square that each text is compared with before all pairs are.
-NEAREST = 2
-#: Texts on each side of a square of a bucket.
+#: Texts on each side of a square of a bucket, and their shingles.
 SIDE = 1024
+SIDE_SHINGLES = 1 << 20
+#: Shingles that are looked up at once when pairs of a square are compared.
+LOOKUPS = 1 << 20
 #: Texts with fewer distinct shingles than this are signed together, many at a time.
 FEW = 24
 
@@ -152,11 +154,11 @@ def _plausible(pairs: DataFrame, threshold: float, m: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
-def _alike(cell: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float,
-           least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _alike(cell: np.ndarray, h: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray,
+           bands: np.ndarray, threshold: float, least: float):
     """(first, second, agreement) of the pairs of rows of equal ``cell`` (in order) that have unlike roots, sizes within
-    ``threshold`` and ``least`` equal components; side: 0 and 1 are compared with each other only, 2 with all."""
-    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))]
+    ``threshold``, ``least`` equal components and bucket ``h`` as the first that they share, a part of the pairs at a time;
+    side: 0 and 1 are compared with each other only, 2 with all."""
     at, lag = np.arange(len(cell)), 0
     while len(at):
         lag += 1
@@ -168,58 +170,145 @@ def _alike(cell: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarra
         a, b = at[good], to[good]
         same = (sketch[a] == sketch[b]).sum(1)
         good = same >= least
-        out.append((a[good], b[good], same[good]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        a, b, same = a[good], b[good], same[good]
+        shared = bands[a, np.argmax(bands[a] == bands[b], axis=1)] == h[a]
+        if shared.any():
+            yield a[shared].astype(np.int32), b[shared].astype(np.int32), same[shared].astype(np.int32)
+
+
+def joining(a: np.ndarray, b: np.ndarray, same: np.ndarray, root: np.ndarray, grams_of: list[np.ndarray],
+            weights_of: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Of the pairs (a, b) of rows, links of similarity ``threshold`` or more that connect all classes (``root``) that such
+    links connect, one less than these at most; pairs are tried by agreement ``same``."""
+    sizes = np.array([len(g) for g in grams_of])
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    weight = np.concatenate(weights_of).astype(np.int64)
+    total = np.add.reduceat(weight, begin[:-1])
+    # one sorted list of (row, number of the gram among the grams of all rows)
+    code = np.unique(np.concatenate(grams_of), return_inverse=True)[1].astype(np.int64)
+    key = (np.repeat(np.arange(len(sizes)), sizes) << 40) | code
+    class_of = np.unique(root, return_inverse=True)[1]
+    leader = np.arange(class_of.max() + 1)
+    order = np.lexsort((b, a, -same))
+    out, at, step = [], 0, 64
+    while at < len(order):
+        some = order[at:at + step]
+        at, step = at + step, min(2 * step, 1 << 14)
+        x, y = a[some], b[some]
+        apart = leader[class_of[x]] != leader[class_of[y]]
+        x, y = x[apart], y[apart]
+        cuts = np.searchsorted(np.cumsum(sizes[x]), np.arange(LOOKUPS, int(sizes[x].sum()), LOOKUPS)) + 1
+        for xs, ys in zip(np.split(x, cuts), np.split(y, cuts), strict=True):
+            pair = np.repeat(np.arange(len(xs)), sizes[xs])
+            mine = np.arange(len(pair)) + np.repeat(begin[xs] - np.cumsum(sizes[xs]) + sizes[xs], sizes[xs])
+            wanted = (ys.astype(np.int64)[pair] << 40) | code[mine]
+            there = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            shared = np.bincount(pair, np.where(key[there] == wanted, np.minimum(weight[mine], weight[there]), 0), len(xs))
+            good = shared >= threshold * (total[xs] + total[ys] - shared)
+            for i, j in zip(xs[good].tolist(), ys[good].tolist(), strict=True):
+                one, two = leader[class_of[i]], leader[class_of[j]]
+                if one != two:
+                    leader[leader == two] = one
+                    out.append((i, j))
+    return out
+
+
+def _by_square(batches):
+    """Batches of whole squares: rows come sorted by h, i, j, the first three columns."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        h, i, j = (rest.column(c).to_numpy() for c in range(3))
+        last = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        if len(last):  # the last square may go on in the next batch
+            yield rest.slice(0, last[-1] + 1)
+            rest = rest.slice(last[-1] + 1)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _square_columns(t: pa.Table, m: int, bands: int):
+    """(cell, h, side, nid, root, n_shingles, sketch, bands) of rows of squares as arrays; cell numbers the squares."""
+    h, i, j, side, nid, root, size = (t.column(c).to_numpy() for c in range(7))
+    sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, m)
+    hashes = t.column(8).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, bands)
+    cell = np.cumsum(np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+    return cell, h, side, nid, root, size, sketch, hashes
+
+
+def _bags(nids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(nid, gram, weight): the shingle multisets of texts, sorted 8-byte hashes and 4-byte counts."""
+    def count(batches):
+        for b in batches:
+            data, offsets = text_buffers(b.column(1))
+            for lo, hi in row_slices(offsets, 1 << 21):
+                gram, row, weight = counted(*grams(*hash_words(data, offsets[lo:hi + 1]), k))
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                weight = weight.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(lo, hi - lo),
+                    *(pa.array([v[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for v in (gram, weight))],
+                    ["nid", "gram", "weight"])
 
+    return _texts(nids, reps, docs).mapInArrow(count, "nid long, gram binary, weight binary")
 
-def _across(buckets: DataFrame, root: DataFrame, threshold: float, m: int, nearest: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of texts of one bucket but of different classes whose sketches and sizes don't rule out
-    ``threshold``: of each text in each square those ``nearest`` by agreement, or all.
 
-    ``buckets``: (h, nid, n_shingles, sketch); root: (node, root), texts without a row are classes of their own.
+def _across(buckets: DataFrame, root: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: float, bands: int,
+            rows: int) -> DataFrame:
+    """Links (a, b) of similarity ``threshold`` or more between texts of one bucket but of different classes: all classes that
+    such links connect are connected.
+
+    ``buckets``: (h, nid, n_shingles); root: (node, root), texts without a row are classes of their own; reps: (nid,
+    n_shingles, sketch, bands, digest).
     """
-    classed = buckets.join(root.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    mixed = classed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(
-        "low <> high").select("h", F.ceil(F.col("n") / SIDE).cast("int").alias("parts"))
+    m = bands * rows
+    classed = buckets.select("h", "nid", "n_shingles").join(root.withColumnRenamed("node", "nid"), "nid", "left").withColumn(
+        "root", F.coalesce("root", "nid"))
+    mixed = classed.groupBy("h").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("all")).where(
+        "low <> high").select("h", F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("all") / SIDE_SHINGLES)).cast("int").alias("parts"))
     part, other = F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"), F.col("other")
-    dealt = classed.join(mixed, "h").withColumn("part", part).withColumn(
+    dealt = classed.join(mixed, "h").join(reps.select("nid", "sketch", "bands"), "nid").withColumn("part", part).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = dealt.select(
-        "h", F.least("part", other).alias("i"), F.greatest("part", other).alias("j"),
-        F.when(F.col("part") == other, 2).otherwise((F.col("part") > other).cast("int")).alias("side"),
-        "nid", "root", "n_shingles", "sketch")
+    names = ["h", "i", "j", "side", "nid", "root", "n_shingles", "sketch", "bands"]
+    cells = dealt.withColumns({
+        "i": F.least("part", other), "j": F.greatest("part", other),
+        "side": F.when(F.col("part") == other, 2).otherwise((F.col("part") > other).cast("int"))}).select(*names)
     cells = cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     least = _least(threshold, m)
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        h, i, j, side, nid, root, size = (t.column(c).to_numpy() for c in range(7))
-        sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, m)
-        cell = np.cumsum(np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        a, b, same = _alike(cell, side, root, size, sketch, threshold, least)
-        if nearest is not None and len(a):
-            of, to = np.concatenate((a, b)), np.concatenate((b, a))
-            order = np.lexsort((nid[to], -np.concatenate((same, same)), of))
-            of, to = of[order], to[order]
-            begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            rank = np.arange(len(of)) - np.repeat(begin, np.diff(np.append(begin, len(of))))
-            a, b = of[rank < nearest], to[rank < nearest]
-        both = np.unique(np.sort(np.stack((nid[a], nid[b]), 1), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            h, i, j = (rest.column(c).to_numpy() for c in range(3))
-            last = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-            if len(last):  # the last cell may go on in the next batch
-                yield pairs(rest.slice(0, last[-1] + 1))
-                rest = rest.slice(last[-1] + 1)
-        if rest is not None and rest.num_rows:
-            yield pairs(rest)
-
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    def hopeful(batches):  # rows that have a partner
+        for t in _by_square(batches):
+            cell, h, side, _, root, size, sketch, hashes = _square_columns(t, m, bands)
+            some = np.zeros(len(cell), bool)
+            for a, b, _ in _alike(cell, h, side, root, size, sketch, hashes, threshold, least):
+                some[a] = some[b] = True
+            yield from t.filter(pa.array(some)).to_batches()
+
+    def links(batches):
+        for t in _by_square(batches):
+            cell, *_ = _square_columns(t, m, bands)
+            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                square = t.slice(lo, hi - lo)
+                cell_, h, side, nid, root, size, sketch, hashes = _square_columns(square, m, bands)
+                found = list(_alike(cell_, h, side, root, size, sketch, hashes, threshold, least))
+                if not found:
+                    continue
+                gram, weight = ([np.frombuffer(x.as_buffer(), kind) for x in square.column(c)] for c, kind in ((9, np.uint64), (10, np.uint32)))
+                got = joining(*(np.concatenate(x) for x in zip(*found, strict=True)), root, gram, weight, threshold)
+                if got:
+                    a, b = (nid[list(x)] for x in zip(*got, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    schema = "h long, i int, j int, side int, nid long, root long, n_shingles long, sketch binary, bands array<long>"
+    cells = materialise(cells.mapInArrow(hopeful, schema), "squares")
+    if not cells.limit(1).count():
+        return cells.select(F.col("nid").alias("a"), F.col("nid").alias("b"))
+    bags = materialise(_bags(cells.select("nid").distinct(), reps, docs, k), "bags")
+    full = cells.join(bags, "nid").select(*names, "gram", "weight").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return full.mapInArrow(links, "a long, b long")
 
 
 def _overlap(pairs: DataFrame, k: int) -> DataFrame:
@@ -279,7 +368,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
     Equal texts are one class; so are texts with a weighted Jaccard similarity of their ``k``-word shingles of
     ``threshold`` or more, and whatever such links connect.  class_id is the smallest doc_id of the class (null only if all
     are), class_size its rows, copies the rows with this very text, links the verified links of this text to
-    others.  ``keeper`` marks one row per class, that of the smallest doc_id; digest is the SHA-256 of the text.
+    others, of which those that join no classes are not looked for.  ``keeper`` marks one row per class, that of the smallest doc_id; digest is the SHA-256 of the text.
     A null text is a class of its own per row.  A text of fewer than ``k`` words is one shingle; without words,
     only equal texts match.  Other columns are ignored; no documents, no rows.
     """
@@ -305,13 +394,10 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
     tried = materialise(_plausible(pairs, threshold, bands * rows), "pairs")
     links = materialise(_similar(tried, reps, docs, k).where(F.col("similarity") >= threshold), "links")
     root = components(links)
-    for nearest in (NEAREST, None):
-        near = materialise(_across(buckets, root, threshold, bands * rows, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(_similar(near, reps, docs, k).where(F.col("similarity") >= threshold), "links")
-        tried = tried.union(near)
-        if found.limit(1).count():
-            links = links.union(found)
-            root = components(links)
+    found = materialise(_across(buckets, root, reps, docs, k, threshold, bands, rows), "links")
+    if found.limit(1).count():
+        links = materialise(links.select("a", "b").union(found).distinct(), "links")
+        root = components(links)
     degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links"))
     members = (texts.join(root, texts["rep"] == root["node"], "left").join(degree, texts["rep"] == degree["a"], "left")
                .select("digest", "rep", "rank", "copies", F.coalesce("root", "rep").alias("root"),
@@ -329,15 +415,19 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
         (alone | (F.col("nid") == F.col("keep"))).alias("keeper"), "digest")
 
 
+def _texts(nids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(nid, text) of distinct ``nids``."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("digest", text_digest(F.col("text")))
+    # copies go before the shuffle: a task sends one text of each digest
+    texts = texts.where("digest IS NOT NULL").groupBy("digest").agg(F.min("text").alias("text"))
+    return nids.join(reps.select("nid", "digest"), "nid").join(texts, "digest").select("nid", "text")
+
+
 def _similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Exact similarity of the texts of distinct pairs (a, b): (a, b, similarity)."""
     if not pairs.limit(1).count():
         return pairs.withColumn("similarity", F.lit(0.0))
-    wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct().join(reps.select("nid", "digest"), "nid")
-    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("digest", text_digest(F.col("text")))
-    # copies go before the shuffle: a task sends one text of each digest
-    texts = texts.where("digest IS NOT NULL").groupBy("digest").agg(F.min("text").alias("text"))
-    texts = materialise(wanted.join(texts, "digest").select("nid", "text"), "texts")
+    texts = materialise(_texts(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), reps, docs), "texts")
     with_a = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("a_text")), "a")
     with_b = with_a.join(texts.select(F.col("nid").alias("b"), F.col("text").alias("b_text")), "b")
     return _overlap(with_b, k)
