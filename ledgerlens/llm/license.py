@@ -2,14 +2,18 @@
 
 A block that a license template helps to compress is likely to be worded like it.  Candidate blocks (sentences, lines
 and stretches of a template's length around license words; their words in lower case) are compressed with zstandard, alone and with
-each template as raw dictionary; templates are ranked by how much they reduce the size.  The best ones are then
+each template as raw dictionary; templates are ranked by how much they reduce the size.  Those that do are then
 confirmed by comparing their words with the block's: a winner must have its words in order in the block with few
-differences.
+differences.  All wordings of a block are found in one pass: only stretches that hold enough of a template's words in any
+order are compared, and these are short, so the work grows in proportion to the text, however often it repeats a wording.
 """
 
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left
+from collections import Counter
+from math import ceil
 
 import pyarrow as pa
 import regex
@@ -52,6 +56,34 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+                 "option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                 "option) any later version."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+                "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("MPL-2.0", "Licensed under the MPL 2.0."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
 )
 HINT = r"(?i)licen[sc]|copyright|warrant|permission|redistribut|public domain|creative commons|\bCC[ -]?(BY|0)"
 #: Share of a template's words that the block must have in order, and of differing words that it may have besides.
@@ -101,27 +133,29 @@ class Scanner:
         return got
 
     def blocks(self, text: str):
-        """Candidate blocks (first and last character) of a text: sentences with a hint, lines with one, and stretches with a
-        template's length on both sides of each hint, over the lines around, so that wordings over several sentences or
-        lines stand whole."""
-        lines, at, reach = [], 0, 8 * self.longest
+        """Candidate blocks (first and last character) of a text: sentences with a hint, and stretches with a template's
+        length on both sides of each hint, inside its line and over the lines around, so that wordings over several
+        sentences or lines stand whole.  None is longer than 4 * reach but for a sentence around one hint."""
+        at, reach, every = 0, 8 * self.longest, []
         for line in text.split("\n"):
-            if hints := [m.start() for m in self.hint.finditer(line)]:
-                lines.append((at + max(0, hints[0] - reach), at + min(len(line), hints[-1] + reach)))
-                cut = [m.end() for m in _SENTENCE.finditer(line)]
-                for a, b in zip([0, *cut], [*cut, len(line)], strict=True):
+            if hints := [(at + m.start(), at + m.end()) for m in self.hint.finditer(line)]:
+                every += hints
+                cut = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line)]
+                for a, b in zip(cut, cut[1:], strict=False):
                     if self.hint.search(line, a, b):
-                        yield at + a, at + b
+                        yield from self._stretches([h for h in hints if at + a <= h[0] < at + b] if b - a > 4 * reach else [(at + a, at + b)],
+                                                   at + a, at + b, reach)
+                yield from self._stretches(hints, at, at + len(line), reach)
             at += len(line) + 1
-        yield from lines
-        yield from self._stretches(text, reach)
+        yield from self._stretches(every, 0, len(text), reach)
 
-    def _stretches(self, text: str, reach: int):
-        """What lies within ``reach`` of hints; long runs are cut into stretches of 4 * reach that overlap by 2 * reach, so that
-        any wording of up to that length is whole in one."""
+    @staticmethod
+    def _stretches(hints: list[tuple[int, int]], low: int, high: int, reach: int):
+        """What lies within ``reach`` of hints, from low to high; long runs are cut into stretches of 4 * reach that overlap by
+        2 * reach, so that any wording of up to that length is whole in one."""
         run: list[list[int]] = []
-        for m in self.hint.finditer(text):
-            a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        for start, end in hints:
+            a, b = max(low, start - reach), min(high, end + reach)
             if run and a <= run[-1][1]:
                 run[-1][1] = b
             else:
@@ -132,58 +166,94 @@ class Scanner:
                 a += 2 * reach
                 yield a, min(b, a + 4 * reach)
 
-    def confirm(self, block: str, template: int) -> tuple[float, int, int, int, int]:
-        """(share of the template's words found in order, words missing, words too many inside the matched stretch, and the
-        stretch's first and last character)."""
-        want, spans = self.templates[template][2], [(m.group().lower(), *m.span()) for m in _WORDS.finditer(block)]
-        have = [w for w, _, _ in spans]
+    @staticmethod
+    def _compare(have: list[str], want: list[str]) -> tuple[int, int, int] | None:
+        """(words found, first, last) of the wording ``want`` in ``have``, if enough of it is there in order."""
         match = [m for m in difflib.SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
         if not match:
-            return 0.0, len(want), 0, 0, 0
+            return None
         # words that stand alone, far before or after the others, are not part of the wording
         extra = lambda: match[-1].a + match[-1].size - match[0].a - sum(m.size for m in match)
         while len(match) > 1 and extra() > MAX_EXTRA * len(want):
             left, right = match[1].a - match[0].a - match[0].size, match[-1].a - match[-2].a - match[-2].size
             del match[0 if left - match[0].size >= right - match[-1].size else -1]
         found = sum(m.size for m in match)
-        first, last = match[0].a, match[-1].a + match[-1].size - 1
-        return found / len(want), len(want) - found, last + 1 - first - found, spans[first][1], spans[last][2]
+        if found < MIN_SHARE * len(want) or extra() > MAX_EXTRA * len(want):
+            return None
+        return found, match[0].a, match[-1].a + match[-1].size - 1
 
-    def scan(self, text: str) -> list[tuple]:
-        """(start, end, license, template, reduction, missing, extra) of confirmed blocks, best template each, without overlaps.
+    def confirm(self, have: list[str], template: int) -> list[tuple[int, int, int, int]]:
+        """(first word, last word, words missing, words too many) of a template's wordings among a block's words.
 
-        What a block has before and after its wording is looked at again, so that it may have several.
+        A wording lies in a window of its length and the words that may be too many.  Windows that hold enough of its words in
+        any order are joined to regions, cut so that each wording is whole in one, and compared.
         """
-        found, todo = [], list(dict.fromkeys(self.blocks(text)))
-        seen = set(todo)
+        want = self.templates[template][2]
+        need, width = ceil(MIN_SHARE * len(want)), len(want) + int(MAX_EXTRA * len(want))
+        wanted, inside, count, regions = Counter(want), Counter(), 0, []
+        counts = []
+        for e, word in enumerate(have):
+            inside[word] += 1
+            count += inside[word] <= wanted[word]
+            if e >= width:
+                old = have[e - width]
+                count -= inside[old] <= wanted[old]
+                inside[old] -= 1
+            counts.append(count)
+            if count >= need:
+                a = max(0, e + 1 - width)
+                if regions and a <= regions[-1][1]:
+                    regions[-1][1] = e + 1
+                else:
+                    regions.append([a, e + 1])
+        todo = [(a, min(z, a + 3 * width)) for low, z in regions for a in range(low, max(low + 1, z - width), 2 * width)]
+        out = []
         while todo:
-            a, b = todo.pop()
-            block, best = text[a:b], None
-            for reduction, i in self.ranked(block):
-                share, missing, extra, first, last = self.confirm(block, i)
-                if share >= MIN_SHARE and extra <= MAX_EXTRA * len(self.templates[i][2]):
-                    key = (-(missing + extra) / len(self.templates[i][2]), len(self.templates[i][2]), reduction)
-                    if best is None or key > best[0]:
-                        best = (key, (a + first, a + last, self.templates[i][0], i, reduction, missing, extra))
-            if best:
-                found.append(best)
-                for rest in ((a, best[1][0]), (best[1][1], b)):
-                    if rest not in seen and self.hint.search(text, *rest):
-                        seen.add(rest)
-                        todo.append(rest)
-        found.sort(key=lambda x: (-len(self.templates[x[1][3]][2]), x[1][0], x[1][5] + x[1][6]))
+            a, z = todo.pop()
+            if z - a < need:
+                continue
+            got = self._compare(have[a:z], want)
+            if got is None and z - a > width:  # parts of other wordings may be in the way: the best window alone
+                e = max(range(a + width - 1, z), key=lambda e: counts[e])
+                got = self._compare(have[e + 1 - width:e + 1], want)
+                got = got and (got[0], got[1] + e + 1 - width - a, got[2] + e + 1 - width - a)
+            if got:
+                found, first, last = got
+                out.append((a + first, a + last, len(want) - found, last + 1 - first - found))
+                todo += [(a, a + first), (a + last + 1, z)]
+        return out
+
+    def scan(self, text: str) -> list[tuple]:
+        """(start, end, license, template, reduction, missing, extra) of confirmed wordings without overlaps.
+
+        Where wordings overlap, the one with most words that are its own stays.
+        """
+        best: dict[tuple, float] = {}
+        for a, b in dict.fromkeys(self.blocks(text)):
+            ranked = self.ranked(text[a:b])
+            if not ranked:
+                continue
+            spans = [(m.group().lower(), a + m.start(), a + m.end()) for m in _WORDS.finditer(text[a:b])]
+            have = [w for w, _, _ in spans]
+            for reduction, i in ranked:
+                for first, last, missing, extra in self.confirm(have, i):
+                    key = (spans[first][1], spans[last][2], i, missing, extra)
+                    best[key] = max(reduction, best.get(key, reduction))
+        own = lambda f: len(self.templates[f[2]][2]) - 2 * f[3] - f[4]
         kept: list[tuple] = []
-        for _, f in found:
-            if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):
-                kept.append(f)
-        return sorted(kept)
+        for f in sorted(best, key=lambda f: (-own(f), f[3] + f[4], f[0], f[2])):
+            at = bisect_left(kept, f)
+            if (at == 0 or kept[at - 1][1] <= f[0]) and (at == len(kept) or kept[at][0] >= f[1]):
+                kept.insert(at, f)
+        return [(a, z, self.templates[i][0], i, best[a, z, i, m, x], m, x) for a, z, i, m, x in kept]
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(doc_id, start, end, license, template, reduction, missing, extra, exact) of each license wording in ``docs`` (doc_id, text).
 
     start and end are characters of the text; missing and extra count differing words, exact means none.  Texts without
-    a wording, null and empty texts have no row; repeated rows give repeated results.  Other columns are ignored.
+    a wording, null and empty texts have no row; repeated rows give repeated results.  A text may be of any length and hold
+    any number of wordings.  Other columns are ignored.
     """
     schema = ("doc_id long, start long, end long, license string, template int, reduction double, missing int, extra int, "
               "exact boolean")

@@ -1,4 +1,5 @@
 import textwrap
+import time
 
 from ledgerlens.llm import license
 
@@ -70,3 +71,53 @@ def test_dense_hints_and_long_sentences(spark):
                                  "doc_id long, text string")
     assert sorted((r.doc_id, r.license) for r in license.scan_licenses(docs).collect()) == [
         (0, "MIT"), (0, "MPL-2.0"), (0, "MPL-2.0"), (1, "CC-BY-4.0")]
+
+
+def test_many_wordings_in_one_text():
+    """800 notices in a line, or in a line each, and a long text of all wordings: each is found, in time that grows in proportion."""
+    scanner, notice = license.Scanner(), "Licensed under the MIT License."
+    for glue in (" ", "\n"):
+        took = []
+        for n in (200, 800):
+            begin = time.process_time()
+            got = scanner.scan(glue.join([notice] * n))
+            took.append(time.process_time() - begin)
+            assert [(g[0], g[2], g[5] + g[6]) for g in got] == [(i * (len(notice) + 1), "MIT", 0) for i in range(n)]
+        assert took[1] < 10 * took[0] + 0.5
+    filler = " ".join(f"filler{i}" for i in range(3000))
+    many = [t for _, t in license.TEMPLATES] * 3
+    got = scanner.scan(filler + "\n" + "\n\n".join(many) + "\n" + filler)
+    assert [g[3] for g in got] == list(range(len(license.TEMPLATES))) * 3 and all(g[5] + g[6] == 0 for g in got)
+
+
+def test_confirm_against_edit_scripts():
+    """Wordings with random edits among other words, against the longest common subsequence in every window."""
+    import random
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for w in x:
+            new = [0]
+            for j, v in enumerate(y):
+                new.append(row[j] + 1 if w == v else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    rng, scanner = random.Random(7), license.Scanner()
+    for _ in range(60):
+        i = rng.randrange(len(license.TEMPLATES))
+        want = scanner.templates[i][2]
+        mine = [w if rng.random() > 0.08 else f"other{rng.random()}" for w in want]
+        have = [*(f"a{j}" for j in range(rng.randrange(9))), *mine, *(f"b{j}" for j in range(rng.randrange(9)))]
+        width = len(want) + int(license.MAX_EXTRA * len(want))
+        most = max(common(have[p:p + width], want) for p in range(max(1, len(have) - width + 1)))
+        got = scanner.confirm(have, i)
+        assert all(len(want) - m <= most for _, _, m, _ in got)
+        assert bool(got) == (most >= license.MIN_SHARE * len(want))
+
+
+def test_odd_documents_with_wordings(spark):
+    long = "word " * 60_000
+    rows = [(None, f"{long}Licensed under CC BY 4.0. {long}"), (1, "SPDX-License-Identifier: MIT"), (1, "SPDX-License-Identifier: MIT"), (2, None), (3, "")]
+    got = license.scan_licenses(spark.createDataFrame([(*r, "l", 1) for r in rows], "doc_id long, text string, license string, start int"))
+    assert sorted((r.doc_id or 0, r.license, r.exact) for r in got.collect()) == [(0, "CC-BY-4.0", True), (1, "MIT", True), (1, "MIT", True)]
