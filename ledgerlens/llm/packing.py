@@ -11,6 +11,8 @@ their places by their rank within their length.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,8 +22,8 @@ from .common import materialise
 
 CAPACITY = 1024
 END_ID = 2
-#: Words whose ids a task remembers.
-CACHE_WORDS = 300_000
+#: Characters of a text that are tokenized at once; a longer stretch without a place to cut goes piece by piece.
+STRETCH = 1 << 16
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,26 +33,35 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def chunks(text: str) -> list[str]:
-    """Parts of a text that byte-level BPE with its usual split pattern never joins: cut before each single space
-    that a non-space follows."""
-    parts = text.split(" ")
-    out = [parts[0]] if parts[0] else []
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            out.append(" " + p)
-        elif out:
-            out[-1] += " " + p
-        else:
-            out.append(" " + p)
-    return out
+def merge_ranks(path: str, letters: dict[int, str]) -> dict[bytes, int] | None:
+    """Bytes and id of the tokens of a byte-level BPE file, if ids follow the order of merges, as rank files have it; else None.
+
+    Then merging the neighbours whose union has the least id is merging by the list: the state of bytes between two
+    boundaries that no merge crossed is the same in every text, so a token comes from one pair only.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in merges]
+    byte = {c: b for b, c in letters.items()}
+    if any(y <= x for x, y in zip(ids, ids[1:], strict=False)) or len(ids) + len(letters) != len(model["vocab"]) or (
+            ids and max(model["vocab"][c] for c in byte) > ids[0]) or model.get("ignore_merges"):
+        return None
+    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
 
 
 class ByteTokenizer:
-    """Ids of a ``tokenizers`` byte-level BPE as little-endian uint32 bytes, remembered by word."""
+    """Ids of a ``tokenizers`` byte-level BPE as little-endian uint32 bytes.
+
+    Texts go through the same vocabulary as merge ranks (``tiktoken``), in stretches cut before a single space between other
+    characters, where no piece of the split pattern reaches across.  What has no such place within two stretches (the
+    rank library's pattern search overflows on very long white space), and vocabularies that aren't in merge
+    order, go through the file's own model piece by piece.
+    """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, stretch: int = STRETCH):
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -62,17 +73,12 @@ class ByteTokenizer:
         self.added_at = regex.compile("|".join(
             "(" + (r"\s*" if t.lstrip else "") + (r"(?<!\w)" if t.single_word else "") + regex.escape(t.content)
             + (r"(?!\w)" if t.single_word else "") + (r"\s*" if t.rstrip else "") + ")" for _, t in added))
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(pattern).finditer
+        self.cut = regex.compile(r"(?<=\S) (?=\S)")
         self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            word = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            got = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-        return got
+        self.stretch = stretch
+        ranks = merge_ranks(path, self.letters)
+        self.ranked = ranks and tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
         if not any(t in text for t in self.added):
@@ -83,21 +89,22 @@ class ByteTokenizer:
             at = m.end()
         return b"".join([*out, self._between(text[at:])])
 
-    def _between(self, text: str) -> bytes:
-        out, cache = [], self.cache
-        for c in chunks(text):
-            got = cache.get(c)
-            if got is None:
-                got = b"".join(map(self._piece, self.split(c)))
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                if len(self.pieces) >= CACHE_WORDS:
-                    self.pieces.clear()
-                if len(c) < 100:
-                    cache[c] = got
-            out.append(got)
+    def _stretch(self, text: str) -> bytes:
+        if self.ranked and len(text) <= 2 * self.stretch:
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        out = []
+        for m in self.split(text):
+            word = m.group().encode("utf-8").decode("latin-1").translate(self.letters)
+            out.append(np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes())
         return b"".join(out)
 
+    def _between(self, text: str) -> bytes:
+        out, at = [], 0
+        while len(text) - at > self.stretch and (m := self.cut.search(text, at + self.stretch)):
+            out.append(self._stretch(text[at:m.start()]))
+            at = m.start()
+        return b"".join([*out, self._stretch(text[at:])])
+
 
 def token_pieces(docs: DataFrame, capacity: int, tokenizer_path: str | None, pattern: str | None) -> DataFrame:
     """(doc_id, piece, start, length, ids, part, place): pieces with their token ids.

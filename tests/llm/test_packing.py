@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -78,3 +79,56 @@ def test_added_tokens_in_texts():
         got = np.frombuffer(mine.ids(text), "<u4").tolist()
         assert got == theirs.encode(text, add_special_tokens=False).ids
     assert 50256 in np.frombuffer(mine.ids("a <|endoftext|> b"), "<u4")
+
+
+@pytest.fixture(scope="module")
+def both():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, theirs = packing.ByteTokenizer(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    assert mine.ranked
+    return mine, lambda text: np.array(theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_every_code_point_against_the_tokenizer(both):
+    mine, theirs = both
+    for lo in range(0, 0x110000, 64):
+        points = [chr(c) for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000]
+        text = "|".join(f"a{c}1 {c}b {c}{c}? {c}" for c in points)
+        assert mine.ids(text) == theirs(text), hex(lo)
+
+
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t ", "a", "the", "'s", "1", "é", "　", " ", "😀", "!", "\x1c", "\x85",
+                                 "<|endoftext|>", "<|endof"]), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_short_stretches_against_the_tokenizer(both, parts):
+    """Cuts and the way piece by piece give the ids of the whole text."""
+    mine, theirs = both
+    text, stretch = "".join(parts), mine.stretch
+    try:
+        for mine.stretch in (1, 5, stretch):
+            assert mine.ids(text) == theirs(text)
+    finally:
+        mine.stretch = stretch
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "ab" * 300_000, "\n " * 200_000 + "end", "one two  three\n" * 40_000, "😀" * 150_000])
+def test_very_long_texts_against_the_tokenizer(both, text):
+    mine, theirs = both
+    assert mine.ids(text) == theirs(text)
+
+
+def test_vocabulary_out_of_merge_order(tmp_path, both):
+    """Such a file goes through its own model."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    last = spec["model"]["merges"].pop()
+    del spec["model"]["vocab"][last.replace(" ", "") if isinstance(last, str) else "".join(last)]
+    a, b = list(spec["model"]["vocab"])[-2:]
+    vocab = spec["model"]["vocab"]
+    vocab[a], vocab[b] = vocab[b], vocab[a]
+    path = tmp_path / "swapped.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    mine, theirs = packing.ByteTokenizer(str(path), public_tokenizers.PATTERN), Tokenizer.from_file(str(path))
+    assert mine.ranked is None
+    text = "Words of a text, with the rarest: " + a.replace("Ġ", " ") + b.replace("Ġ", " ")
+    assert np.frombuffer(mine.ids(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
