@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import discard, fresh_path, materialise
 
 CRLF = "\r\n"
 BLANK = CRLF + CRLF
@@ -155,10 +155,10 @@ def resolve(headers: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame
 def deduplicate(spark: SparkSession, captures: str, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Write the archives of ``captures`` anew: first responses whole, repeats as revisit records, headers fresh."""
     records = read_headers(spark, captures).where("record_type = 'response'")
-    full = records.withColumn("payload_bytes", F.octet_length(payload_of(F.col("block")))).drop("block")
-    revisits = resolve(full, min_bytes)
-    joined = records.withColumn("payload_bytes", F.octet_length(payload_of(F.col("block")))).join(
-        revisits, "record_id", "left")
+    full = records.withColumn("payload_bytes", F.octet_length(payload_of(F.col("block")))).select(
+        "record_id", "page_id", "target_uri", "date", "payload_digest", "payload_bytes")
+    full = materialise(full, "warc-headers")  # so that the archives are parsed once for both sides of the join
+    joined = records.join(resolve(full, min_bytes), "record_id", "left")
     is_revisit = F.col("of_record").isNotNull()
     fresh = _uuid(F.lit("dedup"), F.col("record_id"))
     head = F.concat(
@@ -176,6 +176,7 @@ def deduplicate(spark: SparkSession, captures: str, path: str, min_bytes: int =
     http_head = F.concat(F.substring_index(F.substring("block", 1, 4096).cast("string"), BLANK, 1), F.lit(BLANK))
     block = F.when(is_revisit, http_head).otherwise(F.col("block").cast("string"))
     _write(joined.select(_record(head, block).alias("value")), path)
+    discard(full)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -185,11 +186,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     theirs from the response that they refer to, by record id; a revisit of a record that is not there has null bytes.
     """
     records = read_headers(spark, path)
-    payload = payload_of(F.col("block"))
-    slim = records.select(
+    response = F.col("record_type") == "response"
+    records = records.withColumn("payload", F.when(response, payload_of(F.col("block"))))
+    # without payloads, and written, so that the archives are parsed and hashed once for all that follows
+    slim = materialise(records.select(
         "record_id", "record_type", "page_id", "target_uri", "date", "refers_to",
-        F.when(F.col("record_type") == "response", F.octet_length(payload)).cast("long").alias("bytes"),
-        F.when(F.col("record_type") == "response", F.sha2(payload, 256)).alias("digest"))
+        F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest")), "warc-records")
     revisits = slim.where("record_type = 'revisit'")
     # only responses that some revisit names are joined; the names are few after a distinct
     named = slim.where("record_type = 'response'").join(

@@ -45,3 +45,11 @@ def test_archive_records_are_well_formed(spark):
 
 def test_no_pages(spark):
     assert warc.deduplicated_archive(pages(spark, []).limit(0)).count() == 0
+
+
+def test_archives_are_parsed_once(spark):
+    """The joins of revisits and responses read written headers, not the archives again."""
+    path = fresh_path(spark, "warc-test")
+    warc.write_archives(pages(spark, [(1, "http://a/", "x" * 200), (2, "http://b/", "x" * 200)]), path)
+    read = warc.read_archives(spark, path)
+    assert read.count() == 2 and not any("warc-test" in f for f in read.inputFiles())
