@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, grams, hash_words, materialise, mix64, row_slices, text_buffers, unique_name
+from .common import discard, grams, hash_words, lean, materialise, mix64, row_slices, text_buffers, unique_name
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -133,7 +133,7 @@ def _sign(keyed: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                                              [*names, "n_shingles", "bands", "sketch"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema if f.name != "text")
-    return keyed.mapInArrow(sign, f"{schema}, n_shingles long, bands array<long>, sketch binary")
+    return keyed.mapInArrow(lean(sign), f"{schema}, n_shingles long, bands array<long>, sketch binary")
 
 
 def _least(threshold: float, m: int) -> float:
@@ -151,7 +151,7 @@ def _plausible(pairs: DataFrame, threshold: float, m: int) -> DataFrame:
                 sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in (2, 3))
                 yield batch.filter(pa.array((sa == sb).sum(1) >= least)).select([0, 1])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(lean(keep), "a long, b long")
 
 
 def _alike(cell: np.ndarray, h: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray,
@@ -251,7 +251,7 @@ def _bags(nids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFram
                     *(pa.array([v[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for v in (gram, weight))],
                     ["nid", "gram", "weight"])
 
-    return _texts(nids, reps, docs).mapInArrow(count, "nid long, gram binary, weight binary")
+    return _texts(nids, reps, docs).mapInArrow(lean(count), "nid long, gram binary, weight binary")
 
 
 def _across(buckets: DataFrame, root: DataFrame, reps: DataFrame, docs: DataFrame, k: int, threshold: float, bands: int,
@@ -303,12 +303,12 @@ def _across(buckets: DataFrame, root: DataFrame, reps: DataFrame, docs: DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     schema = "h long, i int, j int, side int, nid long, root long, n_shingles long, sketch binary, bands array<long>"
-    cells = materialise(cells.mapInArrow(hopeful, schema), "squares")
+    cells = materialise(cells.mapInArrow(lean(hopeful), schema), "squares")
     if not cells.limit(1).count():
         return cells.select(F.col("nid").alias("a"), F.col("nid").alias("b"))
     bags = materialise(_bags(cells.select("nid").distinct(), reps, docs, k), "bags")
     full = cells.join(bags, "nid").select(*names, "gram", "weight").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return full.mapInArrow(links, "a long, b long")
+    return full.mapInArrow(lean(links), "a long, b long")
 
 
 def _overlap(pairs: DataFrame, k: int) -> DataFrame:
@@ -330,7 +330,7 @@ def _overlap(pairs: DataFrame, k: int) -> DataFrame:
                 out[lo:hi] = shared / np.maximum(every - shared, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["a", "b", "similarity"])
 
-    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long, similarity double")
+    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(lean(compare), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 CAPACITY = 1024
 END_ID = 2
@@ -150,7 +150,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer_path: str | None, pat
         if out:
             yield batch()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), schema)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
