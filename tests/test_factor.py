@@ -100,6 +100,14 @@ def test_one_pass_reads_every_table_once(spark):
     assert scans <= 12, scans
 
 
+def test_one_pass_shuffles_payments_by_reference_and_by_order_only(spark):
+    """The rows of an order stay together: neither its folds nor the months' aggregate are shuffled once more."""
+    plan = margin.mart_contribution_margin(domain(spark, random_tables(4)), SPINE)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert "start_interval" not in dealt and sum(k in ("o_id", "order_id", "so_order_id") for k in dealt) <= 4, dealt
+    assert not any("reason" in line for line in plan.splitlines() if "MergeJoin" in line)
+
+
 def test_a_request_with_very_many_postings(spark):
     """10^5 postings and 10^3 costs of one request: 10^8 joined rows that are never made."""
     tables = random_tables(1) | {
