@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as cp
 from ledgerlens.llm import queries
 from ledgerlens.llm.common import materialise
@@ -5,6 +7,7 @@ from ledgerlens.llm.common import materialise
 from .helpers import SF, documents, empty_documents, odd_documents, words
 from .test_bagminhash import brute_classes
 from .test_quality import brute
+from .test_substring import boilerplate
 
 
 def through(spark, docs):
@@ -43,6 +46,17 @@ def test_odd_and_empty_tables(spark):
             assert out.columns == d.columns, name
 
 
+def test_substring_stage_cuts_passages_of_common_seeds(spark):
+    """An edited passage goes though every part of it stands in many short pieces before."""
+    texts = [" ".join(t) for t in boilerplate(random.Random(12), [(), (5,)])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r for r in cp.repeated_passages(spark, docs, SF).collect()}
+    n = len(texts) - 1
+    assert [i for i, t in enumerate(texts) if left[i].text != t] == [n]
+    assert words(left[n].text) == words(texts[n])[:40] + words(texts[n])[128:] and left[n].n_chars == len(left[n].text)
+
+
 def test_every_operator_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert names == list(range(1, 14)) and len(cp.STAGES) == 5
